@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm import decontamination
+
+    found = decontamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    digest = F.sha2(F.concat_ws(",", F.array_sort("item_ids")), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm import mixing
 
@@ -21,5 +30,21 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+OP1_SQL = r"""
+WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS phrase
+  FROM items, unnest(range(1, greatest(len(w) - 12, least(len(w), 1)) + 1)) AS u(i)),
+lengths AS (SELECT DISTINCT n FROM windows),
+found AS (SELECT r, item_id, i, l.n FROM lowered, lengths l, unnest(range(1, greatest(len(w) - l.n + 1, 0) + 1)) AS u(i)
+  JOIN windows p ON p.n = l.n AND p.phrase = array_to_string(w[i:i + l.n - 1], ' ')),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + n)) AS v(j) GROUP BY r),
+of_items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM lowered LEFT JOIN hit USING (r) LEFT JOIN of_items USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": OP1_SQL}
