@@ -18,6 +18,30 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def _remainder(n: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
+
+
+def _judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm import toxicity
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, "toxic", _remainder(4) != 2)
+    return _judged(toxicity.score(docs, model, ["doc_id"]), _remainder(4) == 2)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm import quality
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, "quality", _remainder(5) != 0)
+    return _judged(quality.score(docs, model, ["doc_id"]), _remainder(5) == 0)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm import mixing
 
