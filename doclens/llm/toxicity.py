@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 from doclens.llm.words import _ODD, ALNUM, LOWER_CODES, pieces, powers, text_bytes, words_of
 
 N_GRAMS = (3, 4, 5)
-BUCKET_BITS, DIMENSIONS = 17, 8
+BUCKET_BITS, DIMENSIONS = 17, 4
 #: Rows of each class that the model is fitted on.
 PER_CLASS = 2500
-EPOCHS, BATCH, RATE = 24, 128, 0.05
+STEPS, BATCH, RATE, DECAY = 800, 256, 0.15, 0.02
+#: An n-gram whose shares of the two classes' texts differ by fewer standard errors than this keeps a zero vector; from there to
+#: twice as many, its steps grow to full length.
+EVEN = 4.0
 #: n-grams of fewer sample texts than this are left out of the fit.
 LEAST_TEXTS = 3
 
@@ -86,27 +89,32 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, odds: flo
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
     embeddings = ((rng.random((size, DIMENSIONS)) - 0.5) / DIMENSIONS).astype(np.float32)
-    weights, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
+    weights, bias = np.tile(np.float32([-0.1, 0.1]), (DIMENSIONS, 1)), np.zeros(2, np.float32)
     n1 = int(labels.sum())
     if n1 in (0, len(labels)):
         bias[1] = 0.0 if not len(labels) else (4.0 if n1 else -4.0)
         return Model(embeddings, weights, bias)
-    texts = np.bincount(np.concatenate([b for b, _ in rows]), minlength=size)
-    used = np.flatnonzero(texts >= LEAST_TEXTS)
+    n0 = len(labels) - n1
+    texts, with_1 = (np.bincount(np.concatenate([b for (b, _), y in zip(rows, labels, strict=True) if y in of]), minlength=size) for of in ((0, 1), (1,)))
+    both = texts / len(rows)
+    uneven = np.abs(with_1 / n1 - (texts - with_1) / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+    used = np.flatnonzero((texts >= LEAST_TEXTS) & (uneven > EVEN))
+    trust = np.minimum(1, uneven[used] / EVEN - 1).astype(np.float32)[:, None]
     number = np.full(size, -1)
     number[used] = np.arange(len(used))
-    rows = [(number[b][k], w[k]) for b, w in rows for k in [texts[b] >= LEAST_TEXTS]]
-    table = embeddings[used]
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, weights, bias)]
+    rows = [(number[b][k], w[k]) for b, w in rows for k in [number[b] >= 0]]
+    params = [embeddings[used], weights, bias]
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
+    params[0] *= trust
     step = 0
-    for epoch in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(rows))
         for low in range(0, len(rows), BATCH):
             take, step = order[low : low + BATCH], step + 1
             buckets = np.concatenate([rows[i][0] for i in take])
             share = np.concatenate([rows[i][1] for i in take])
             of = np.repeat(np.arange(len(take)), [len(rows[i][0]) for i in take])
-            there = np.unique(buckets, return_inverse=True)
+            table = params[0]
             hidden = np.stack([np.bincount(of, share * table[buckets, d], len(take)) for d in range(DIMENSIONS)], 1).astype(np.float32)
             logits = hidden @ weights + bias
             logits -= logits.max(1, keepdims=True)
@@ -115,15 +123,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, odds: flo
             p[np.arange(len(take)), labels[take]] -= 1
             p /= len(take)
             back = p @ weights.T
-            own = np.stack([np.bincount(there[1], share * back[of, d], len(there[0])) for d in range(DIMENSIONS)], 1).astype(np.float32)
-            rate = RATE * (1 - epoch / EPOCHS)
-            for param, grad, (m, v), at in ((table, own, state[0], there[0]), (weights, hidden.T @ p, state[1], slice(None)), (bias, p.sum(0), state[2], slice(None))):
-                m[at] += 0.1 * (grad - m[at])
-                v[at] += 0.01 * (grad * grad - v[at])
-                param[at] -= rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-7)
+            own = np.stack([np.bincount(buckets, share * back[of, d], len(used)) for d in range(DIMENSIONS)], 1).astype(np.float32)
+            rate = RATE * max(0.02, 1 - step / STEPS)
+            for param, grad, (m, v), part in zip(params, (own, hidden.T @ p, p.sum(0)), state, (trust, 1.0, 1.0), strict=True):
+                m += 0.1 * (grad - m)
+                v += 0.01 * (grad * grad - v)
+                param -= rate * part * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+            params[0] *= 1 - DECAY * rate
+    table = params[0]
     embeddings[:] = 0
     embeddings[used] = table
-    bias[1] += np.log(odds) - np.log(n1 / (len(labels) - n1))  # the classes' shares in the sample are not those of all rows
+    bias[1] += np.log(odds) - np.log(n1 / n0)  # the classes' shares in the sample are not those of all rows
     return Model(embeddings, weights, bias)
 
 
