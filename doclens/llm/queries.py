@@ -18,6 +18,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("blocks")
+
+
 def _remainder(n: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
 
