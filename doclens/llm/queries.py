@@ -24,6 +24,13 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("blocks")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm import url_filter
+
+    judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def _remainder(n: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
 
@@ -40,6 +47,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model, ["doc_id"]), _remainder(4) == 2)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm import html_text
+
+    return html_text.extract(_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm import quality
 
