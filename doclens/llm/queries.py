@@ -73,6 +73,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, model, ["doc_id"]), _remainder(5) == 0)
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm import neighbours
+
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm import mixing
 
