@@ -59,6 +59,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model, ["doc_id"]), _remainder(4) == 2)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm import ngram_join
+
+    return ngram_join.components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm import html_text
 
@@ -107,5 +113,17 @@ FROM lowered LEFT JOIN hit USING (r) LEFT JOIN of_items USING (r)
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE split AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM split, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS u(i)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+reach(r, t) AS (SELECT r, r FROM split UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.t)
+SELECT s.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM split s LEFT JOIN sizes USING (r) JOIN reach USING (r) JOIN split o ON o.r = reach.t GROUP BY s.r, s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op6_ngram_join": OP6_SQL}
