@@ -226,7 +226,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, carry: list[st
     """``carry`` (all columns of ``docs`` by default) with the columns of RESULT. ``spans`` are the merged removal spans,
     in words from 0 and in bytes of the UTF-8 text."""
     spark = docs.sparkSession
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULT]
     bytes_ = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-bytes_ // block_bytes))
     numbered = items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))

@@ -173,7 +173,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns of ``pages`` by default) with ``text`` and its length in code points."""
-    carry = [c for c in (pages.columns if carry is None else carry) if c not in ("text", "n_chars")]
+    carry = [c for c in (pages.columns if carry is None else carry) if c.lower() not in ("text", "n_chars")]
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "_html"):

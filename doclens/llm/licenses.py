@@ -126,7 +126,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     index = Index(templates, frequencies(docs, {w for _, t in templates for w in tokens(t)}), threshold)
     of_phrases = [(p.split(), label) for p, label in phrases.items()]
     lists = pa.list_(pa.struct([("block", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULT]
     phrase_hashes = _phrase_hashes([p for p, _ in of_phrases])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, starts: tuple = STARTS, max_e
     due = lambda i: position(F.least(F.lit(1.0), (F.col("_at") + (i - 1) * F.col("source_size")) / F.col("target")), F.col("_start"))
     out = out.withColumn("positions", F.when(F.col("_times") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("_times")), due)).otherwise(F.expr("cast(array() as array<double>)")))
     out = out.withColumn("first_position", F.get("positions", F.lit(0)))
-    return out.select(*[c for c in docs.columns if c not in made], *made)
+    return out.select(*[c for c in docs.columns if c.lower() not in made], *made)
 
 
 def range_sorted(mixed: DataFrame, by: str) -> DataFrame:

@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample:
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns of ``docs`` by default) and ``score``, the probability of good quality."""
-    carry = [c for c in (docs.columns if carry is None else carry) if c != "score"]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != "score"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "_bytes"):

@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm import decontamination
 
@@ -21,12 +27,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from doclens.llm import token_store
 
     path = scratch_path(spark, "tokens")
-    token_store.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_store.write(_table(spark, sf_dir, "documents"), path, tokenizer_path())
     return token_store.read(spark, path)
 
 
@@ -43,7 +47,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
-def _remainder(n: int):
+def remainder(n: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
 
 
@@ -55,8 +59,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm import toxicity
 
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = toxicity.train(docs, labels, "toxic", _remainder(4) != 2)
-    return _judged(toxicity.score(docs, model, ["doc_id"]), _remainder(4) == 2)
+    model = toxicity.train(docs, labels, "toxic", remainder(4) != 2)
+    return _judged(toxicity.score(docs, model, ["doc_id"]), remainder(4) == 2)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +75,18 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
 
 
+def quality_model(docs: DataFrame, labels: DataFrame, learn):
+    from doclens.llm import quality
+
+    return quality.train(docs, labels, "quality", learn)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm import quality
 
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = quality.train(docs, labels, "quality", _remainder(5) != 0)
-    return _judged(quality.score(docs, model, ["doc_id"]), _remainder(5) == 0)
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model(docs, _table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return _judged(quality.score(docs, model, ["doc_id"]), remainder(5) == 0)
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +103,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.range_sorted(mixed, "first_position")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"pipeline": pipeline}
 
 
 OP1_SQL = r"""

@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cla
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns of ``docs`` by default) and ``score``, the probability of class 1."""
-    carry = [c for c in (docs.columns if carry is None else carry) if c != "score"]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != "score"]
     sent = docs.sparkSession.sparkContext.broadcast((model.gram_scores.astype(np.float32), float(model.bias[1] - model.bias[0])))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,4 +101,4 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     of_shape = tree.select("host", "shape", "template").join(pure, ["host", "template"]).select("host", F.col("shape").alias("_shape"), "template", "purity")
     verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
     judged = base.join(of_shape, ["host", "_shape"], "left").withColumn("verdict", verdict)
-    return judged.select(*[c for c in pages.columns if c not in RESULT], *RESULT)
+    return judged.select(*[c for c in pages.columns if c.lower() not in RESULT], *RESULT)
