@@ -33,7 +33,9 @@ from doclens.llm.words import _CODES, pieces, powers, mixed, text_bytes
 END = 2
 SHARD_TOKENS = 4 << 20
 #: Distinct pieces whose ids a worker keeps; beyond that it starts anew.
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 1_000_000
+#: Pieces that the library encodes in one call.
+LEARNED = 2048
 STORE = "part int, seq int, before long, n_docs int, n_tokens long, data binary"
 
 
@@ -51,9 +53,12 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        encoded = []  # the library's results are far larger than the ids, so a few are held at a time
+        for low in range(0, len(texts), LEARNED):
+            encoded += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts[low : low + LEARNED], add_special_tokens=False)]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), np.int32, int(sizes.sum()))
+        flat = np.concatenate([np.zeros(0, np.int32), *encoded])
+        del encoded
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used), np.int32)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -167,7 +172,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_
             ids.clear(), lengths.clear(), docs_.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "before", "n_docs", "n_tokens", "data"])
 
-        for piece in pieces(batches, "text", 4 << 20):
+        for piece in pieces(batches, "text", 2 << 20):
             tokens, counts = encoder.encode(piece.column("text"))
             ids.append(tokens)
             lengths.append(counts)
