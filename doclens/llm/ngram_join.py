@@ -8,8 +8,9 @@ least 3/4, exactly. Documents with equal sets are one set throughout.
 2. A set enters the index lists of its first ``n - ceil(3n/4) + 1`` shingles, with its size and position there. Similar
    sets share a list. Lists stand sorted by size; entries outside the size window, or too far back for what is left of
    both sets to suffice, are skipped.
-3. Short lists give all their pairs. In long lists each set is first paired with its neighbour only; pairs are verified
-   and linked sets put in groups. Then only entries of different groups can give new links, so what a similar set's answers
+3. Short lists give all their pairs. In long lists each set is first paired only with its neighbour and with the sets
+   whose own shingles take least of the order (of near copies, those least changed); pairs are verified and linked
+   sets put in groups. Then only entries of different groups can give new links, so what a similar set's answers
    already settle is skipped, and the pairs left over are verified too.
 4. Within a task, a pair's overlap is first bounded from the computed answer of a highly similar set,
    ``o(t,b) - |t \\ a| <= o(a,b) <= o(t,b) + |a \\ t|``, and counted only if the bounds do not settle it.
@@ -43,6 +44,8 @@ FREQUENT, MOST_FREQUENT = 16, 1 << 20
 SALT_ROWS = 4096
 #: Lists up to this length give all pairs at once.
 SHORT_LIST = 8
+#: Sets of a longer list that all others are paired with first.
+PIVOTS = 3
 #: Pairs that are verified together.
 PORTION = 1024
 BUFFER_ROWS, COUNT_ROWS = 1 << 18, 4 << 20
@@ -182,13 +185,13 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], by: int) -> Ite
 
 
 def _fit(size: np.ndarray, position: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether entries i (the smaller) and j of a list can be similar: sizes, and what is left from their positions on."""
-    return (4 * size[i] >= 3 * size[j]) & (np.minimum(size[i] - position[i], size[j] - position[j]) >= need(size[i], size[j]))
+    """Whether entries i and j of a list can be similar: sizes, and what is left from their positions on."""
+    return (4 * np.minimum(size[i], size[j]) >= 3 * np.maximum(size[i], size[j])) & (np.minimum(size[i] - position[i], size[j] - position[j]) >= need(size[i], size[j]))
 
 
 def _pair_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b) of short lists and of neighbours in long ones; rows of LISTS of the long ones."""
-    columns = ["a", "b", "shingle", "name", "size", "position"]
+    """Rows (a, b) of short lists, and of neighbours and pivots in long ones; entries of the long ones."""
+    columns = ["a", "b", "shingle", "salt", "name", "size", "position"]
     for shingle, salt, name, size, position in _runs(batches, ["shingle", "salt", "name", "size", "position"], 2):
         new = np.ones(len(name), bool)  # copies of a set come from several tasks
         new[1:] = (name[1:] != name[:-1]) | (shingle[1:] != shingle[:-1])
@@ -202,11 +205,19 @@ def _pair_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.flatnonzero((of[:-d] == of[d:]) & ((length[:-d] <= SHORT_LIST) | (d == 1))) if len(of) > d else np.zeros(0, np.int64)
             i = i[_fit(size, position, i, i + d)]
             pairs.append(np.stack([np.minimum(name[i], name[i + d]), np.maximum(name[i], name[i + d])]))
+        order = np.lexsort((name, position, of))
+        opened = np.flatnonzero(opens)
+        for nth in range(PIVOTS):
+            i = np.flatnonzero(length > SHORT_LIST)
+            j = order[opened[of[i]] + nth]
+            i, j = i[i != j], j[i != j]
+            fit = _fit(size, position, i, j)
+            pairs.append(np.stack([np.minimum(name[i[fit]], name[j[fit]]), np.maximum(name[i[fit]], name[j[fit]])]))
         a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
         long = np.flatnonzero((length > SHORT_LIST) | (salt > 0))
         none = lambda n: pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none(len(a))] * 4], columns)
-        yield pa.RecordBatch.from_arrays([none(len(long)), none(len(long)), *(pa.array(x[long]) for x in (shingle, name, size, position))], columns)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none(len(a))] * 5], columns)
+        yield pa.RecordBatch.from_arrays([none(len(long)), none(len(long)), *(pa.array(x[long].astype(np.int64)) for x in (shingle, salt, name, size, position))], columns)
 
 
 def _cross_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +338,13 @@ def components(docs: DataFrame) -> DataFrame:
 
     entries = raw.select("_bytes").mapInArrow(_list_pass(sent), LISTS)
     lists = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "size", "name")
-    found = materialise(lists.mapInArrow(_pair_pass, "a long, b long, shingle long, name long, size long, position long"), "ngram-lists")
-    pairs = found.where("a is not null").select("a", "b").distinct()
-    long = found.where("name is not null").select("shingle", "name", "size", "position")
+    found = materialise(lists.mapInArrow(_pair_pass, "a long, b long, shingle long, salt long, name long, size long, position long"), "ngram-lists")
+    long = found.where("name is not null").select("shingle", "salt", "name", "size", "position")
+    salted = long.where("salt > 0")
+    pivots = salted.groupBy("shingle").agg(F.min(F.struct("position", "name", "size")).alias("pivot"))
+    mates = salted.join(pivots, "shingle").where("name != pivot.name AND 4 * least(size, pivot.size) >= 3 * greatest(size, pivot.size)")
+    across = mates.select(F.least("name", "pivot.name").alias("a"), F.greatest("name", "pivot.name").alias("b"))
+    pairs = materialise(found.where("a is not null").select("a", "b").union(across).distinct(), "ngram-pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).union(long.select("name")).distinct()
     texts = raw.select("_bytes").mapInArrow(_texts, "name long, text binary").join(wanted, "name", "left_semi").dropDuplicates(["name"])
