@@ -12,7 +12,8 @@ least 3/4, exactly. Documents with equal sets are one set throughout.
    whose own shingles take least of the order (of near copies, those least changed); pairs are verified and linked
    sets put in groups. Then only entries of different groups can give new links, so what a similar set's answers
    already settle is skipped, and the pairs left over are verified too.
-4. Within a task, a pair's overlap is first bounded from the computed answer of a highly similar set,
+4. Pairs are first held against small bitmaps of the sets, which bound the overlap from above, so texts are sent only where those
+   leave it open. Within a task, a pair's overlap is first bounded from the computed answer of a highly similar set,
    ``o(t,b) - |t \\ a| <= o(a,b) <= o(t,b) + |a \\ t|``, and counted only if the bounds do not settle it.
 5. Groups of links come by alternating large-star and small-star steps on tables.
 
@@ -107,29 +108,67 @@ def _shingles(sets: Sets, rows: np.ndarray) -> np.ndarray:
 
 
 def _name_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, name, size), and rows (shingle, count) of shingles met more than once."""
+    """Rows (doc_id, name, size, bits), with the bitmap of sets not seen before in the task, and rows (shingle, count) of shingles met
+    more than once."""
     seen: set[int] = set()
     met: list[np.ndarray] = []
-    columns = ["doc_id", "name", "size", "shingle", "n"]
+    columns = ["doc_id", "name", "size", "bits", "shingle", "n"]
 
     def often() -> pa.RecordBatch:
         distinct, n = np.unique(np.concatenate(met), return_counts=True)
         some = n > 1
         rows = int(some.sum())
         met.clear()
-        return pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(distinct[some].view(np.int64)), pa.array(n[some])], columns)
+        none = pa.nulls(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(rows, pa.binary()), pa.array(distinct[some].view(np.int64)), pa.array(n[some])], columns)
 
     for piece in pieces(batches, "_bytes"):
         sets = sets_of(piece["_bytes"])
-        met.append(sets.hash[_shingles(sets, _fresh(sets, seen))])
-        none = pa.nulls(piece.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array(sets.name.view(np.int64)), pa.array(sets.sizes), none, none], columns)
+        fresh = _fresh(sets, seen)
+        met.append(sets.hash[_shingles(sets, fresh)])
+        none, bits = pa.nulls(piece.num_rows, pa.int64()), [None] * piece.num_rows
+        for i in fresh.tolist():
+            bits[i] = bitmap(sets.hash[sets.first[i] : sets.first[i + 1]]).tobytes()
+        yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), pa.array(sets.name.view(np.int64)), pa.array(sets.sizes), pa.array(bits, pa.binary()), none, none], columns)
         if sum(map(len, met)) > COUNT_ROWS:
             yield often()
     if met:
         yield often()
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Which of 2 to 4 times as many places as there are shingles are hit by one, as 64-bit words."""
+    places = 64 << max(0, (2 * len(hashes) - 1).bit_length() - 6)
+    hit = np.zeros(places, np.uint8)
+    hit[(hashes & np.uint64(places - 1)).astype(np.int64)] = 1
+    return np.packbits(hit, bitorder="little").view(np.uint64)
+
+
+def most_common(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> int:
+    """Upper bound on the overlap of two sets, from their bitmaps: places hit by both, and shingles that share a place."""
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a[: len(a) // 2] | a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] | b[len(b) // 2 :]
+    ones = lambda x: int(np.bitwise_count(x).sum())
+    return ones(a & b) + min(n_a - ones(a), n_b - ones(b))
+
+
+def _plausible_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch[c].to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")), strict=True)
+        word = lambda x: np.frombuffer(x, np.uint64)
+        keep = pa.array([7 * most_common(word(x), n, word(y), m) >= 3 * (n + m) for n, x, m, y in rows], pa.bool_())
+        yield batch.select(["a", "b"]).filter(keep)
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs that their bitmaps do not rule out. ``sketches``: name, size, bits."""
+    of = lambda x: sketches.select(F.col("name").alias(x), F.col("size").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_plausible_pass, "a long, b long")
+
+
 def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least overlap of sets of these sizes at similarity 3/4."""
     return -(-3 * (a + b) // 7)
@@ -327,8 +366,9 @@ def components(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"))
-    named = materialise(raw.mapInArrow(_name_pass, "doc_id long, name long, size long, shingle long, n long"), "ngram-names")
+    named = materialise(raw.mapInArrow(_name_pass, "doc_id long, name long, size long, bits binary, shingle long, n long"), "ngram-names")
     members = named.where("size is not null").select("doc_id", "name", "size")
+    sketches = named.where("bits is not null").select("name", "size", "bits").dropDuplicates(["name"])
     often = named.where("n is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = often.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
     shingles = top["shingle"].to_numpy().view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
@@ -344,20 +384,20 @@ def components(docs: DataFrame) -> DataFrame:
     pivots = salted.groupBy("shingle").agg(F.min(F.struct("position", "name", "size")).alias("pivot"))
     mates = salted.join(pivots, "shingle").where("name != pivot.name AND 4 * least(size, pivot.size) >= 3 * greatest(size, pivot.size)")
     across = mates.select(F.least("name", "pivot.name").alias("a"), F.greatest("name", "pivot.name").alias("b"))
-    pairs = materialise(found.where("a is not null").select("a", "b").union(across).distinct(), "ngram-pairs")
+    pairs = found.where("a is not null").select("a", "b").union(across).distinct()
+    pairs = materialise(plausible(pairs, sketches), "ngram-pairs")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).union(long.select("name")).distinct()
+    crossing = materialise(_crossing(long, groups(pairs), sketches), "ngram-cross")
+    asked = pairs.union(crossing).distinct()
+    wanted = asked.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     texts = raw.select("_bytes").mapInArrow(_texts, "name long, text binary").join(wanted, "name", "left_semi").dropDuplicates(["name"])
     texts = materialise(texts, "ngram-texts")
-    links = materialise(verified(pairs, texts), "ngram-links")
+    links = materialise(verified(asked, texts), "ngram-links")
     grouped = groups(links)
 
-    placed = long.join(grouped, "name", "left").select("shingle", "name", "size", "position", F.coalesce("grp", "name").alias("grp"))
-    placed = materialise(placed, "ngram-placed")
-    several = placed.groupBy("shingle").agg((F.min("grp") != F.max("grp")).alias("several")).where("several")
-    open_ = placed.join(several, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "size", "name")
-    crossing = materialise(open_.mapInArrow(_cross_pass, "a long, b long").distinct(), "ngram-cross")
-    more = materialise(verified(crossing, texts), "ngram-links")
+    # What is left are pairs inside a group of plausible pairs that links did not join; their texts are there.
+    rest = _crossing(long, grouped, sketches).join(asked, ["a", "b"], "left_anti")
+    more = materialise(verified(materialise(rest, "ngram-cross"), texts), "ngram-links")
     if not more.isEmpty():
         grouped = groups(grouped.select(F.col("name").alias("a"), F.col("grp").alias("b")).union(more))
 
@@ -369,6 +409,15 @@ def components(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
+def _crossing(long: DataFrame, grouped: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Plausible pairs of the long lists' entries that are in different groups. A list of one group has none."""
+    placed = long.join(grouped, "name", "left").select("shingle", "name", "size", "position", F.coalesce("grp", "name").alias("grp"))
+    placed = materialise(placed, "ngram-placed")
+    several = placed.groupBy("shingle").agg((F.min("grp") != F.max("grp")).alias("several")).where("several")
+    lists = placed.join(several, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "size", "name")
+    return plausible(lists.mapInArrow(_cross_pass, "a long, b long").distinct(), sketches)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for piece in pieces(batches, "_bytes"):

@@ -7,9 +7,9 @@ counting and occurrence lookup without another copy of the sequence. Shards are
 protocol and file systems), so a lost executor costs its own shards only. Only one row for each partition reaches the driver, to
 number the ids across partitions.
 
-Encoding is the tokenizer library's. Byte-level BPE of this kind never joins a byte before white space with that white
-space, so a text is cut before single spaces and each distinct piece is encoded once, its ids kept by a 64-bit hash of
-the piece in a bounded cache of the Python worker.
+Encoding is the tokenizer library's. Byte-level BPE of this kind splits a text at certain places whatever else it holds
+(before white space after other characters, before a punctuation mark after a letter, after a line feed), so the text is cut there and
+each distinct piece is encoded once, its ids kept by a 64-bit hash of the piece in a bounded cache of the Python worker.
 
 Cases: a null or empty text is the end id alone; a null doc_id sorts first; repeated doc_ids stand side by side, by text;
 a text without spaces is one piece; an empty table gives an empty store; other columns are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.llm.wavelet import WaveletMatrix
-from doclens.llm.words import _CODES, pieces, powers, mixed, text_bytes
+from doclens.llm.words import _CODES, ALNUM, mixed, pieces, powers, text_bytes
 
 END = 2
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 #: Distinct pieces whose ids a worker keeps; beyond that it starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_200_000
 #: Pieces that the library encodes in one call.
 LEARNED = 2048
 STORE = "part int, seq int, before long, n_docs int, n_tokens long, data binary"
@@ -46,24 +47,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        encoded = []  # the library's results are far larger than the ids, so a few are held at a time
+        parts, sizes = [], []  # the library's results are far larger than the ids, so a few are held at a time
         for low in range(0, len(texts), LEARNED):
-            encoded += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts[low : low + LEARNED], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.concatenate([np.zeros(0, np.int32), *encoded])
-        del encoded
+            ids = [e.ids for e in self.tokenizer.encode_batch(texts[low : low + LEARNED], add_special_tokens=False)]
+            sizes += map(len, ids)
+            parts.append(np.fromiter(chain.from_iterable(ids), self.dtype))
+        sizes, flat = np.array(sizes, np.int32), np.concatenate([np.zeros(0, self.dtype), *parts])
         if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used), np.int32)])
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used // 2), self.dtype)])
         self.ids[self.used : self.used + len(flat)] = flat
         at = np.searchsorted(self.keys, keys)
-        starts = self.used + np.cumsum(sizes) - sizes
+        starts = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
         self.keys, self.starts, self.sizes = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes)))
         self.used += len(flat)
 
@@ -86,11 +88,11 @@ class Encoder:
             raw = data.tobytes()
             self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
         at = np.searchsorted(self.keys, distinct)
-        begin, size = self.starts[at][which], self.sizes[at][which]
+        begin, size = self.starts[at][which], self.sizes[at][which].astype(np.int64)
         row = np.searchsorted(offsets, start, "right") - 1
         counts = np.bincount(row, size, len(column)).astype(np.int64) + 1
         ends = np.cumsum(counts) - 1
-        out = np.empty(int(counts.sum()), np.int32)
+        out = np.empty(int(counts.sum()), self.dtype)
         body = np.ones(len(out), bool)
         body[ends] = False
         shift = begin - (np.cumsum(size) - size)
@@ -99,17 +101,24 @@ class Encoder:
         return out, counts
 
 
+_BYTE = np.arange(256)
+_SPACE = np.isin(_BYTE, (0x20, *range(0x09, 0x0E)))
+_MARK = (_BYTE > 0x20) & (_BYTE < 0x7F) & ~ALNUM
+_PLAIN = (_BYTE > 0x20) & (_BYTE < 0x7F)
+
+
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at each text, and at a space after a byte that is not of white space. After C2, 80, 81 and 9A a
-    last byte may be of Unicode white space, so there is no cut."""
+    """Where pieces begin: at each text; at white space after a byte known to be of none; at a punctuation mark after a letter
+    or digit; after a line feed before a byte known to be of no white space. Known are ASCII and the letters that begin with byte
+    C3, so that no cut depends on tables of Unicode."""
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n > 1:
-        before = data[:-1]
-        cut[1:n] = (data[1:] == 0x20) & (before > 0x20)
-        two = np.zeros(n - 1, np.uint8)
-        two[1:] = data[:-2]
-        cut[1:n] &= (before < 0x7F) | ((before >= 0x80) & ~np.isin(two, (0xC2, 0x80, 0x81, 0x9A)))
+        before, here = data[:-1], data[1:]
+        latin = np.zeros(n - 1, bool)  # the byte before ends a letter such as e with an accent
+        latin[1:] = (data[:-2] == 0xC3) & (before[1:] >= 0x80) & (before[1:] != 0x97) & (before[1:] != 0xB7)
+        letter = (ALNUM[before] & (before < 0x80)) | latin
+        cut[1:n] = (_SPACE[here] & (_PLAIN[before] | latin)) | (_MARK[here] & letter) | ((before == 0x0A) & (_PLAIN[here] | (here == 0xC3)))
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     return np.flatnonzero(cut[:n])
 
@@ -129,7 +138,7 @@ class TokenShard:
     @staticmethod
     def pack(doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> bytes:
         depth = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        tree = WaveletMatrix.build(ids.astype(np.uint16 if depth <= 16 else np.uint32), depth).to_bytes()
+        tree = WaveletMatrix.build(ids.astype(np.uint16 if depth <= 16 else np.uint32, copy=False), depth).to_bytes()
         numbers = np.asarray(doc_ids.fill_null(0)).astype(np.int64)
         head = struct.pack("<II", len(doc_ids), len(tree)) + numbers.tobytes() + np.asarray(doc_ids.is_valid()).astype(np.uint8).tobytes()
         return head + lengths.astype(np.int64).tobytes() + pa.compress(tree, "zstd", asbytes=True)
@@ -172,7 +181,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_
             ids.clear(), lengths.clear(), docs_.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "before", "n_docs", "n_tokens", "data"])
 
-        for piece in pieces(batches, "text", 2 << 20):
+        for piece in pieces(batches, "text"):
             tokens, counts = encoder.encode(piece.column("text"))
             ids.append(tokens)
             lengths.append(counts)

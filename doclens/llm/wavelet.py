@@ -57,9 +57,10 @@ class WaveletMatrix:
         """``symbols``: unsigned integers below ``2**depth``."""
         planes, left = [], symbols
         for level in reversed(range(depth)):
-            bit = (left >> left.dtype.type(level)) & left.dtype.type(1) != 0
+            bit = (left & left.dtype.type(1 << level)) != 0
             planes.append(Plane(np.packbits(bit, bitorder="little"), len(left)))
-            left = np.concatenate([left[~bit], left[bit]])
+            if level:
+                left = np.concatenate([left[~bit], left[bit]])
         return cls(planes, len(symbols))
 
     def access(self, at: np.ndarray) -> np.ndarray:
