@@ -17,6 +17,7 @@ a text without spaces is one piece; an empty table gives an empty store; other c
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ class Encoder:
     """Ids of texts, with those of pieces kept for reuse."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
