@@ -389,7 +389,7 @@ def components(docs: DataFrame) -> DataFrame:
 
     crossing = materialise(_crossing(long, groups(pairs), sketches), "ngram-cross")
     asked = pairs.union(crossing).distinct()
-    wanted = asked.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    wanted = asked.select(F.explode(F.array("a", "b")).alias("name")).distinct().hint("merge")  # the same way at every size
     texts = raw.select("_bytes").mapInArrow(_texts, "name long, text binary").join(wanted, "name", "left_semi").dropDuplicates(["name"])
     texts = materialise(texts, "ngram-texts")
     links = materialise(verified(asked, texts), "ngram-links")
