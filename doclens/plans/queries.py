@@ -55,8 +55,9 @@ def line_rejoin(spark, sf_dir):
 @query(truth.LINES + "SELECT doc_id, count(*) AS line_count, string_agg(text, chr(10) ORDER BY line_no) AS text FROM kept GROUP BY doc_id")
 def line_arrays(spark, sf_dir):
     """The same within the row, without a shuffle."""
-    rows = lines.with_clean_lines(docs(spark, sf_dir), "text", "lines")
-    return rows.where(F.size("lines") > 0).select("doc_id", F.size("lines").cast("long").alias("line_count"), joined(F.col("lines"), "\n").alias("text"))
+    some = docs(spark, sf_dir).where(F.col("text").rlike(r"\S"))  # a filter on the lines would be worked out before them, once for each
+    rows = lines.with_clean_lines(some, "text", "lines")
+    return rows.select("doc_id", F.size("lines").cast("long").alias("line_count"), joined(F.col("lines"), "\n").alias("text"))
 
 
 # Normalisation, on texts with known mistakes put in
