@@ -76,6 +76,12 @@ def test_form_reconciles_totals(spark):
     assert record(spark, form.extract, None).completion_score == 0
 
 
+def test_form_row_markers(spark):
+    r = record(spark, form.extract, "(1)\nTar: \n(2)\nx y\n12 mg\n(3)\nNicotine:\n(4)\nFilter: yes")
+    fields = {f.name: (f.value, f.source) for f in r.fields}
+    assert fields["tar"] == (None, "missing") and fields["nicotine"] == ("12 mg", "marker_reversed") and fields["filter"] == ("yes", "inline")
+
+
 def test_resume_without_headings(spark):
     r = record(spark, resume.extract, "Jo Field\njo@x.org")
     assert (r.name, r.email, r.education, r.experience, r.skills) == ("Jo Field", "jo@x.org", [], [], [])
