@@ -35,7 +35,7 @@ from doclens.llm.words import _CODES, ALNUM, mixed, pieces, powers, text_bytes
 END = 2
 SHARD_TOKENS = 2 << 20
 #: Distinct pieces whose ids a worker keeps; beyond that it starts anew.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 3_000_000
 #: Pieces that the library encodes in one call.
 LEARNED = 2048
 STORE = "part int, seq int, before long, n_docs int, n_tokens long, data binary"
@@ -49,6 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32
         self.forget()
 
@@ -71,10 +72,23 @@ class Encoder:
         self.keys, self.starts, self.sizes = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes)))
         self.used += len(flat)
 
+    def uncut(self, raw: bytes, offsets: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Texts that hold a special token's string stay whole: the library looks for it before it splits."""
+        rows = set()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                rows.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = raw.find(token, at + 1)
+        for row in rows:
+            start = start[(start <= offsets[row]) | (start >= offsets[row + 1])]
+        return start
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column, each ended by END, and how many each has."""
         data, offsets = text_bytes(column)
-        start = piece_starts(data, offsets)
+        raw = data.tobytes()
+        start = self.uncut(raw, offsets, piece_starts(data, offsets))
         end = np.append(start[1:], len(data))
         up, down = powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
@@ -87,7 +101,6 @@ class Encoder:
             if len(self.keys) + len(new) > CACHE_PIECES:
                 self.forget()
                 new = np.arange(len(distinct))
-            raw = data.tobytes()
             self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
         at = np.searchsorted(self.keys, distinct)
         begin, size = self.starts[at][which], self.sizes[at][which].astype(np.int64)
@@ -183,7 +196,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_
             ids.clear(), lengths.clear(), docs_.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "before", "n_docs", "n_tokens", "data"])
 
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", 2 << 20):
             tokens, counts = encoder.encode(piece.column("text"))
             ids.append(tokens)
             lengths.append(counts)

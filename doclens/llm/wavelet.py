@@ -60,7 +60,7 @@ class WaveletMatrix:
             bit = (left & left.dtype.type(1 << level)) != 0
             planes.append(Plane(np.packbits(bit, bitorder="little"), len(left)))
             if level:
-                left = np.concatenate([left[~bit], left[bit]])
+                left = np.concatenate([left.take(np.flatnonzero(~bit)), left.take(np.flatnonzero(bit))])
         return cls(planes, len(symbols))
 
     def access(self, at: np.ndarray) -> np.ndarray:
@@ -78,8 +78,8 @@ class WaveletMatrix:
         for level, plane in enumerate(reversed(self.planes)):
             bit, dealt = plane.bits(), out
             out = np.empty_like(dealt)
-            out[~bit] = dealt[: plane.zeros]
-            out[bit] = dealt[plane.zeros :] | dtype(1 << level)
+            out[np.flatnonzero(~bit)] = dealt[: plane.zeros]
+            out[np.flatnonzero(bit)] = dealt[plane.zeros :] | dtype(1 << level)
         return out
 
     def bounds(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
