@@ -1,4 +1,7 @@
-"""Registered queries: operators over whole tables, each beside SQL that says what they should give."""
+"""Registered queries: operators over whole tables, each beside SQL that says what they should give.
+
+Arrays of records are opened with explode_outer: explode would have the optimiser work them out once more, as a filter.
+"""
 
 from __future__ import annotations
 
@@ -161,8 +164,8 @@ def invoice_amounts(spark, sf_dir):
 
 @query(truth.INVOICES + f"SELECT DISTINCT k AS doc_id, name AS description, CAST(q AS VARCHAR) AS quantity, {truth.money('u')} AS unit_price, {truth.money('q * u')} AS amount FROM rows")
 def invoice_items(spark, sf_dir):
-    found = invoice.extract(R.invoices(spark, sf_dir)).select("doc_id", F.explode("items").alias("i"))
-    return found.select("doc_id", "i.*").distinct()
+    found = invoice.extract(R.invoices(spark, sf_dir)).select("doc_id", F.explode_outer("items").alias("i"))
+    return found.where("i IS NOT NULL").select("doc_id", "i.*").distinct()
 
 
 @query(truth.RECEIPTS + f"SELECT k AS doc_id, 'CORNER MARKET' AS merchant_name, (k % 900 + 100) || ' MAIN STREET' AS merchant_address, '(555) 010-2345' AS merchant_phone, 'R' || lpad(CAST(k AS VARCHAR), 8, '0') AS receipt_number, strftime(d, '%m/%d/%Y') AS receipt_date, '10:' || lpad(CAST(k % 60 AS VARCHAR), 2, '0') || ':05' AS receipt_time, 'CASH' AS payment_method FROM docs")
@@ -178,8 +181,8 @@ def receipt_amounts(spark, sf_dir):
 
 @query(truth.RECEIPTS + f"SELECT k AS doc_id, name AS description, {truth.money('a')} AS amount, count(*) AS n FROM rows GROUP BY ALL")
 def receipt_items(spark, sf_dir):
-    found = receipt.extract(R.receipts(spark, sf_dir)).select("doc_id", F.explode("items").alias("i"))
-    return found.groupBy("doc_id", F.col("i.description").alias("description"), F.col("i.amount").alias("amount")).agg(F.count("*").alias("n"))
+    found = receipt.extract(R.receipts(spark, sf_dir)).select("doc_id", F.explode_outer("items").alias("i"))
+    return found.where("i IS NOT NULL").groupBy("doc_id", F.col("i.description").alias("description"), F.col("i.amount").alias("amount")).agg(F.count("*").alias("n"))
 
 
 @query(truth.FORMS)
@@ -201,13 +204,13 @@ def resume_contact(spark, sf_dir):
 
 @query(truth.EDUCATION)
 def resume_education(spark, sf_dir):
-    return resume.extract(R.resumes(spark, sf_dir)).select("doc_id", F.explode("education").alias("e")).select("doc_id", "e.*")
+    return resume.extract(R.resumes(spark, sf_dir)).select("doc_id", F.explode_outer("education").alias("e")).where("e IS NOT NULL").select("doc_id", "e.*")
 
 
 @query("SELECT c_custkey AS doc_id, 'Firm ' || c_custkey % 50 AS company, 'Senior Analyst' AS job_title, (2000 + c_custkey % 10) || ' - Present' AS duration, 'Built monthly reports for the team|Led weekly planning of work' AS description FROM customer")
 def resume_experience(spark, sf_dir):
-    rows = resume.extract(R.resumes(spark, sf_dir)).select("doc_id", F.explode("experience").alias("e"))
-    return rows.select("doc_id", "e.company", "e.job_title", "e.duration", joined(F.col("e.description")).alias("description"))
+    rows = resume.extract(R.resumes(spark, sf_dir)).select("doc_id", F.explode_outer("experience").alias("e"))
+    return rows.where("e IS NOT NULL").select("doc_id", "e.company", "e.job_title", "e.duration", joined(F.col("e.description")).alias("description"))
 
 
 @query(truth.SKILLS)
