@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from doclens import vocabulary as V
 from doclens.functions import extract as E
 from doclens.functions import text as N
-from doclens.operators import form, invoice, lines, ocr, receipt, resume, scoring, store
+from doclens.operators import entities, form, invoice, lines, ocr, receipt, resume, scoring, store
 from doclens.plans import rendered as R
 from doclens.plans import truth
 
@@ -266,6 +266,12 @@ def route_document(spark, sf_dir):
     return scoring.route(rows).groupBy("corpus", "document_type").agg(F.count("*").alias("n"))
 
 
+@query(truth.ENTITIES)
+def entity_rows(spark, sf_dir):
+    found = entities.entities(R.resumes(spark, sf_dir)).where(F.col("label").isin("PERSON", "EMAIL", "LINKEDIN", "GITHUB", "ORG"))
+    return found.select("doc_id", "label", "text")
+
+
 # The store and its analytics
 
 

@@ -123,6 +123,16 @@ SELECT doc_id, job_id, array_to_string(hit, '|') AS matched, array_to_string(mis
 FROM pairs
 """
 
+ENTITIES = """
+SELECT c_custkey AS doc_id, 'PERSON' AS label, 'Avery ' || ['Stone', 'Field', 'Brook', 'Marsh', 'Ridge'][c_custkey % 5 + 1] AS text FROM customer
+UNION ALL SELECT c_custkey, 'EMAIL', 'avery' || c_custkey || '@mail.example.com' FROM customer
+UNION ALL SELECT c_custkey, 'LINKEDIN', 'linkedin.com/in/avery-' || c_custkey FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'GITHUB', 'https://github.com/avery' || c_custkey FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, 'ORG', 'Lakeside University ' || c_custkey % 9 FROM customer
+UNION ALL SELECT c_custkey, 'ORG', 'Company: Firm ' || c_custkey % 50 FROM customer
+UNION ALL SELECT c_custkey, 'ORG', 'Hillside College' FROM customer WHERE c_custkey % 4 = 0
+"""
+
 SECTIONS = """
 SELECT c_custkey AS doc_id, s.section, CAST(CASE WHEN s.section = 'education' AND c_custkey % 4 = 0 THEN 6 ELSE s.n END AS BIGINT) AS n_lines FROM customer,
   (VALUES ('profile', 5), ('summary', 1), ('skills', 3), ('education', 4), ('experience', 5), ('projects', 2), ('certifications', 1), ('languages', 1)) AS s(section, n)

@@ -109,6 +109,15 @@ def test_sections_and_dedupe(spark):
     assert lines.dedupe_lines(rows).count() == 5
 
 
+def test_entities(spark):
+    from doclens.operators import entities
+
+    text = "CURRICULUM\nSkills\nÉva Stone\nmail e@x.org or e@x.org\nhttps://github.com/eva and https://x.org/a\nRiver College\nlondon"
+    rows = entities.entities(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("ord").collect()
+    assert [(r.label, r.text) for r in rows] == [("PERSON", "Éva Stone"), ("EMAIL", "e@x.org"), ("GITHUB", "https://github.com/eva"), ("WEBSITE", "https://x.org/a"), ("GPE", "London"), ("ORG", "River College")]
+    assert value(spark, entities.section_containing, "My Work Experience here", "none") == ["experience", None]
+
+
 def test_split_is_exact(spark):
     rows = spark.range(200).select(F.col("id").alias("k"), F.when(F.col("id") < 20, "a").otherwise("b").alias("label"))
     got = {(r.label, r.split): r["count"] for r in store.stratified_split(rows, "label", "k").groupBy("label", "split").count().collect()}
