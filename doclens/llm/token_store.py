@@ -8,7 +8,7 @@ protocol and file systems), so a lost executor costs its own shards only. Only o
 number the ids across partitions.
 
 Encoding is the tokenizer library's. Byte-level BPE of this kind splits a text at certain places whatever else it holds
-(before white space after other characters, before a punctuation mark after a letter, after a line feed), so the text is cut there and
+(before white space after other characters, before a punctuation mark after a letter, around a line feed that ends white space), so the text is cut there and
 each distinct piece is encoded once, its ids kept by a 64-bit hash of the piece in a bounded cache of the Python worker.
 
 Cases: a null or empty text is the end id alone; a null doc_id sorts first; repeated doc_ids stand side by side, by text;
@@ -124,8 +124,9 @@ _PLAIN = (_BYTE > 0x20) & (_BYTE < 0x7F)
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where pieces begin: at each text; at white space after a byte known to be of none; at a punctuation mark after a letter
-    or digit; after a line feed before a byte known to be of no white space. Known are ASCII and the letters that begin with byte
-    C3, so that no cut depends on tables of Unicode."""
+    or digit; before and after a line feed that a byte known to be of no white space follows, as ``\\s+(?!\\S)|\\s+`` leaves the last
+    white space before a word to itself. Known are ASCII and the letters that begin with byte C3, so that no cut depends on tables of
+    Unicode."""
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n > 1:
@@ -133,7 +134,12 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         latin = np.zeros(n - 1, bool)  # the byte before ends a letter such as e with an accent
         latin[1:] = (data[:-2] == 0xC3) & (before[1:] >= 0x80) & (before[1:] != 0x97) & (before[1:] != 0xB7)
         letter = (ALNUM[before] & (before < 0x80)) | latin
-        cut[1:n] = (_SPACE[here] & (_PLAIN[before] | latin)) | (_MARK[here] & letter) | ((before == 0x0A) & (_PLAIN[here] | (here == 0xC3)))
+        cut[1:n] = (_SPACE[here] & (_PLAIN[before] | latin)) | (_MARK[here] & letter)
+        last = (before == 0x0A) & (_PLAIN[here] | (here == 0xC3))
+        inner = offsets[(offsets > 0) & (offsets < n)]
+        last[inner - 1] = False  # the byte that follows is another text's
+        cut[1:n] |= last
+        cut[: n - 1] |= last
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     return np.flatnonzero(cut[:n])
 

@@ -176,6 +176,21 @@ def test_token_store_of_nothing(spark, tokenizer_file, tmp_path):
     assert token_store.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_encoder_of_white_space_runs(tokenizer_file):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    texts = ["a\n\nb", "a\n\n\n\nb", " \n\nb", "abc\n\nabc", "a.\n\nb", "a\r\nb", "a \n", "b", "\n", "\nb", "", "a \n\n", "x"]
+    texts += ["".join(rng.choice(["\n", "\n", "\n\n", " ", "\t", "\r", "\x0b", "\u00a0", "\u2003", "a", "Bc", "7", ".", "'s", "é", "×", "日"]) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    plain = Tokenizer.from_file(tokenizer_file)
+    ids, counts = token_store.Encoder(tokenizer_file).encode(pa.array([t.encode() for t in texts], pa.binary()))
+    for text, end, n in zip(texts, np.cumsum(counts), counts, strict=True):
+        assert ids[end - n : end].tolist() == [*plain.encode(text, add_special_tokens=False).ids, token_store.END], text
+
+
 def test_encoder_cache_starts_anew(tokenizer_file, monkeypatch):
     import pyarrow as pa
 
