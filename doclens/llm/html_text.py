@@ -7,6 +7,9 @@ smoothed by a Gaussian, weighted by the markup (0 within boilerplate, more withi
 (two means on a log scale). Regions with a line in the upper cluster are content: all their lines outside boilerplate
 are kept, short ones too. If an article is among them, regions outside articles are not.
 
+Classes and ids name boilerplate only below ``html`` and ``body``, and not in modifiers (``no-sidebar``, ``comments-open``). An
+article or main part within an element so named is kept if it has more text than the articles outside of such elements.
+
 A page is one row and one task's work; nothing is shuffled.
 
 Cases: null or empty html, and a page of boilerplate alone, gives an empty text; broken markup (tags left open, stray end
@@ -39,27 +42,32 @@ ARTICLES, DIVISIONS = frozenset(["article", "main"]), frozenset(["div", "section
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager widget toolbar".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
+MODIFIERS = re.compile(r"(?:no|has|with|without)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled)")
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
+NOTHING = (False, False, 0, False, False, False)
+
+
 class Lines(HTMLParser):
-    """Lines of one page: text, tags, region, whether the region is an article, whether boilerplate holds it."""
+    """Lines of one page: text, tags, region, whether the region is an article, whether boilerplate holds it, whether it is in
+    an article that an element named as boilerplate holds."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
-        self.stack: list[tuple[str, bool, bool, int, bool]] = []  # tag, skipped, boilerplate, region, in an article
+        self.lines: list[tuple[str, int, int, bool, bool, bool]] = []
+        self.stack: list[tuple[str, bool, bool, int, bool, bool, bool]] = []  # tag, skipped, boilerplate, region, in an article, named, article in named
         self.open: dict[str, int] = {}
         self.text: list[str] = []
         self.tags = self.regions = 0
-        self.last = (False, False, 0, False)  # of what is open
+        self.last = NOTHING  # of what is open
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            _, boilerplate, region, article = self.last
-            self.lines.append((text, self.tags, region, article, boilerplate))
+            _, boilerplate, region, article, named, within = self.last
+            self.lines.append((text, self.tags, region, article, boilerplate or named, within))
             self.tags = 0
 
     def drop(self, tag: str) -> None:
@@ -69,7 +77,7 @@ class Lines(HTMLParser):
             self.open[name] -= 1
             if name == tag:
                 break
-        self.last = self.stack[-1][1:] if self.stack else (False, False, 0, False)
+        self.last = self.stack[-1][1:] if self.stack else NOTHING
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -86,13 +94,16 @@ class Lines(HTMLParser):
                     self.drop(name)
         if tag in VOID:
             return
-        skipped, boilerplate, region, article = self.last
+        skipped, boilerplate, region, article, named, within = self.last
         skipped = skipped or tag in SKIPPED
-        boilerplate = boilerplate or tag in BOILERPLATE or tag == "header" and not article or marked(attrs)
+        boilerplate = boilerplate or tag in BOILERPLATE or tag == "header" and not article or hidden(attrs)
+        if tag in ARTICLES and named:
+            named, within = False, True
+        named = named or tag not in ("html", "body") and marked(attrs)
         if tag in DIVISIONS and not article:
             self.regions += 1
             region, article = self.regions, tag in ARTICLES
-        self.stack.append((tag, skipped, boilerplate, region, article))
+        self.stack.append((tag, skipped, boilerplate, region, article, named, within))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.last = self.stack[-1][1:]
 
@@ -123,10 +134,16 @@ class Lines(HTMLParser):
 
 
 def marked(attrs: list) -> bool:
-    """Whether attributes name a menu, sidebar, notice, advert or the like, or hide the element."""
+    """Whether a class or id names a menu, sidebar, notice, advert or the like."""
+    names = (n for name, value in attrs if name in ("class", "id") for n in (value or "").lower().split())
+    return any(not NAMES.isdisjoint(_NAME.split(n)) and not MODIFIERS.fullmatch(n) for n in names)
+
+
+def hidden(attrs: list) -> bool:
+    """Whether attributes give the role of a menu, dialog or the like, or hide the element."""
     for name, value in attrs:
         value = (value or "").lower()
-        if name in ("class", "id") and not NAMES.isdisjoint(_NAME.split(value)) or name == "role" and value in ROLES:
+        if name == "role" and value in ROLES:
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -158,7 +175,10 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = parser.lines
+    size = [0, 0]  # of articles outside and inside of named elements
+    for text, _, _, article, boilerplate, within in parser.lines:
+        size[within] += len(text) * (article and not boilerplate)
+    lines = [(*line, boilerplate or within and size[1] <= size[0]) for *line, boilerplate, within in parser.lines]
     if not any(not boilerplate for *_, boilerplate in lines):
         return ""
     ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))

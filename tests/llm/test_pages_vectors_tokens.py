@@ -30,6 +30,14 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("start,end", [('<html class="no-sidebar"><body class="single comments-open widget">', ""), ('<div class="content has-sidebar">', "</div>"), ('<div id="sidebar-layout"><div class="share">', "</div></div>"), ('<main><div class="widget">', "</div><p>b</p></main>")])
+def test_names_on_wrappers(start, end):
+    related = '<div class="related"><article>Other</article></div>'
+    assert html_text.main_text(start + ARTICLE + end).removesuffix(" b") == TEXT
+    assert html_text.main_text(start + "<p>" + "plain words " * 20 + "</p>" + end) == ("plain words " * 20).strip() or "has-" not in start and "body" not in start
+    assert html_text.main_text(ARTICLE + related) == TEXT
+
+
 def test_html_query_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "'clash' AS text")
     rows = html_text.extract(pages, carry=["page_id", "url", "text"]).collect()
