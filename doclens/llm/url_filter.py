@@ -1,13 +1,14 @@
 """URL filters: listed rules first, and a path-template tree of each host for the rest.
 
-Pages that a rule judges are the labelled ones. Paths are cut into segments, runs of digits generalised to ``#``; level by
-level, a host's template with more than ``MAX_BRANCHES`` different next segments gets the wildcard ``*`` there, and other
-sibling branches whose labelled block shares do not differ significantly (two-proportion z-test between neighbours by share)
-merge into one. A template's purity is its labelled block share, smoothed by ``SMOOTHING`` pages of the overall share; at
-``REJECT`` or more its pages without a rule are blocked.
+Pages that a rule judges are the labelled ones. Paths are cut into segments, runs of digits generalised to ``#``, and followed to
+their end, level by level. Below a host's template a segment with ``LEAST_PAGES`` pages or ``LEAST_LABELLED`` labelled ones is a branch
+of its own, whatever its siblings are; only the sparse rest shares the wildcard ``*``. Branches whose labelled block shares do not differ
+significantly (two-proportion z-test between neighbours by share) merge into one. A template's purity is its labelled block share,
+smoothed by ``SMOOTHING`` pages of the overall share; at ``REJECT`` or more its pages without a rule are blocked.
 
 All of it is grouping and joining of counts by host and template: pages are first summed by host and generalised path, so a host with
-a third of all pages is a sum of partial sums, and a window sees no more than ``MAX_BRANCHES`` siblings.
+a third of all pages is a sum of partial sums, and a window sees only siblings with enough labelled pages. Templates that hold one
+path, or too few pages for any branch, are ended at once, so the levels are those where paths with enough pages part.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed unless its template is
 rejected; a path ends at ``?``, ``#`` or the end; repeated pages count each; ties between equally long rules go to the
@@ -27,9 +28,12 @@ from doclens.session import materialise
 # The listed rules, host and path as one.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
-MAX_DEPTH, MAX_BRANCHES = 4, 8
-#: Neighbouring branches merge below this z-value, if both have so many labelled pages.
-SIMILAR_Z, LEAST_LABELLED = 1.645, 5
+#: A segment with so many pages, or labelled pages, is a branch of its own.
+LEAST_PAGES, LEAST_LABELLED = 5, 5
+#: Neighbouring branches merge below this z-value, if both have enough labelled pages.
+SIMILAR_Z = 1.645
+#: Segments that the name of a merged branch lists; it counts the others.
+NAMED = 8
 SMOOTHING, REJECT = 10.0, 0.7
 
 RESULT = ["host", "path", "rule", "template", "purity", "verdict"]
@@ -59,29 +63,44 @@ def verdict_of(rule: Column, rules: dict[str, str] = RULES) -> Column:
 
 def templates(paths: DataFrame) -> DataFrame:
     """``paths``: host, shape (generalised path), n, n_labelled, n_blocked. Adds the template that each falls under."""
-    state = materialise(
+    live = materialise(
         paths.withColumn("segments", F.filter(F.split("shape", "/"), lambda s: s != "")).withColumn("template", F.lit("")),
         "url-paths",
     )
-    share = F.col("n_blocked") / F.greatest(F.lit(1), F.col("n_labelled"))
-    siblings = Window.partitionBy("host", "template").orderBy(F.col("n_labelled") < LEAST_LABELLED, share, "segment")
-    for level in range(MAX_DEPTH):
-        here = state.withColumn("segment", F.get("segments", F.lit(level)))
-        counts = here.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n_labelled").alias("n_labelled"), F.sum("n_blocked").alias("n_blocked"))
-        fan = counts.groupBy("host", "template").agg((F.count("*") > MAX_BRANCHES).alias("wild"))
-        few = counts.join(fan.where("not wild"), ["host", "template"], "left_semi")
-        before = [F.lag(c).over(siblings) for c in ("n_labelled", "n_blocked")]
-        both = (F.col("n_blocked") + before[1]) / (F.col("n_labelled") + before[0])
-        error = F.sqrt(both * (1 - both) * (1 / F.col("n_labelled") + 1 / before[0]))
-        apart = F.abs(share - before[1] / before[0])
-        similar = (F.least(F.col("n_labelled"), before[0]) >= LEAST_LABELLED) & ((apart == 0) | (apart < SIMILAR_Z * error))
-        cut = few.withColumn("opens", F.when(F.coalesce(similar, F.lit(False)), 0).otherwise(1))
-        branches = cut.withColumn("branch", F.sum("opens").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
-        names = branches.groupBy("host", "template", "branch").agg(F.array_join(F.array_sort(F.collect_list("segment")), "|").alias("name"), F.collect_list("segment").alias("members"))
-        named = names.select("host", "template", F.explode("members").alias("segment"), "name")
-        step = F.when(F.col("segment").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("name", F.lit("*"))))
-        state = materialise(here.join(named, ["host", "template", "segment"], "left").withColumn("template", F.concat("template", step)).drop("segment", "name"), "url-level")
-    return state.withColumn("template", F.when(F.size("segments") > MAX_DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+    sums = [F.sum(c).alias(c) for c in ("n", "n_labelled", "n_blocked")]
+    enough = (F.col("n") >= LEAST_PAGES) | (F.col("n_labelled") >= LEAST_LABELLED)
+    tested = F.col("n_labelled") >= LEAST_LABELLED
+    share = F.col("n_blocked") / F.col("n_labelled")
+    siblings = Window.partitionBy("host", "template").orderBy(share, "segment")
+    before = [F.lag(c).over(siblings) for c in ("n_labelled", "n_blocked")]
+    both = (F.col("n_blocked") + before[1]) / (F.col("n_labelled") + before[0])
+    error = F.sqrt(both * (1 - both) * (1 / F.col("n_labelled") + 1 / before[0]))
+    apart = F.abs(share - before[1] / before[0])
+    opens = F.when((apart == 0) | (apart < SIMILAR_Z * error), 0).otherwise(1)
+    members = Window.partitionBy("host", "template", "branch")
+    key, level, done = ["host", "template", "segment"], 0, []
+    while not live.isEmpty():
+        here = live.withColumn("segment", F.get("segments", F.lit(level)))
+        done.append(here.where("segment is null").select(*paths.columns, "template"))
+        counts = materialise(here.where("segment is not null").groupBy(*key).agg(*sums, F.count("*").alias("shapes")), "url-counts")
+        cut = counts.where(tested).withColumn("opens", opens).withColumn("branch", F.sum("opens").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
+        placed = cut.withColumn("place", F.row_number().over(members.orderBy("segment"))).withColumn("size", F.count("*").over(members))
+        listed = placed.where(F.col("place") <= NAMED).groupBy("host", "template", "branch").agg(F.array_join(F.array_sort(F.collect_list("segment")), "|").alias("listed"))
+        more = F.when(F.col("size") > NAMED, F.concat(F.lit("|+"), F.col("size") - NAMED)).otherwise(F.lit(""))
+        merged = placed.join(listed, ["host", "template", "branch"]).select(*counts.columns, F.concat("listed", more).alias("name"))
+        alone = counts.where(~tested).withColumn("name", F.when(enough, F.col("segment")).otherwise(F.lit("*")))
+        named = materialise(merged.unionByName(alone), "url-branches")
+        # a branch that no further level can divide: the rest of its paths stands as it is, or is sparse altogether
+        below = named.groupBy("host", "template", "name").agg(*sums, F.sum("shapes").alias("shapes"))
+        ended = below.select("host", "template", "name", F.when(~enough, F.lit("sparse")).when(F.col("shapes") == 1, F.lit("one")).alias("end"))
+        step = here.join(named.join(ended, ["host", "template", "name"]).select(*key, "name", "end"), key)
+        rest = F.slice("segments", level + 2, F.size("segments"))
+        tail = F.when(F.col("end") == "one", rest).when(F.col("end") == "sparse", F.transform(rest, lambda s: F.lit("*")))
+        template = F.array_join(F.concat(F.array("template", "name"), F.coalesce(tail, F.array().cast("array<string>"))), "/")
+        step = materialise(step.withColumn("template", template), "url-level")
+        done.append(step.where("end is not null").select(*paths.columns, "template"))
+        live, level = step.where("end is null").drop("segment", "name", "end"), level + 1
+    return reduce(DataFrame.unionByName, done, live.select(*paths.columns, "template"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:

@@ -86,6 +86,23 @@ def test_similar_branches_merge(spark):
     assert {r["shape"]: r.template for r in rows} == {"/a/#": "/a|b/#", "/b/#": "/a|b/#", "/c/#": "/c|d/#", "/d/#": "/c|d/#", "/e": "/e"}
 
 
+def test_clean_sections_of_a_wide_host_stay_allowed(spark):
+    clean = [f"s{chr(97 + i)}" for i in range(20)]
+    urls = [f"http://a.example.com/de/{i}" for i in range(24)] + [f"http://a.example.com/{s}/{i}" for s in clean for i in range(3 if s < "sf" else 6)]
+    deep = [("h", f"/a/b/c/d/{s}/#", 10, 10, 10 * (s == "bad")) for s in ("bad", "good")] + [("h", f"/a/b/c/d/x{i}/y/{i}", 1, 0, 0) for i in range(3)]
+    deep += [("m", f"/p{i:02}/{k}", 5, 5, 5) for i in range(20) for k in "ab"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rows = url_filter.judge(pages).collect()
+    assert {r.verdict for r in rows if r.path.startswith("/de/")} == {"block"}
+    assert {r.verdict for r in rows if not r.path.startswith("/de/")} == {"allow"}
+    assert {r.template for r in rows if r.path.startswith("/sk/")} == {"/sk/#"}
+    rows = url_filter.templates(spark.createDataFrame(deep, "host string, shape string, n long, n_labelled long, n_blocked long")).collect()
+    got = {r["shape"]: r.template for r in rows}
+    assert len(rows) == len(deep) and got["/a/b/c/d/bad/#"] == "/a/b/c/d/bad/#" and got["/a/b/c/d/good/#"] == "/a/b/c/d/good/#"
+    assert {got[f"/a/b/c/d/x{i}/y/{i}"] for i in range(3)} == {"/a/b/c/d/*/*/*"}
+    assert {t for s, t in got.items() if s.startswith("/p")} == {"/" + "|".join(f"p{i:02}" for i in range(8)) + "|+12/a|b"}
+
+
 def brute_neighbours(rows, k=5):
     good = [(i, np.asarray(v, float)) for i, v in rows if i is not None and v is not None and None not in v and len(v) == 8 and np.isfinite(np.asarray(v, float)).all() and any(v)]
     out = {}
