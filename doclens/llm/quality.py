@@ -3,13 +3,15 @@
 Trusted positives and unlabelled text are enough: the non-negative unbiased risk is
 ``prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])``, and where the bracket falls below zero the step
 goes up that part instead. The class prior is estimated first, from a plain positive-against-unlabelled classifier: the
-least ratio, over thresholds, of the unlabelled share above to the positive share above. Model: one hidden layer over
+least ratio, over thresholds, of the unlabelled share above to the positive share above, counted over all documents. Model: one hidden layer over
 counted features of the whole text (kinds of bytes, shapes of words, repeats), trained by Adam in NumPy.
 
-The fit uses a bounded sample of the documents (``SAMPLE`` rows, those of least hash); scoring takes every text as a whole in one
-pass without a shuffle. Labels of class 0 are not used.
+The fit uses bounded samples (those of least hash): half of ``SAMPLE`` of the labelled positives and half of all documents, which
+are the unlabelled text whatever labels they have. The prior's thresholds are counted by a histogram over all documents, but for
+those that its classifier was fitted on; ids and bins alone are shuffled. Scoring takes every text as a whole in one pass without a
+shuffle. Labels of class 0 are not used.
 
-Cases: a null or empty text has all features 0 and is scored as such; without positives or without unlabelled rows the
+Cases: a null or empty text has all features 0 and is scored as such; without positives the
 score is 0.5; repeated rows and ties get equal scores; an empty table gives an empty result; other columns stay, but for
 ``score``, which is replaced.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from doclens.llm.words import NOT_SPACE, pieces, spans_hash, text_bytes, words_of
 
-#: Documents whose features the fit is made on; their positives and unlabelled rows are used.
+#: Rows whose features the fit is made on, half of them positives.
 SAMPLE = 24_000
 HIDDEN, EPOCHS, BATCH, RATE = 16, 40, 512, 0.01
 
@@ -111,7 +113,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, back: tuple[np.ndarray, np.ndarray], above, seed: int = 5) -> Model:
+    """``back`` are the rows of each held back from the first classifier, ``above(model, cuts)`` counts for ``class_prior``."""
     every = np.concatenate([positive, unlabelled])
     mean, scale = every.mean(0), every.std(0) + 1e-3
     if not len(positive) or not len(unlabelled):
@@ -120,9 +123,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> Model:
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
     new = lambda: [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
 
-    def batches(epochs: int, low: int = 0, parts: int = 1):
-        """Pairs of positive and unlabelled rows, as many of each; those at ``low`` modulo ``parts`` are left out."""
-        own = [x[np.arange(len(x)) % parts != low] if parts > 1 else x for x in (p, u)]
+    def batches(epochs: int, own: list[np.ndarray]):
+        """Pairs of positive and unlabelled rows, as many of each."""
         for _ in range(epochs * -(-len(own[1]) // BATCH)):
             yield np.concatenate([x[rng.integers(0, len(x), BATCH)] for x in own]), BATCH
 
@@ -132,8 +134,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> Model:
         return s / len(g)
 
     layers = new()
-    _adam(layers, batches(EPOCHS // 4, 0, 2), plain)
-    prior = class_prior(_forward(layers, p[::2])[1], _forward(layers, u[::2])[1])
+    _adam(layers, batches(EPOCHS // 4, [x[~b] if not b.all() else x for x, b in zip((p, u), back, strict=True)]), plain)
+    scores = _forward(layers, p[back[0]] if back[0].any() else p)[1]
+    prior = class_prior(*above(Model(mean, scale, layers, 0.5), np.quantile(scores, np.linspace(0, 0.9, 91))))
 
     def non_negative(g: np.ndarray, n: int) -> np.ndarray:
         s, out = _sigmoid(g), np.zeros_like(g)
@@ -147,40 +150,64 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> Model:
         return out
 
     layers = new()
-    _adam(layers, batches(EPOCHS), non_negative)
+    _adam(layers, batches(EPOCHS, [p, u]), non_negative)
     return Model(mean, scale, layers, prior)
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.05) -> float:
-    """Share of positives among the unlabelled: the least upper bound on it over thresholds of held-back scores."""
-    cuts = np.quantile(positive, np.linspace(0, 0.9, 91))
-    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
-    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
-    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(unlabelled)) + 1 / np.sqrt(len(positive)))
+    """Share of positives among the unlabelled: the least upper bound on it over thresholds. Given are how many rows score at
+    least each threshold, and last how many there are."""
+    p, u = positive[:-1] / max(1, positive[-1]), unlabelled[:-1] / max(1, unlabelled[-1])
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(max(1, unlabelled[-1])) + 1 / np.sqrt(max(1, positive[-1])))
     best = int(np.argmin((u + slack) / np.maximum(1e-9, p)))
-    return float(np.clip(u[best] / p[best], 0.02, 0.98))
+    return float(np.clip(u[best] / max(1e-9, p[best]), 0.02, 0.98))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int = SAMPLE) -> Model:
-    """Positives are the rows of ``labels`` with class 1 for which ``learn`` holds; documents without any label are the
-    unlabelled text."""
-    n = docs.count()
+    """Positives are the rows of ``labels`` with class 1 for which ``learn`` holds; all documents are the unlabelled text, their
+    labels unread."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = labels.where(learn & (F.col(label) == 1)).select("doc_id").distinct()
+    positives = docs.select("doc_id").join(own, "doc_id", "left_semi")
     ticket = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(1 << 53))
-    some = docs.where(ticket < min(1.0, sample / max(1, n))).select("doc_id", F.col("text").cast("binary").alias("_bytes"))
+    half = sample / 2
+    good, some = ((ticket < min(1.0, half / max(1, df.count()))) for df in (positives, docs))
+    back = F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit(1)) == 0
+    picked = F.broadcast(positives.where(good).distinct().withColumn("good", F.lit(True)))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("_bytes")).join(picked, "doc_id", "left").where(F.col("good") | some)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "_bytes"):
             x = features_of(piece.column("_bytes"))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], ["doc_id", "x"])
-
-    own = labels.select("doc_id", (learn & (F.col(label) == 1)).alias("good"))
-    rows = some.mapInArrow(counted, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>").join(own, "doc_id", "left")
-    known = rows.where("good is null or good").select("good", "x").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    if not known.num_rows:
-        return fit(np.zeros((0, len(FEATURES))), np.zeros((0, len(FEATURES))))
-    x = np.asarray(known["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES))
-    good = np.asarray(known["good"].fill_null(False))
-    return fit(x[good], x[~good])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "good", "some", "back")), lists], ["doc_id", "good", "some", "back", "x"])
+
+    flags = [F.coalesce("good", F.lit(False)).alias("good"), some.alias("some"), back.alias("back")]
+    made = rows.select("doc_id", *flags, "_bytes").mapInArrow(counted, f"doc_id {kind}, good boolean, some boolean, back boolean, x array<double>")
+    known = made.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    x = np.asarray(known["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)) if known.num_rows else np.zeros((0, len(FEATURES)))
+    is_good, is_some, is_back = (np.asarray(known[c].combine_chunks().to_numpy(zero_copy_only=False), bool) for c in ("good", "some", "back"))
+
+    def above(model: Model, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in pieces(batches, "_bytes"):
+                bins = np.searchsorted(cuts, model.logits(features_of(piece.column("_bytes"))), "right")
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(bins.astype(np.int32))], ["doc_id", "bin"])
+
+        bins = docs.select("doc_id", F.col("text").cast("binary").alias("_bytes")).mapInArrow(binned, f"doc_id {kind}, bin int")
+        flagged = bins.join(own.withColumn("good", F.lit(True)), "doc_id", "left")
+        count = lambda test: F.count(F.when(test, 1))
+        found = flagged.groupBy("bin").agg(count(F.col("good") & (back | ~good)).alias("p"), count(back | ~some).alias("u"), count(F.col("good")).alias("every_p"), F.count("*").alias("every_u")).collect()
+        out = []
+        for c in ("p", "u"):
+            c = c if any(r[c] for r in found) else f"every_{c}"
+            counts = np.zeros(len(cuts) + 1)
+            for r in found:
+                counts[r.bin] = r[c]
+            out.append(np.append(counts[::-1].cumsum()[::-1][1:], counts.sum()))
+        return tuple(out)
+
+    return fit(x[is_good], x[is_some], (is_back[is_good], is_back[is_some]), above)
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:

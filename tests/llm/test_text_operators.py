@@ -298,6 +298,19 @@ def test_quality_from_positives_and_unlabelled(spark):
     assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
 
 
+def test_quality_with_few_or_all_labels(spark):
+    from pyspark.sql import functions as F
+
+    docs, _, truth = labelled(spark)
+    every = spark.createDataFrame(truth, "doc_id long, quality int, toxic int")
+    for labels, learn, sample in ((every, F.col("doc_id") % 5 != 0, quality.SAMPLE), (every.where("doc_id < 60"), F.lit(True), 200)):
+        model = quality.train(docs, labels, "quality", learn, sample)
+        scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+        assert sum((scores[i] >= 0.3) != bool(q) for i, q, _ in truth) <= 0.05 * len(truth)
+    one = quality.train(docs, every.where("doc_id = 1"), "quality", F.lit(True))
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, one).collect())
+
+
 def test_fold_rule(spark):
     from doclens.llm.queries import remainder
 
