@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document. A template is found in a block that holds at least ``THRESHOLD`` of the template's
+A block is a line of a document, or a window of ``WINDOW`` times a template's words that crosses line ends, so wrapped notices are
+found too. Windows are looked at for templates that pass the same filters on the words of the whole text. A template is found in a block that holds at least ``THRESHOLD`` of the template's
 distinct words. Template words are ordered by how many blocks of the whole corpus hold them, rarest first. Then a
 template of n words that needs o of them (``o = ceil(THRESHOLD * n)``) is a candidate only if
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from doclens.llm.words import ALNUM, ALNUM_TRANSLATION, pieces, text_bytes, words_of
 
 THRESHOLD = 0.9
+#: Words of a window over line ends, as a multiple of those of the template.
+WINDOW = 2
 MAX_TEMPLATES, MAX_TEMPLATE_WORDS = 20_000, 2_000_000
 
 # Phrases of the base rule and their labels.
@@ -75,7 +78,7 @@ class Index:
     """Templates in the global order of their words, with an inverted list of their prefixes."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
-        self.templates, self.prefix = [], {}
+        self.templates, self.prefix, self.sizes = [], {}, []
         for label, text in templates:
             words = sorted(set(tokens(text)), key=lambda w: (frequency.get(w, 0), w))
             if words:
@@ -83,9 +86,49 @@ class Index:
                 for at, w in enumerate(words[: len(words) - need + 1]):
                     self.prefix.setdefault(w, []).append((len(self.templates), at))
                 self.templates.append((label, words, need))
+                self.sizes.append(len(tokens(text)))
 
     def find(self, block: set[bytes]) -> list[tuple[str, float]]:
-        """Label and containment of each template that the block holds, but for those whose words another found one has all."""
+        """Label and containment of each template that the block holds, but for those whose words another found one has all and adds to."""
+        found = [(*self.templates[number][:2], overlap) for number, overlap in self.held(block)]
+        return [(label, overlap / len(words)) for label, words, overlap in found if not any(set(words) < set(other) and more > overlap for _, other, more in found)]
+
+    def wrapped(self, lines: list[list[bytes]]) -> list[tuple[int, str, float]]:
+        """First line, label and containment of each template in a window over line ends that none of its lines holds alone."""
+        every = self.held(set().union(*lines)) if len(lines) > 1 else []
+        if not every:
+            return []
+        words_at = [w for line in lines for w in line]
+        line_at = [i for i, line in enumerate(lines) for _ in line]
+        found = []
+        for number, _ in every:
+            label, words, need = self.templates[number]
+            own, size = set(words), WINDOW * self.sizes[number]
+            at = [i for i, w in enumerate(words_at) if w in own]
+            counts, low, best, start = Counter(), 0, 0, None
+            for high, i in enumerate(at):
+                counts[words_at[i]] += 1
+                while i - at[low] >= size or counts[words_at[at[low]]] > 1:
+                    counts[words_at[at[low]]] -= 1
+                    counts += Counter()
+                    low += 1
+                if start is not None and (at[low] > start[1] or len(counts) > best):
+                    if at[low] > start[1]:
+                        found.append((*start, label, own, best))
+                    start, best = None, 0
+                if len(counts) >= need and len(counts) > best:
+                    start, best = (at[low], i), len(counts)
+            if start is not None:
+                found.append((*start, label, own, best))
+        out = []
+        for a, b, label, own, best in found:
+            shadowed = any(own < other and more > best and x <= b and a <= y for x, y, _, other, more in found)
+            if line_at[a] != line_at[b] and not shadowed:
+                out.append((line_at[a], label, best / len(own)))
+        return out
+
+    def held(self, block: set[bytes]) -> list[tuple[int, int]]:
+        """Number of each template that the block holds, and how many of its words."""
         found, seen = [], set()
         for w in block & self.prefix.keys():
             for number, at in self.prefix[w]:
@@ -98,8 +141,8 @@ class Index:
                 seen.add(number)
                 overlap = sum(x in block for x in words)
                 if overlap >= need:
-                    found.append((label, overlap / len(words), set(words)))
-        return [(label, c) for label, c, words in found if not any(words < other for _, _, other in found)]
+                    found.append((number, overlap))
+        return found
 
 
 def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
@@ -119,7 +162,7 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns of ``docs`` by default) with the columns of RESULT. ``score`` is 1 where a phrase stands,
-    else the greatest containment of a found template, else 0; ``blocks`` are the found lines with label and containment."""
+    else the greatest containment of a found template, else 0; ``blocks`` are the found lines, or first lines, with label and containment."""
     sizes = [len(set(tokens(t))) for _, t in templates]
     if len(templates) > MAX_TEMPLATES or sum(sizes) > MAX_TEMPLATE_WORDS:
         raise ValueError("more templates than one task holds: scan them in parts")
@@ -134,7 +177,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
             n_words, places = _places(piece.column("_bytes"), phrase_hashes)
             n_base, first, last, base, every, score, found = [], [], [], [], [], [], []
             for text, at in zip(piece.column("_bytes").to_pylist(), places, strict=True):
-                hits = [(i, label, c) for i, block in enumerate(blocks(text or b"")) for label, c in index.find(set(tokens(block)))]
+                lines = [tokens(block) for block in blocks(text or b"")]
+                hits = [(i, label, c) for i, line in enumerate(lines) for label, c in index.find(set(line))]
+                hits += index.wrapped(lines)
                 own = {of_phrases[k][1] for k, _ in at}
                 starts = [s for _, s in at]
                 n_base.append(len(at))

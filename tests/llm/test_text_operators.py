@@ -206,6 +206,18 @@ def test_licenses(spark):
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    import textwrap
+
+    full = [(label, t) for label, t in licenses.TEMPLATES if len(t.split()) > 4]
+    texts = ["some code here\n" + "\n".join(" * " + line for line in textwrap.wrap(t, 20)) + "\nmore code" for _, t in full]
+    texts.append("\n".join(w + " filler" * 30 for w in full[1][1].split()))
+    rows = licenses.scan(docs_of(spark, texts)).orderBy("doc_id").collect()
+    for (label, _), r in zip(full, rows):
+        assert label in r.labels.split(",") and r.score >= 0.9 and r.blocks
+    assert rows[-1].labels == ""
+
+
 def test_mixing(spark):
     rng = random.Random(0)
     texts = ["w " * rng.choice((0, 1, 5, 50, 400)) for _ in range(300)] + [None, "", "w w w\x0bw"]
