@@ -13,7 +13,7 @@ each block a pass over the documents.
 Cases: a null or empty text has no words and is clean; an item without words is no phrase; a null item_id is not
 reported in ``item_ids`` though its phrases count as hits; repeated documents and items keep their own rows and ids;
 an empty table of documents gives an empty result and an empty benchmark leaves all documents clean; other columns of
-the input stay, but for those named like a result column, which are replaced.
+the input stay, whatever their names, but for those named like a result column, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doclens.llm.passes import TEXT, carried, map_rows, named
 from doclens.llm.wavelet import WaveletMatrix
 from doclens.llm.words import ALNUM, pieces, text_bytes, words_of
 from doclens.session import materialise
@@ -37,7 +38,7 @@ HIT_SHARE = 20
 #: Bytes of benchmark text that one pass sends to every task.
 BLOCK_BYTES = 16 << 20
 #: A shard ends after so many words of runs, or so many bytes of text.
-SHARD_WORDS, SHARD_BYTES = 1 << 20, 64 << 20
+SHARD_WORDS, SHARD_BYTES = 1 << 19, 16 << 20
 
 SPANS = "array<struct<first_word:int,last_word:int,start_byte:int,end_byte:int>>"
 RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "item_ids": "array<string>", "spans": SPANS, "contaminated": "boolean"}
@@ -153,7 +154,7 @@ class Shard:
             doc = row[hit]
             self.kept.append((at[hit] + 1, self.docs + doc, hit - words.first[doc], words.start[hit] - offsets[doc], words.end[hit] - offsets[doc], fresh))
             self.words += len(hit)
-        self.rows.append(batch)
+        self.rows.append(batch.drop_columns([TEXT]) if text == TEXT else batch)
         self.n_words.append(words.counts)
         self.docs += batch.num_rows
         self.bytes += len(data)
@@ -194,21 +195,20 @@ class Shard:
             spans.setdefault(d, []).append(dict(zip(("first_word", "last_word", "start_byte", "end_byte"), span, strict=True)))
         return spans, items
 
-    def result(self, schema: pa.Schema, earlier: bool) -> pa.RecordBatch:
+    def result(self, schema: pa.Schema) -> pa.RecordBatch:
         spans, items = self.hits()
         rows = pa.Table.from_batches(self.rows)
         n_words = np.concatenate(self.n_words)
         all_spans = [spans.get(d, []) for d in range(self.docs)]
         all_ids = [{self.phrases.ids[i] for i in items.get(d, ())} - {None} for d in range(self.docs)]
-        if earlier:  # what the passes over other blocks of the benchmark found
-            for d, (old_spans, old_ids) in enumerate(zip(rows["spans"].to_pylist(), rows["item_ids"].to_pylist(), strict=True)):
+        if "r0" in rows.column_names:  # what the passes over other blocks of the benchmark found
+            for d, (old_spans, old_ids) in enumerate(zip(rows["r0"].to_pylist(), rows["r1"].to_pylist(), strict=True)):
                 all_spans[d], all_ids[d] = union(all_spans[d], old_spans), all_ids[d] | set(old_ids)
         n_hit = [sum(s["last_word"] - s["first_word"] + 1 for s in x) for x in all_spans]
-        made = {
-            "n_words": n_words, "n_hit": n_hit, "n_items": [len(x) for x in all_ids], "item_ids": [sorted(x) for x in all_ids], "spans": all_spans,
-            "contaminated": [h > 0 and HIT_SHARE * h >= n for h, n in zip(n_hit, n_words.tolist(), strict=True)],
-        }
-        columns = [pa.array(made[f.name], f.type) if f.name in made else rows[f.name].combine_chunks().cast(f.type) for f in schema]
+        contaminated = [h > 0 and HIT_SHARE * h >= n for h, n in zip(n_hit, n_words.tolist(), strict=True)]
+        made = [n_words, n_hit, [len(x) for x in all_ids], [sorted(x) for x in all_ids], all_spans, contaminated]
+        kept = [rows[f.name].combine_chunks() if rows.num_rows else pa.array([], f.type) for f in schema if f.name in rows.column_names]
+        columns = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip([*kept, *made], schema, strict=True)]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -226,59 +226,60 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, carry: list[st
     """``carry`` (all columns of ``docs`` by default) with the columns of RESULT. ``spans`` are the merged removal spans,
     in words from 0 and in bytes of the UTF-8 text."""
     spark = docs.sparkSession
-    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULT]
-    bytes_ = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    carry = carried(docs, carry, list(RESULT))
+    found = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    bytes_ = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-bytes_ // block_bytes))
-    numbered = items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
-    out = docs.select(*carry, F.col("text").cast("binary").alias("_bytes"))
-    fields = [docs.schema[c] for c in carry]
-    made = [T.StructField(k, T._parse_datatype_string(v)) for k, v in RESULT.items()]
+    numbered = found.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    made = T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in RESULT.items()))
+    out = docs
     for block in range(blocks):
         rows = numbered.where(F.col("block") == block).select("item_id", "text").collect()
         sent = spark.sparkContext.broadcast(phrases_of(rows, window))
         last = block == blocks - 1
-        schema = T.StructType([*fields, *([] if last else [T.StructField("_bytes", T.BinaryType())]), *made])
-        out = out.mapInArrow(_search(sent, schema, block > 0), schema)
+        kept = carry if last or "text" in carry else [*carry, "text"]
+        out = map_rows(out, kept, "text", _search(sent), made, ["spans", "item_ids"] if block else None)
         if not last:
             out = materialise(out, "decontamination")
     return out
 
 
-def _search(sent, schema: T.StructType, earlier: bool):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(sent):
+    def search(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         shard = Shard(sent.value)
-        for piece in pieces(batches, "_bytes"):
-            shard.add(piece, "_bytes")
-            if "_bytes" not in arrow.names and not earlier and "text" not in arrow.names:
-                shard.rows[-1] = piece.drop_columns(["_bytes"])
+        for piece in pieces(batches, text):
+            shard.add(piece, text)
             if shard.words >= SHARD_WORDS or shard.bytes >= SHARD_BYTES:
-                yield shard.result(arrow, earlier)
+                yield shard.result(schema)
                 shard = Shard(sent.value)
         if shard.docs:
-            yield shard.result(arrow, earlier)
+            yield shard.result(schema)
 
     return search
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return scan(docs, items, window).where(~F.col("contaminated")).select(*docs.columns)
+    return scan(docs, items, window).where(~F.col("contaminated")).select(*(named(c) for c in docs.columns))
 
 
 def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """All documents with their removal spans cut out of the text, and the number of words cut."""
     found = scan(docs, items, window)
-    cut = F.udf(lambda text, spans: text if not spans else _cut(text.encode(), spans), "string")
-    return found.withColumn("text", cut("text", "spans")).withColumn("n_cut", F.col("n_hit")).select(*docs.columns, "n_cut")
+    others = [c for c in docs.columns if c != "text"]
+
+    def cut(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, text):
+            texts = [t if not s else _cut(t, s) for t, s in zip(piece[text].to_pylist(), piece["r0"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(piece[f"c{i}"] for i in range(len(others))), pa.array(texts, pa.binary()).cast(pa.string()), piece["r1"]], schema=schema)
+
+    made = T._parse_datatype_string("text string, n_cut long")
+    return map_rows(found, others, "text", cut, made, ["spans", "n_hit"]).select(*(named(c) for c in docs.columns), "n_cut")
 
 
-def _cut(text: bytes, spans: list) -> str:
+def _cut(text: bytes, spans: list[dict]) -> bytes:
     parts, at = [], 0
     for s in spans:
-        parts.append(text[at : s.start_byte])
-        at = s.end_byte
-    return b"".join([*parts, text[at:]]).decode()
+        parts.append(text[at : s["start_byte"]])
+        at = s["end_byte"]
+    return b"".join([*parts, text[at:]])

@@ -20,7 +20,6 @@ other columns stay, but for ``text`` and ``n_chars``, which are replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.words import pieces
+from doclens.llm.passes import carried, map_texts
 
 SIGMA, RADIUS = 1.0, 2
 ARTICLE_WEIGHT = 8.0
@@ -193,13 +192,6 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns of ``pages`` by default) with ``text`` and its length in code points."""
-    carry = [c for c in (pages.columns if carry is None else carry) if c.lower() not in ("text", "n_chars")]
-
-    def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_html"):
-            texts = pa.array([main_text(h) for h in piece.column("_html").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carry), texts], [*carry, "text"])
-
-    kept = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in carry)
-    rows = pages.select(*carry, F.col(html).alias("_html")).mapInArrow(extracted, kept + "text string")
+    extracted = lambda texts: [[main_text(h) for h in texts.cast(pa.string()).to_pylist()]]
+    rows = map_texts(pages, carried(pages, carry, ["text", "n_chars"]), html, extracted, "text string")
     return rows.withColumn("n_chars", F.length("text").cast("long"))

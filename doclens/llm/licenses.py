@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclens.llm.passes import carried, map_texts
 from doclens.llm.words import ALNUM, ALNUM_TRANSLATION, pieces, text_bytes, words_of
 
 THRESHOLD = 0.9
@@ -150,8 +151,8 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
+        for piece in pieces(batches, "text"):
+            for text in piece.column("text").to_pylist():
                 for block in blocks(text or b""):
                     total.update(vocabulary.intersection(tokens(block)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
@@ -168,33 +169,28 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
         raise ValueError("more templates than one task holds: scan them in parts")
     index = Index(templates, frequencies(docs, {w for _, t in templates for w in tokens(t)}), threshold)
     of_phrases = [(p.split(), label) for p, label in phrases.items()]
-    lists = pa.list_(pa.struct([("block", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))
-    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in RESULT]
     phrase_hashes = _phrase_hashes([p for p, _ in of_phrases])
 
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_bytes"):
-            n_words, places = _places(piece.column("_bytes"), phrase_hashes)
-            n_base, first, last, base, every, score, found = [], [], [], [], [], [], []
-            for text, at in zip(piece.column("_bytes").to_pylist(), places, strict=True):
-                lines = [tokens(block) for block in blocks(text or b"")]
-                hits = [(i, label, c) for i, line in enumerate(lines) for label, c in index.find(set(line))]
-                hits += index.wrapped(lines)
-                own = {of_phrases[k][1] for k, _ in at}
-                starts = [s for _, s in at]
-                n_base.append(len(at))
-                first.append(min(starts, default=None))
-                last.append(max(starts, default=None))
-                base.append(",".join(sorted(own)))
-                every.append(",".join(sorted(own | {label for _, label, _ in hits})))
-                score.append(1.0 if own else max((c for _, _, c in hits), default=0.0))
-                found.append([{"block": i, "label": label, "containment": c} for i, label, c in hits])
-            made = [pa.array(n_words, pa.int64()), pa.array(n_base, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base, pa.string()), pa.array(every, pa.string()), pa.array(score, pa.float64()), pa.array(found, lists)]
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carry), *made], [*carry, *RESULT])
-
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    def scanned(texts: pa.Array) -> list:
+        n_words, places = _places(texts, phrase_hashes)
+        n_base, first, last, base, every, score, found = [], [], [], [], [], [], []
+        for text, at in zip(texts.cast(pa.binary()).to_pylist(), places, strict=True):
+            lines = [tokens(block) for block in blocks(text or b"")]
+            hits = [(i, label, c) for i, line in enumerate(lines) for label, c in index.find(set(line))]
+            hits += index.wrapped(lines)
+            own = {of_phrases[k][1] for k, _ in at}
+            starts = [s for _, s in at]
+            n_base.append(len(at))
+            first.append(min(starts, default=None))
+            last.append(max(starts, default=None))
+            base.append(",".join(sorted(own)))
+            every.append(",".join(sorted(own | {label for _, label, _ in hits})))
+            score.append(1.0 if own else max((c for _, _, c in hits), default=0.0))
+            found.append([{"block": i, "label": label, "containment": c} for i, label, c in hits])
+        return [n_words, n_base, first, last, base, every, score, found]
+
     made = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<block:int,label:string,containment:double>>"
-    return docs.select(*carry, F.col("text").cast("binary").alias("_bytes")).mapInArrow(scanned, kept + made)
+    return map_texts(docs, carried(docs, carry, RESULT), "text", scanned, made)
 
 
 def _phrase_hashes(phrases: list[list[str]]) -> list[np.ndarray]:

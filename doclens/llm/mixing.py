@@ -10,12 +10,13 @@ Running totals go in two steps, over hash buckets of a source and inside a bucke
 is spread over many tasks. Only one row for each source reaches the driver (at most ``MAX_SOURCES``, checked).
 
 Cases: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, last in the order;
-repeated rows are rows of their own; a source without words has target 0; an empty table gives an empty result; other
+repeated rows are rows of their own, and equal ones may change places; a source without words has target 0; an empty table gives an empty result; other
 columns of the input stay, but for those named like a result column, which are replaced.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, starts: tuple = STARTS, max_e
     plan = [(r.source, r.total, t, float(starts[i % len(starts)]), -(-r.n // bucket_rows)) for i, (r, t) in enumerate(zip(found, goal))]
     table = docs.sparkSession.createDataFrame(plan, "_source string, source_size long, target double, _start double, _buckets long")
 
-    ticket = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    ticket = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))  # by text too, for rows of one or no doc_id
     joined = (
         sized.join(table, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("_ticket", ticket)
@@ -101,6 +102,17 @@ def range_sorted(mixed: DataFrame, by: str) -> DataFrame:
     return mixed.repartitionByRange(F.col(by).asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col(by).asc_nulls_last(), "doc_id")
 
 
+def written_order(docs: DataFrame) -> list[Column] | None:
+    """Place of a row in a table that was written as files by range: number of the file's part, and row in it. None if ``docs`` are not
+    rows of files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    return [part, F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+
+
 def training_sequence(docs: DataFrame, **options) -> DataFrame:
     """Whole documents in training order, a row for each time that the mix takes at least half of a document."""
     mixed = mix(docs, **options)

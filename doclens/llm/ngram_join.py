@@ -6,8 +6,9 @@ least 3/4, exactly. Documents with equal sets are one set throughout.
 1. One pass names each document's set and counts the shingles that tasks meet often. The order of shingles, the same for
    all sets, puts those last (by count), the others first by hash. It only steers speed: any order gives the same links.
 2. A set enters the index lists of its first ``n - ceil(3n/4) + 1`` shingles, with its size and position there. Similar
-   sets share a list. Lists stand sorted by size; entries outside the size window, or too far back for what is left of
-   both sets to suffice, are skipped.
+   sets share a list. Lists stand sorted by size, and by position in the block of each size: a probe looks at the blocks of its size
+   window, jumps over those whose least position is too far back for what is left of both sets to suffice, and leaves others where
+   positions get there.
 3. Short lists give all their pairs. In long lists each set is first paired only with its neighbour and with the sets
    whose own shingles take least of the order (of near copies, those least changed); pairs are verified and linked
    sets put in groups. Then only entries of different groups can give new links, so what a similar set's answers
@@ -17,8 +18,11 @@ least 3/4, exactly. Documents with equal sets are one set throughout.
    ``o(t,b) - |t \\ a| <= o(a,b) <= o(t,b) + |a \\ t|``, and counted only if the bounds do not settle it.
 5. Groups of links come by alternating large-star and small-star steps on tables.
 
-Lists of shingles that very many sets hold are salted by set, and joined across salts in step 3. Texts are sent only for
-sets that share a list, and in portions of bounded size.
+Lists of shingles that very many sets hold are salted by set, and joined across salts in step 3, where a list of many entries is cut into
+slices and each pair of slices is a task's work. Texts are sent only for sets that share a list, and in portions of bounded size.
+
+Shingles and sets are told apart by 64-bit hashes of sums of random numbers: among 10**9 different sets, two share a name with a chance
+of 3 in 100, and two texts are linked wrongly only if shingles of that very pair do too.
 
 Cases: a null or empty text has no shingles, is linked with nothing and is its own component; a text of 1 to 4 words has
 one shingle, the whole sequence; repeated rows share a component; a null doc_id never names a component unless alone in
@@ -32,9 +36,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.llm.passes import map_texts
 from doclens.llm.words import NOT_SPACE, mixed, pieces, spans_hash, text_bytes, words_of
 from doclens.session import materialise
 
@@ -47,9 +53,15 @@ SALT_ROWS = 4096
 SHORT_LIST = 8
 #: Sets of a longer list that all others are paired with first.
 PIVOTS = 3
-#: Pairs that are verified together.
-PORTION = 1024
-BUFFER_ROWS, COUNT_ROWS = 1 << 18, 4 << 20
+#: Pairs that are verified together, and shingles of their sets; a set with more pairs than that is dealt by so many salts.
+PORTION, PORTION_SHINGLES, HOME_SALTS = 1024, 1 << 20, 64
+#: Entries of a list beyond which its groups are crossed slice by slice.
+SLICE = 1 << 15
+#: Pairs that a task gathers before it hands them on.
+FOUND = 1 << 18
+BUFFER_ROWS = 1 << 17
+#: Repeated shingles gathered before they are counted, and places of the table that tells them from new ones.
+COUNT_ROWS, MET_PLACES = 1 << 19, 1 << 23
 
 
 class Sets(NamedTuple):
@@ -109,23 +121,30 @@ def _shingles(sets: Sets, rows: np.ndarray) -> np.ndarray:
 
 def _name_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, name, size, bits), with the bitmap of sets not seen before in the task, and rows (shingle, count) of shingles met
-    more than once."""
+    more than once. A table of flags by hash tells which shingles may have been met before; only those are gathered and counted, and what
+    was their first time is added."""
     seen: set[int] = set()
     met: list[np.ndarray] = []
+    flags, flagged = np.zeros(MET_PLACES, bool), 0
     columns = ["doc_id", "name", "size", "bits", "shingle", "n"]
 
     def often() -> pa.RecordBatch:
         distinct, n = np.unique(np.concatenate(met), return_counts=True)
-        some = n > 1
-        rows = int(some.sum())
         met.clear()
-        none = pa.nulls(rows, pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(rows, pa.binary()), pa.array(distinct[some].view(np.int64)), pa.array(n[some])], columns)
+        none = pa.nulls(len(distinct), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(distinct), pa.binary()), pa.array(distinct.view(np.int64)), pa.array(n + 1)], columns)
 
-    for piece in pieces(batches, "_bytes"):
-        sets = sets_of(piece["_bytes"])
+    for piece in pieces(batches, "text"):
+        sets = sets_of(piece["text"])
         fresh = _fresh(sets, seen)
-        met.append(sets.hash[_shingles(sets, fresh)])
+        shingles = sets.hash[_shingles(sets, fresh)]
+        place = (shingles & np.uint64(MET_PLACES - 1)).astype(np.int64)
+        before = flags[place]
+        flags[place] = True
+        flagged += len(place) - int(before.sum())
+        met.append(shingles[before])
+        if 2 * flagged > MET_PLACES:
+            flags[:], flagged = False, 0
         none, bits = pa.nulls(piece.num_rows, pa.int64()), [None] * piece.num_rows
         for i in fresh.tolist():
             bits[i] = bitmap(sets.hash[sets.first[i] : sets.first[i + 1]]).tobytes()
@@ -160,13 +179,14 @@ def _plausible_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         rows = zip(*(batch[c].to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")), strict=True)
         word = lambda x: np.frombuffer(x, np.uint64)
         keep = pa.array([7 * most_common(word(x), n, word(y), m) >= 3 * (n + m) for n, x, m, y in rows], pa.bool_())
-        yield batch.select(["a", "b"]).filter(keep)
+        n = pc.add(batch["n_a"], batch["n_b"])
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], n], ["a", "b", "n"]).filter(keep)
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs that their bitmaps do not rule out. ``sketches``: name, size, bits."""
+    """Pairs that their bitmaps do not rule out, and n, the shingles of both. ``sketches``: name, size, bits."""
     of = lambda x: sketches.select(F.col("name").alias(x), F.col("size").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_plausible_pass, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_plausible_pass, "a long, b long, n long")
 
 
 def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,8 +198,8 @@ def _list_pass(sent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = sent.value
         seen: set[int] = set()
-        for piece in pieces(batches, "_bytes"):
-            sets = sets_of(piece["_bytes"])
+        for piece in pieces(batches, "text"):
+            sets = sets_of(piece["text"])
             use = np.flatnonzero(_shingles(sets, _fresh(sets, seen)))
             row, h = sets.row[use], sets.hash[use]
             weight = np.zeros(len(h), np.int64)
@@ -229,7 +249,8 @@ def _fit(size: np.ndarray, position: np.ndarray, i: np.ndarray, j: np.ndarray) -
 
 
 def _pair_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b) of short lists, and of neighbours and pivots in long ones; entries of the long ones."""
+    """Rows (a, b) of short lists, and of neighbours and pivots in long ones; entries of the long ones. Lists are sorted by size, position
+    and name."""
     columns = ["a", "b", "shingle", "salt", "name", "size", "position"]
     for shingle, salt, name, size, position in _runs(batches, ["shingle", "salt", "name", "size", "position"], 2):
         new = np.ones(len(name), bool)  # copies of a set come from several tasks
@@ -260,24 +281,57 @@ def _pair_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list whose entries are in different groups. Entries of the list's largest group are not probed with: each of
-    their pairs across groups has another entry to probe with."""
-    for shingle, size, name, position, group in _runs(batches, ["shingle", "size", "name", "position", "grp"], 1):
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(shingle)) + 1, [len(shingle)]])
-        found = []
+    """Pairs of a list's cell whose entries are in different groups, and of different slices if the cell joins two. Entries of the cell's
+    largest group are not probed with: each of their pairs across groups has another entry to probe with."""
+    found: list[np.ndarray] = []
+    rows = 0
+
+    def pairs() -> pa.RecordBatch:
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for shingle, low_slice, high_slice, size, position, name, group, slice_ in _runs(batches, ["shingle", "low", "high", "size", "position", "name", "grp", "slice"], 3):
+        new = (np.diff(shingle) != 0) | (np.diff(low_slice) != 0) | (np.diff(high_slice) != 0)
+        bounds = np.concatenate([[0], np.flatnonzero(new) + 1, [len(shingle)]])
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            s, p, n, g = (x[low:high] for x in (size, position, name, group))
-            groups, which = np.unique(g, return_inverse=True)
+            groups, which = np.unique(group[low:high], return_inverse=True)
             if len(groups) < 2:
                 continue
+            blocks = Blocks(size[low:high], position[low:high])
+            n, part = name[low:high], slice_[low:high] if low_slice[low] != high_slice[low] else None
             for i in np.flatnonzero(which != np.bincount(which).argmax()).tolist():
-                a, b = np.searchsorted(s, -(-3 * s[i] // 4)), np.searchsorted(s, 4 * s[i] // 3, "right")
-                j = a + np.flatnonzero(which[a:b] != which[i])
-                at = np.full(len(j), i)
-                j = j[np.minimum(s[at] - p[at], s[j] - p[j]) >= need(s[at], s[j])]
+                j = blocks.candidates(i)
+                j = j[which[j] != which[i]] if part is None else j[(which[j] != which[i]) & (part[j] != part[i])]
                 found.append(np.stack([np.minimum(n[i], n[j]), np.maximum(n[i], n[j])]))
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                rows += len(j)
+                if rows >= FOUND:
+                    yield pairs()
+                    rows = 0
+    yield pairs()
+
+
+class Blocks:
+    """A list's entries, sorted by size and position: a block for each size."""
+
+    STEP = 1 << 32
+
+    def __init__(self, size: np.ndarray, position: np.ndarray):
+        self.size, self.position = size, position
+        self.key = size * self.STEP + position
+        self.first = np.flatnonzero(np.concatenate([[True], np.diff(size) != 0]))
+        self.sizes = size[self.first]
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Entries that can be similar to entry i: in blocks of its size window, up to the last position that leaves enough of both sets."""
+        size, left = int(self.size[i]), int(self.size[i] - self.position[i])
+        a, b = np.searchsorted(self.sizes, [-(-3 * size // 4), 4 * size // 3 + 1])
+        least = need(size, self.sizes[a:b])
+        open_ = np.flatnonzero(least <= left) + a  # blocks for which what is left of the probe suffices
+        least = least[open_ - a]
+        end = np.searchsorted(self.key, self.sizes[open_] * self.STEP + self.sizes[open_] - least, "right")
+        n = np.maximum(0, end - self.first[open_])
+        return np.arange(int(n.sum())) + np.repeat(self.first[open_] - (np.cumsum(n) - n), n)
 
 
 class Portion:
@@ -333,13 +387,16 @@ def _verify_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the distinct ``pairs`` (a < b) that are linked. ``texts``: name, text. Pairs go where their smaller set's
-    smallest partner is at home, so that a set is sent to few places."""
+    """Those of the distinct ``pairs`` (a < b, and n shingles of both) that are linked. ``texts``: name, text. Pairs go where their smaller
+    set's smallest partner is at home, so that a set is sent to few places; the pairs of a home are dealt to as many portions as bound
+    their number and shingles. Homes with several portions come to their pairs by salts, as one home may have very many pairs."""
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("home"))
-    homes = pairs.join(least, "a")
-    portions = homes.groupBy("home").agg(F.ceil(F.count("*") / PORTION).alias("parts"))
-    placed = homes.join(portions, "home").select("home", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "a", "b")
+    homes = pairs.join(least, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(HOME_SALTS)))
+    parts = F.greatest(F.ceil(F.count("*") / PORTION), F.ceil(F.sum("n") / PORTION_SHINGLES))
+    large = homes.groupBy("home").agg(parts.alias("parts")).where("parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOME_SALTS - 1))))
+    part = F.pmod(F.xxhash64("b", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int")
+    placed = homes.join(large.withColumn("salt", F.col("salt").cast("long")), ["home", "salt"], "left").select("home", part.alias("part"), "a", "b")
     sets = placed.select("home", "part", F.explode(F.array("a", "b")).alias("a")).distinct().join(texts, F.col("a") == F.col("name"))
     rows = sets.select("home", "part", "a", F.lit(None).cast("long").alias("b"), "text").union(placed.select("home", "part", "a", "b", F.lit(None).cast("binary")))
     return rows.repartition("home", "part").sortWithinPartitions("home", "part", F.asc_nulls_first("b"), "a").mapInArrow(_verify_pass, "a long, b long")
@@ -364,8 +421,19 @@ def groups(links: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    members, grouped = _components(docs)
+    sets = members.where("size > 0").groupBy("name").agg(F.min("doc_id").alias("low")).join(grouped, "name", "left").withColumn("grp", F.coalesce("grp", "name"))
+    lowest = sets.groupBy("grp").agg(F.min("low").alias("component"))
+    of_set = sets.join(lowest, "grp").select("name", "component")
+    joined = members.join(of_set, "name", "left")
+    component = F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, name of the set and its size for each document, and name and grp for each set of a group but the one that names it."""
     spark = docs.sparkSession
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     named = materialise(raw.mapInArrow(_name_pass, "doc_id long, name long, size long, bits binary, shingle long, n long"), "ngram-names")
     members = named.where("size is not null").select("doc_id", "name", "size")
     sketches = named.where("bits is not null").select("name", "size", "bits").dropDuplicates(["name"])
@@ -376,13 +444,14 @@ def components(docs: DataFrame) -> DataFrame:
     order = np.argsort(shingles)
     sent = spark.sparkContext.broadcast((shingles[order], counts[order]))
 
-    entries = raw.select("_bytes").mapInArrow(_list_pass(sent), LISTS)
-    lists = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "size", "name")
+    entries = raw.select("text").mapInArrow(_list_pass(sent), LISTS)
+    lists = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "size", "position", "name")
     found = materialise(lists.mapInArrow(_pair_pass, "a long, b long, shingle long, salt long, name long, size long, position long"), "ngram-lists")
     long = found.where("name is not null").select("shingle", "salt", "name", "size", "position")
     salted = long.where("salt > 0")
+    # a row for each salted shingle, of which there are at most MOST_FREQUENT
     pivots = salted.groupBy("shingle").agg(F.min(F.struct("position", "name", "size")).alias("pivot"))
-    mates = salted.join(pivots, "shingle").where("name != pivot.name AND 4 * least(size, pivot.size) >= 3 * greatest(size, pivot.size)")
+    mates = salted.join(F.broadcast(pivots), "shingle").where("name != pivot.name AND 4 * least(size, pivot.size) >= 3 * greatest(size, pivot.size)")
     across = mates.select(F.least("name", "pivot.name").alias("a"), F.greatest("name", "pivot.name").alias("b"))
     pairs = found.where("a is not null").select("a", "b").union(across).distinct()
     pairs = materialise(plausible(pairs, sketches), "ngram-pairs")
@@ -390,7 +459,7 @@ def components(docs: DataFrame) -> DataFrame:
     crossing = materialise(_crossing(long, groups(pairs), sketches), "ngram-cross")
     asked = pairs.union(crossing).distinct()
     wanted = asked.select(F.explode(F.array("a", "b")).alias("name")).distinct().hint("merge")  # the same way at every size
-    texts = raw.select("_bytes").mapInArrow(_texts, "name long, text binary").join(wanted, "name", "left_semi").dropDuplicates(["name"])
+    texts = raw.select("text").mapInArrow(_texts, "name long, text binary").join(wanted, "name", "left_semi").dropDuplicates(["name"])
     texts = materialise(texts, "ngram-texts")
     links = materialise(verified(asked, texts), "ngram-links")
     grouped = groups(links)
@@ -401,34 +470,49 @@ def components(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         grouped = groups(grouped.select(F.col("name").alias("a"), F.col("grp").alias("b")).union(more))
 
-    sets = members.where("size > 0").groupBy("name").agg(F.min("doc_id").alias("low")).join(grouped, "name", "left").withColumn("grp", F.coalesce("grp", "name"))
-    lowest = sets.groupBy("grp").agg(F.min("low").alias("component"))
-    of_set = sets.join(lowest, "grp").select("name", "component")
-    joined = members.join(of_set, "name", "left")
-    component = F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
+    return members, grouped
 
 
 def _crossing(long: DataFrame, grouped: DataFrame, sketches: DataFrame) -> DataFrame:
     """Plausible pairs of the long lists' entries that are in different groups. A list of one group has none."""
-    placed = long.join(grouped, "name", "left").select("shingle", "name", "size", "position", F.coalesce("grp", "name").alias("grp"))
+    placed = long.join(grouped, "name", "left").select("shingle", "salt", "name", "size", "position", F.coalesce("grp", "name").alias("grp"))
     placed = materialise(placed, "ngram-placed")
-    several = placed.groupBy("shingle").agg((F.min("grp") != F.max("grp")).alias("several")).where("several")
-    lists = placed.join(several, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "size", "name")
+    salts = placed.groupBy("shingle", "salt").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("n"))
+    several = salts.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low <> high")
+    slices = salts.select("shingle", "salt").join(several.select("shingle", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), "shingle")
+    dealt = placed.join(slices, ["shingle", "salt"]).withColumn("slice", F.pmod(F.xxhash64("name"), F.col("slices")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cells = cells.select("shingle", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "size", "position", "name", "grp", "slice")
+    lists = cells.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "size", "position", "name")
     return plausible(lists.mapInArrow(_cross_pass, "a long, b long").distinct(), sketches)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    for piece in pieces(batches, "_bytes"):
-        sets = sets_of(piece["_bytes"])
+    for piece in pieces(batches, "text"):
+        sets = sets_of(piece["text"])
         rows = _fresh(sets, seen)
-        yield pa.RecordBatch.from_arrays([pa.array(sets.name[rows].view(np.int64)), piece["_bytes"].take(pa.array(rows))], ["name", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(sets.name[rows].view(np.int64)), piece["text"].take(pa.array(rows))], ["name", "text"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is that of their component: one of each group of near copies. Rows with a null doc_id stay,
-    and of rows with equal doc_ids one of equal text."""
-    kept = components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    unique = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return unique.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near copies: the row of the smallest doc_id, and of equal ones the first by set and text. Rows that
+    are not linked all stay, whatever their doc_ids, as do rows without words and rows with a null doc_id. Columns may have any names."""
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    members, group_of = _components(docs)
+    group = F.coalesce("grp", F.col("name"))
+    first = F.min(F.struct("doc_id", "name"))
+    kept = members.where("size > 0 AND doc_id IS NOT NULL").groupBy("name").agg(first.alias("f")).join(group_of, "name", "left").groupBy(group).agg(F.min("f").alias("f"))
+    kept = kept.select(F.col("f.doc_id").alias("id"), F.col("f.name").alias("kept"))
+
+    def sets(texts: pa.Array) -> list:
+        found = sets_of(texts)
+        return [pa.array(found.name.view(np.int64)), found.sizes]
+
+    rows = map_texts(flat, flat.columns, text, sets, "name long, size long")
+    stays = (F.col("size") == 0) | F.col(doc_id).isNull()
+    linked = rows.where(~stays).join(kept, (F.col(doc_id).cast("long") == F.col("id")) & (F.col("name") == F.col("kept")), "left_semi")
+    place = F.row_number().over(Window.partitionBy(doc_id, "name").orderBy(text))
+    linked = linked.withColumn("place", place).where("place = 1").select(flat.columns)
+    return linked.union(rows.where(stays).select(flat.columns)).toDF(*docs.columns)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclens.llm.passes import carried, map_texts
 from doclens.llm.words import NOT_SPACE, pieces, spans_hash, text_bytes, words_of
 
 #: Rows whose features the fit is made on, half of them positives.
@@ -115,10 +116,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, back: tuple[np.ndarray, np.ndarray], above, seed: int = 5) -> Model:
     """``back`` are the rows of each held back from the first classifier, ``above(model, cuts)`` counts for ``class_prior``."""
+    if not len(positive) or not len(unlabelled):
+        return Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), [], 0.5)
     every = np.concatenate([positive, unlabelled])
     mean, scale = every.mean(0), every.std(0) + 1e-3
-    if not len(positive) or not len(unlabelled):
-        return Model(mean if len(every) else np.zeros(len(FEATURES)), scale if len(every) else np.ones(len(FEATURES)), [], 0.5)
     rng = np.random.default_rng(seed)
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
     new = lambda: [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
@@ -212,12 +213,4 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample:
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns of ``docs`` by default) and ``score``, the probability of good quality."""
-    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != "score"]
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_bytes"):
-            p = _sigmoid(model.logits(features_of(piece.column("_bytes"))))
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carry), pa.array(p)], [*carry, "score"])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, F.col("text").cast("binary").alias("_bytes")).mapInArrow(scored, f"{fields}{', ' * bool(fields)}score double")
+    return map_texts(docs, carried(docs, carry, ["score"]), "text", lambda texts: [_sigmoid(model.logits(features_of(texts)))], "score double")

@@ -1,15 +1,17 @@
 """Token-ID output: documents as token ids in wavelet-matrix shards.
 
-Documents are range-partitioned and sorted by doc_id. A task encodes its stretch with the given tokenizer file, ends each
-document with ``END`` and cuts shards of about ``SHARD_TOKENS`` ids at document ends. A shard is one compressed blob: the
+Documents are range-partitioned and sorted, by doc_id or by a given order. A task encodes its stretch with the given tokenizer file,
+ends each document with ``END`` and cuts shards of about ``SHARD_TOKENS`` ids at document ends. A shard is one compressed blob: the
 document ids and lengths, and the ids as the succinct bit planes of a wavelet matrix, which support token access,
-counting and occurrence lookup without another copy of the sequence. Shards are rows of a Parquet table (Spark's commit
+counting and occurrence lookup without another copy of the sequence. A reader unpacks a shard as a whole, as each of these goes
+through all planes. Shards are rows of a Parquet table (Spark's commit
 protocol and file systems), so a lost executor costs its own shards only. Only one row for each partition reaches the driver, to
 number the ids across partitions.
 
 Encoding is the tokenizer library's. Byte-level BPE of this kind splits a text at certain places whatever else it holds
-(before white space after other characters, before a punctuation mark after a letter, around a line feed that ends white space), so the text is cut there and
-each distinct piece is encoded once, its ids kept by a 64-bit hash of the piece in a bounded cache of the Python worker.
+(before white space after other characters, before a punctuation mark after a letter, around a line feed that ends white space), so the
+text is cut there and each distinct piece is encoded once; its bytes and ids are kept in a bounded cache of the Python worker. Pieces are
+found by a 64-bit hash and compared byte by byte; should two pieces share a hash, the library encodes those texts as a whole.
 
 Cases: a null or empty text is the end id alone; a null doc_id sorts first; repeated doc_ids stand side by side, by text;
 a text without spaces is one piece; an empty table gives an empty store; other columns are ignored.
@@ -26,18 +28,20 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.llm.wavelet import WaveletMatrix
-from doclens.llm.words import _CODES, ALNUM, mixed, pieces, powers, text_bytes
+from doclens.llm.words import ALNUM, EVERY, hashes_of, pieces, text_bytes
 
 END = 2
 SHARD_TOKENS = 2 << 20
-#: Distinct pieces whose ids a worker keeps; beyond that it starts anew.
-CACHE_PIECES = 3_000_000
+#: Distinct pieces that a worker keeps (some 35 bytes each); beyond that it starts anew.
+CACHE_PIECES = 2_000_000
 #: Pieces that the library encodes in one call.
 LEARNED = 2048
+#: Bytes of text that are encoded at a time.
+STRETCH = 1 << 20
 STORE = "part int, seq int, before long, n_docs int, n_tokens long, data binary"
 
 
@@ -54,23 +58,19 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
-
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        parts, sizes = [], []  # the library's results are far larger than the ids, so a few are held at a time
-        for low in range(0, len(texts), LEARNED):
-            ids = [e.ids for e in self.tokenizer.encode_batch(texts[low : low + LEARNED], add_special_tokens=False)]
-            sizes += map(len, ids)
-            parts.append(np.fromiter(chain.from_iterable(ids), self.dtype))
-        sizes, flat = np.array(sizes, np.int32), np.concatenate([np.zeros(0, self.dtype), *parts])
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used // 2), self.dtype)])
-        self.ids[self.used : self.used + len(flat)] = flat
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and which piece each is of
+        self.ids, self.bytes = Growing(self.dtype), Growing(np.uint8)
+
+    def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        """Keep the pieces ``texts``, whose hashes are ``keys`` in order."""
+        number = len(self.keys) + np.arange(len(keys), dtype=np.int32)
+        for low in range(0, len(texts), LEARNED):  # the library's results are far larger than the ids, so a few are held at a time
+            some = texts[low : low + LEARNED]
+            ids = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in some], add_special_tokens=False)]
+            self.ids.add(np.fromiter(chain.from_iterable(ids), self.dtype), [len(x) for x in ids])
+            self.bytes.add(np.frombuffer(b"".join(some), np.uint8), [len(t) for t in some])
         at = np.searchsorted(self.keys, keys)
-        starts = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
-        self.keys, self.starts, self.sizes = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes)))
-        self.used += len(flat)
+        self.keys, self.number = np.insert(self.keys, at, keys), np.insert(self.number, at, number)
 
     def uncut(self, raw: bytes, offsets: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Texts that hold a special token's string stay whole: the library looks for it before it splits."""
@@ -90,10 +90,7 @@ class Encoder:
         raw = data.tobytes()
         start = self.uncut(raw, offsets, piece_starts(data, offsets))
         end = np.append(start[1:], len(data))
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
-        keys = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        keys = hashes_of(data, start, end, EVERY)
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
@@ -101,9 +98,14 @@ class Encoder:
             if len(self.keys) + len(new) > CACHE_PIECES:
                 self.forget()
                 new = np.arange(len(distinct))
-            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-        at = np.searchsorted(self.keys, distinct)
-        begin, size = self.starts[at][which], self.sizes[at][which].astype(np.int64)
+            self.learn(distinct[new], [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        piece = self.number[np.searchsorted(self.keys, distinct)][which]
+        length = end - start
+        kept = self.bytes.first[piece]
+        if (self.bytes.first[piece + 1] - kept != length).any() or (self.bytes.data.take(np.arange(len(data)) + np.repeat(kept - start, length)) != data).any():
+            return self.encode_whole(raw, offsets)
+        begin = self.ids.first[piece]
+        size = self.ids.first[piece + 1] - begin
         row = np.searchsorted(offsets, start, "right") - 1
         counts = np.bincount(row, size, len(column)).astype(np.int64) + 1
         ends = np.cumsum(counts) - 1
@@ -111,10 +113,32 @@ class Encoder:
         body = np.ones(len(out), bool)
         body[ends] = False
         shift = begin - (np.cumsum(size) - size)
-        out[body] = self.ids[np.arange(int(size.sum())) + np.repeat(shift, size)]
+        out[body] = self.ids.data.take(np.arange(int(size.sum())) + np.repeat(shift, size))
         out[ends] = END
         return out, counts
 
+    def encode_whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library alone, a text at a time."""
+        ids = [[*self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, END] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return np.fromiter(chain.from_iterable(ids), self.dtype), np.array([len(x) for x in ids], np.int64)
+
+
+class Growing:
+    """Strings of numbers end to end; string i is data[first[i]:first[i + 1]]."""
+
+    def __init__(self, dtype) -> None:
+        self.data, self.first, self.n = np.zeros(1 << 16, dtype), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, data: np.ndarray, sizes: list[int]) -> None:
+        low, high = int(self.first[self.n]), int(self.first[self.n]) + len(data)
+        if high > len(self.data):
+            self.data = np.concatenate([self.data[:low], np.zeros(max(len(data), low // 4), self.data.dtype)])
+        self.data[low:high] = data
+        if self.n + len(sizes) >= len(self.first):
+            self.first = np.concatenate([self.first[: self.n + 1], np.zeros(max(len(sizes), self.n // 4), np.int64)])
+        self.first[self.n + 1 : self.n + 1 + len(sizes)] = low + np.cumsum(sizes)
+        self.n += len(sizes)
+
 
 _BYTE = np.arange(256)
 _SPACE = np.isin(_BYTE, (0x20, *range(0x09, 0x0E)))
@@ -182,8 +206,8 @@ class TokenShard:
 _encoders: dict[str, Encoder] = {}
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Write the store of ``docs`` (doc_id, text) to ``path``, in ascending order of doc_id."""
+def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS, order: list[Column] | None = None) -> None:
+    """Write the store of ``docs`` (doc_id, text) to ``path``, in ascending order of doc_id or of the columns ``order``."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
@@ -202,7 +226,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_
             ids.clear(), lengths.clear(), docs_.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "before", "n_docs", "n_tokens", "data"])
 
-        for piece in pieces(batches, "text", 2 << 20):
+        for piece in pieces(batches, "text", STRETCH):
             tokens, counts = encoder.encode(piece.column("text"))
             ids.append(tokens)
             lengths.append(counts)
@@ -212,7 +236,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_
         if ids:
             yield shard()
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    places = [c.alias(f"place{i}") for i, c in enumerate(order or [F.col("doc_id")])]
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *places)
+    names = [f"place{i}" for i in range(len(places))]
+    rows = rows.repartitionByRange(*names).sortWithinPartitions(*names, "doc_id", "text").select("doc_id", "text")
     rows.mapInArrow(packed, STORE).write.option("compression", "none").parquet(path)
 
 

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.words import _ODD, ALNUM, LOWER_CODES, pieces, powers, text_bytes, words_of
+from doclens.llm.passes import carried, map_texts
+from doclens.llm.words import _ODD, ALNUM, PLACES, pieces, text_bytes, words_of
 
 N_GRAMS = (3, 4, 5)
 BUCKET_BITS, DIMENSIONS = 17, 4
@@ -59,15 +60,15 @@ def grams_of(column: pa.Array) -> Grams:
     within = (inside > 0) & (inside <= length[word])
     marked[within] = data[words.start[word[within]] + inside[within] - 1]
     marked[begins + length + 1] = 0x3E
-    up, down = powers(total + 1)
-    sums = np.zeros(total + 1, np.uint64)
-    np.cumsum(LOWER_CODES[marked] * up[:total], out=sums[1:])
     left = length[word] + 2 - inside  # bytes from here to the word's end
     shift, buckets, of = np.uint64(64 - BUCKET_BITS), [], []
-    for k in N_GRAMS:
-        at = np.flatnonzero(left >= k)
-        buckets.append(((sums[at + k] - sums[at]) * down[at] * np.uint64(_ODD + 2 * k)) >> shift)
-        of.append(word[at])
+    sums = np.zeros(total, np.uint64)
+    for k in range(1, max(N_GRAMS) + 1):
+        sums[: max(0, total - k + 1)] += PLACES[k - 1].take(marked[k - 1 :])
+        if k in N_GRAMS:
+            at = np.flatnonzero(left >= k)
+            buckets.append((sums[at] * np.uint64(_ODD + 2 * k)) >> shift)
+            of.append(word[at])
     buckets.append((words.hash * np.uint64(_ODD)) >> shift)
     of.append(np.arange(n))
     return Grams(np.concatenate(buckets).astype(np.int64), np.concatenate(of), words.counts)
@@ -165,18 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cla
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns of ``docs`` by default) and ``score``, the probability of class 1."""
-    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != "score"]
     sent = docs.sparkSession.sparkContext.broadcast((model.gram_scores.astype(np.float32), float(model.bias[1] - model.bias[0])))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(texts: pa.Array) -> list:
         gram_scores, bias = sent.value
-        for piece in pieces(batches, "_bytes"):
-            grams = grams_of(piece.column("_bytes"))
-            n_words = int(grams.counts.sum())
-            of_words = np.bincount(grams.word, gram_scores[grams.bucket], n_words) / np.bincount(grams.word, minlength=n_words)
-            of_texts = np.bincount(np.repeat(np.arange(piece.num_rows), grams.counts), of_words, piece.num_rows) / np.maximum(1, grams.counts)
-            p = 1 / (1 + np.exp(-np.clip(of_texts + bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carry), pa.array(p)], [*carry, "score"])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, F.col("text").cast("binary").alias("_bytes")).mapInArrow(scored, f"{fields}{', ' * bool(fields)}score double")
+        grams = grams_of(texts)
+        n_words = int(grams.counts.sum())
+        of_words = np.bincount(grams.word, gram_scores[grams.bucket], n_words) / np.bincount(grams.word, minlength=n_words)
+        of_texts = np.bincount(np.repeat(np.arange(len(texts)), grams.counts), of_words, len(texts)) / np.maximum(1, grams.counts)
+        return [1 / (1 + np.exp(-np.clip(of_texts + bias, -30, 30)))]
+
+    return map_texts(docs, carried(docs, carry, ["score"]), "text", scored, "score double")

@@ -1,9 +1,13 @@
 """Words of Arrow text columns as NumPy arrays.
 
 A text column arrives in a task as one byte buffer with row offsets. Words are maximal runs of word bytes inside one
-row; each gets a 64-bit hash, computed for the whole buffer at once from prefix sums of byte codes times powers of an
-odd base (modulo 2**64), so no Python object is made for a word. UTF-8 keeps every byte of a non-ASCII character at
-0x80 or above, so classes of bytes stand for the classes of characters used here.
+row; each gets a 64-bit hash, computed for the whole buffer at once, so no Python object is made for a word. UTF-8 keeps
+every byte of a non-ASCII character at 0x80 or above, so classes of bytes stand for the classes of characters used here.
+
+A hash is the sum of a random number for each place and byte, from a fixed table for the first places and by a mixing
+function beyond. Two strings that differ anywhere have sums that differ by independent random numbers, so that their
+hashes are equal with a chance of 2**-64, whatever structure the strings have. (A polynomial modulo 2**64 would give equal hashes
+to certain long words for every base.)
 """
 
 from __future__ import annotations
@@ -15,22 +19,35 @@ import numpy as np
 import pyarrow as pa
 
 _ODD = 0x9E3779B97F4A7C15
-_CODES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM = np.random.default_rng(7)
+#: Places of a string that the table has random numbers for.
+_NEAR = 64
+_TABLE = _RANDOM.integers(0, 2**64, (_NEAR, 256), np.uint64)
+_FACTORS = _RANDOM.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-#: Code of a byte after A-Z are lower-cased.
-LOWER_CODES = _CODES[_LOWER]
+#: Random numbers of a byte, A-Z lower-cased, at each of the first places.
+PLACES = _TABLE[:, _LOWER]
 #: Bytes of the words ``[^\x20\x09-\x0D]+``.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 #: Bytes of the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z are lower-cased.
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
+#: All bytes.
+EVERY = np.ones(256, bool)
 
-#: The same words by bytes.translate() and split(), for one text at a time.
+#: The words ALNUM by bytes.translate() and split(), for one text at a time.
 ALNUM_TRANSLATION = bytes(_LOWER[b] if ALNUM[b] else 0x20 for b in range(256))
-SPACE_TRANSLATION = bytes(int(_LOWER[b]) for b in range(256))
+
+
+def _numbers(is_word: np.ndarray, lower: bool) -> np.ndarray:
+    """The table with A-Z lower-cased, and 0 for bytes outside words."""
+    return np.where(is_word, _TABLE[:, _LOWER] if lower else _TABLE, np.uint64(0)).ravel()
+
+
+_TABLES = {NOT_SPACE.tobytes(): _numbers(NOT_SPACE, True), ALNUM.tobytes(): _numbers(ALNUM, True), EVERY.tobytes(): _numbers(EVERY, False)}
 
 
 class Words(NamedTuple):
@@ -54,19 +71,6 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 .. n-1 of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_ODD, pow(_ODD, -1, 2**64))):
-            full = np.full(n, base, np.uint64)
-            full[0] = 1
-            _powers[i] = np.multiply.accumulate(full)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input sways every bit of the output."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -100,7 +104,28 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             low = high
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, codes: np.ndarray = LOWER_CODES) -> Words:
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, is_word: np.ndarray) -> np.ndarray:
+    """Hash of each string data[start:end]; strings do not overlap and stand in order, and bytes between them are not of ``is_word``.
+    A-Z are lower-cased but for EVERY."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    table = _TABLES[is_word.tobytes()]
+    place = np.zeros(len(data), np.int32)
+    place[start] = start
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(data), dtype=np.int32), place, out=place)
+    far = np.flatnonzero((place >= _NEAR) & is_word[data]) if int((end - start).max()) > _NEAR else ()
+    beyond = place[far] if len(far) else None
+    np.minimum(place, _NEAR - 1, out=place)
+    place <<= 8
+    place |= data
+    numbers = table.take(place)
+    if beyond is not None:
+        numbers[far] = mixed(numbers[far] ^ mixed(beyond.astype(np.uint64) * np.uint64(_ODD)))
+    return mixed(np.add.reduceat(numbers, start))
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
     """Words of the rows that ``offsets`` cut ``data`` into."""
     n = len(data)
     inside = is_word[data]
@@ -111,11 +136,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, codes:
         joined[1:n] = inside[1:] & inside[:-1] & ~cut[1:n]
     start = np.flatnonzero(inside & ~joined[:n])
     end = np.flatnonzero(inside & ~joined[1:]) + 1
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes[data] * up[:n], out=sums[1:])
-    hashes = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Words(start, end, np.searchsorted(start, offsets), hashes)
+    return Words(start, end, np.searchsorted(start, offsets), hashes_of(data, start, end, is_word))
 
 
 def words_in(column: pa.Array, is_word: np.ndarray) -> Words:
@@ -123,8 +144,9 @@ def words_in(column: pa.Array, is_word: np.ndarray) -> Words:
 
 
 def spans_hash(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` words that begins at word 0, 1, ...; row limits are the caller's to heed."""
+    """Hash of each run of ``n`` words that begins at word 0, 1, ...; row limits are the caller's to heed. Each place has a random
+    factor of its own."""
     total = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
     for i in range(n):
-        total = total * np.uint64(_ODD) + hashes[i : len(hashes) - n + 1 + i]
+        total += hashes[i : len(hashes) - n + 1 + i] * _FACTORS[i]
     return mixed(total)

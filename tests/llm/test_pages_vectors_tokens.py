@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from doclens.llm import html_text, neighbours, token_store, url_filter
@@ -259,3 +260,30 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path):
 def test_lower_words_is_the_rule():
     assert lower_words("A-b É_9") == ["a", "b", "É", "9"]
     assert json.loads('"x"') == "x"
+
+
+PARTS = ["a", "b", "Z", "9", ".", ",", "!", "'", " ", "  ", "\n", "\n\n", "\r", "\t", "\x0b", "\x0c", "é", "中", " ", " ", "　", "́", "😀", "<|endoftext|>", "'s", "'ll", "<", "×", "ß", " ", "\x85", "\x1c", "\x00", "٣", "²", "‍"]
+
+
+def test_cached_pieces_encode_like_whole_texts(monkeypatch):
+    import random
+
+    from doclens.llm import token_store
+    from doclens.llm.queries import tokenizer_path
+    from doclens.llm.words import text_bytes
+
+    encoder, rng = token_store.Encoder(tokenizer_path()), random.Random(1)
+    texts = ["a\n\nb", "a\n\n\n\nb", " \n\nb", "word.\n\nNext line", "é\n\nb", "中\n\nb", "\n\n", "a \n b"]
+    texts += ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(12000)]
+    for low in range(0, len(texts), 100):
+        column = pa.array([t.encode() for t in texts[low : low + 100]], pa.binary())
+        data, offsets = text_bytes(column)
+        (ids, counts), (whole, each) = encoder.encode(column), encoder.encode_whole(data.tobytes(), offsets)
+        assert ids.tolist() == whole.tolist() and counts.tolist() == each.tolist()
+    # pieces that share a hash are told apart by their bytes
+    monkeypatch.setattr(token_store, "hashes_of", lambda data, start, end, kind: (end - start).astype("uint64") % 3)
+    encoder.forget()
+    column = pa.array([t.encode() for t in texts[:50]], pa.binary())
+    data, offsets = text_bytes(column)
+    for _ in range(2):
+        assert encoder.encode(column)[0].tolist() == encoder.encode_whole(data.tobytes(), offsets)[0].tolist()

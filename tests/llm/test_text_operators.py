@@ -328,3 +328,62 @@ def test_fold_rule(spark):
 
     rows = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", remainder(4).alias("m")).collect()
     assert all(r.m == (-1 if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 4) for r in rows)
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_hashes_of_structured_words():
+    a, b = thue_morse(4096), thue_morse(4096, "ba")
+    words = words_of(*text_bytes(pa.array([f"{a} {b} {a}{b} {b}{a}".encode()], pa.binary())), ALNUM)
+    assert len(set(words.hash.tolist())) == 4
+
+
+def test_structured_words_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    a, b = (thue_morse(2048, x) for x in ("ab", "ba"))
+    texts = [f"{a} {b} " * 4, f"{b} {a} " * 4, f"{a} " * 20, f"{b} " * 20]
+    got = ngram_join.components(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == sorted(brute_components(texts, range(4)))
+    items = spark.createDataFrame([(1, f"{b} " * 13)], "item_id long, text string")
+    assert [r.contaminated for r in decontamination.scan(docs_of(spark, texts), items).orderBy("doc_id").collect()] == [False, False, False, True]
+    odd = docs_of(spark, texts).withColumn("_bytes", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("c0", F.lit(3)).withColumn("m0", F.lit(4))
+    assert decontamination.clean_documents(odd, items).columns == odd.columns
+    model = quality.Model(np.zeros(len(quality.FEATURES)), np.ones(len(quality.FEATURES)), [], 0.5)
+    for found in (licenses.scan(odd), quality.score(odd, model), ngram_join.one_of_each(odd)):
+        row = found.orderBy("doc_id").collect()[0].asDict()
+        assert [row[c] for c in ("text", "_bytes", "a.b", "c0", "m0")] == [texts[0], 1, 2, 3, 4]
+
+
+def test_one_of_each_with_equal_ids(spark):
+    x, y = "one two three four five six seven", "all other words stand in this one here"
+    docs = docs_of(spark, [x, x, y], [3, 5, 5])
+    assert sorted((r.doc_id, r.text) for r in ngram_join.one_of_each(docs).collect()) == [(3, x), (5, y)]
+    docs = docs_of(spark, [x, y, x, y.upper(), "", ""], [5, 5, 5, 5, 5, 5])
+    kept = sorted((r.doc_id, r.text.lower()) for r in ngram_join.one_of_each(docs).collect())
+    assert kept == [(5, ""), (5, ""), (5, y), (5, x)]
+
+
+def test_blocks_of_a_list_leave_out_nothing():
+    rng = np.random.default_rng(3)
+    size = np.sort(rng.integers(5, 40, 300))
+    position = rng.integers(0, size - (3 * size + 3) // 4 + 1)
+    order = np.lexsort((position, size))
+    size, position = size[order], position[order]
+    blocks = ngram_join.Blocks(size, position)
+    for i in range(300):
+        some = [j for j in range(300) if min(size[i] - position[i], size[j] - position[j]) >= -(-3 * (size[i] + size[j]) // 7) and 4 * min(size[i], size[j]) >= 3 * max(size[i], size[j])]
+        assert blocks.candidates(i).tolist() == some
+
+
+@pytest.mark.parametrize("slice_,portion", [(4, 3), (1 << 15, 1024)])
+def test_ngram_join_in_slices(spark, monkeypatch, slice_, portion):
+    for name, value in (("SLICE", slice_), ("PORTION", portion), ("SHORT_LIST", 2), ("FREQUENT", 2), ("SALT_ROWS", 4), ("FOUND", 5)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(1)
+    common = [f"c{i}" for i in range(12)]
+    texts = [" ".join(common + [f"w{rng.randrange(8)}" for _ in range(rng.randint(0, 6))]) for _ in range(150)]
+    got = ngram_join.components(docs_of(spark, texts).repartition(5)).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == brute_components(texts, range(len(texts)))
