@@ -1,46 +1,71 @@
 """The corpus pipeline: documents to token shards, in stages that each read what the one before has written.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, in order and
+unchanged, whatever they are named.
+
+Cases, by stage. Quality: a null or empty text is scored like any other, and stays if the score is high enough. Near duplicates: one row of each
+group stays, that of the smallest doc_id; rows with equal doc_ids and unlike texts all stay, as do rows without words or doc_id.
+Decontamination: texts without words are clean. Mixing: texts without words are not taken, others as often as at least half of them is.
+Tokens: repeated rows are rows of their own; the shards keep the training order. Without labels nothing is rejected; without a benchmark
+nothing is contaminated; an empty table passes through all stages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.llm import decontamination, mixing, ngram_join, quality, token_store
+from doclens.llm.passes import named
 from doclens.llm.queries import quality_model, remainder, tokenizer_path
 from doclens.session import materialise, scratch_path
 
 #: Documents that score below this are rejected.
 LEAST_QUALITY = 0.3
+#: Columns that the operators read; the others pass by under names that no operator gives.
+READ = ("doc_id", "text", "source")
+
+
+def shielded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.select(*(named(c).alias(c if c in READ else f"own_{i}") for i, c in enumerate(docs.columns)))
+        return stage(spark, plain, sf_dir).select(*plain.columns).toDF(*docs.columns)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
 
 
+@shielded
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(5) != 0)
-    return quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY)
 
 
+@shielded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return ngram_join.one_of_each(docs)
 
 
+@shielded
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@shielded
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, each as often as the mix takes it."""
+    """Documents in training order, each as often as the mix takes it: the files and their rows are in that order."""
     return mixing.training_sequence(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the sequence, read back: a row for each document of it."""
+    """Token shards in the order of the written rows, read back: a row for each document of the sequence."""
     path = scratch_path(spark, "tokens")
-    token_store.write(docs, path, tokenizer_path())
+    token_store.write(docs, path, tokenizer_path(), order=mixing.written_order(docs))
     return token_store.read(spark, path)
 
 
