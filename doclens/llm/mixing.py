@@ -20,6 +20,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.llm.passes import carried, named
+from doclens.session import materialise
+
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -56,11 +59,25 @@ def position(level: Column, start: Column) -> Column:
     return F.when(F.abs(bend) < 1e-9, level).otherwise((F.sqrt(start * start + 4 * bend * level) - start) / (2 * F.when(F.abs(bend) < 1e-9, 1.0).otherwise(bend))) + F.lit(0.0)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, starts: tuple = STARTS, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+#: Columns that ``mix`` adds.
+MADE = ["size", "source_size", "target", "taken", "positions", "first_position"]
+
+
+def ticket(doc_id: Column, text: Column) -> Column:
+    """Place of a document in its source, from 0 to 1; by text too, as rows may share a doc_id or have none."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text), 11) / F.lit(float(1 << 53))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with size, source_size, target, taken (words, repeats counted), positions (of every pass that takes words
-    of the document) and first_position. The last pass over a source ends inside one document."""
-    made = ["size", "source_size", "target", "taken", "positions", "first_position"]
-    sized = docs.drop(*made).withColumn("size", word_count(F.col("text")))
+    of the document) and first_position. The last pass over a source ends inside one document. Options: see ``dealt``."""
+    kept = carried(docs, None, MADE)
+    flat = docs.select(*(named(c).alias(f"c{i}") for i, c in enumerate(kept)), "doc_id", "source", word_count(F.col("text")).alias("size"), ticket(F.col("doc_id"), F.col("text")).alias("ticket"))
+    return dealt(flat, **options).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *MADE)
+
+
+def dealt(sized: DataFrame, weights: tuple = WEIGHTS, starts: tuple = STARTS, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``sized`` (doc_id, source, size, ticket and others, none of them named like a column of MADE or with _ first) with the columns MADE."""
     per_source = sized.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
     found = per_source.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -68,18 +85,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, starts: tuple = STARTS, max_e
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r.total for r in found], weights, max_epochs)
     plan = [(r.source, r.total, t, float(starts[i % len(starts)]), -(-r.n // bucket_rows)) for i, (r, t) in enumerate(zip(found, goal))]
-    table = docs.sparkSession.createDataFrame(plan, "_source string, source_size long, target double, _start double, _buckets long")
+    table = sized.sparkSession.createDataFrame(plan, "_source string, source_size long, target double, _start double, _buckets long")
 
-    ticket = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))  # by text too, for rows of one or no doc_id
-    joined = (
-        sized.join(table, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_ticket", ticket)
-        .withColumn("_bucket", F.floor(F.col("_ticket") * F.col("_buckets")))
-    )
+    joined = sized.join(table, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_bucket", F.floor(F.col("ticket") * F.col("_buckets")))
     sums = joined.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"))
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_words").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_bucket").orderBy("ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     passes = F.floor(F.col("target") / F.col("source_size"))
     out = (
@@ -93,8 +105,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, starts: tuple = STARTS, max_e
     )
     due = lambda i: position(F.least(F.lit(1.0), (F.col("_at") + (i - 1) * F.col("source_size")) / F.col("target")), F.col("_start"))
     out = out.withColumn("positions", F.when(F.col("_times") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("_times")), due)).otherwise(F.expr("cast(array() as array<double>)")))
-    out = out.withColumn("first_position", F.get("positions", F.lit(0)))
-    return out.select(*[c for c in docs.columns if c.lower() not in made], *made)
+    return out.withColumn("first_position", F.get("positions", F.lit(0))).select(*sized.columns, *(m for m in MADE if m != "size"))
 
 
 def range_sorted(mixed: DataFrame, by: str) -> DataFrame:
@@ -114,8 +125,14 @@ def written_order(docs: DataFrame) -> list[Column] | None:
 
 
 def training_sequence(docs: DataFrame, **options) -> DataFrame:
-    """Whole documents in training order, a row for each time that the mix takes at least half of a document."""
-    mixed = mix(docs, **options)
+    """Whole documents in training order, a row for each time that the mix takes at least half of a document. Sizes and positions are
+    worked out on numbered rows without texts; texts are joined last."""
+    number, due = "_row", "_due"
+    while number in docs.columns or due in docs.columns:
+        number, due = f"_{number}", f"_{due}"
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "mixing-rows")  # a lost task cannot number them anew
+    text = F.col("text")
+    sized = materialise(rows.select(F.col(number).alias("row"), "doc_id", "source", word_count(text).alias("size"), ticket(F.col("doc_id"), text).alias("ticket")), "mixing-sizes")
     whole = F.round(F.col("taken") / F.col("size")).cast("int")
-    rows = mixed.where(F.col("size") > 0).withColumn("position", F.explode(F.slice("positions", F.lit(1), whole)))
-    return range_sorted(rows, "position").select(*docs.columns)
+    times = dealt(sized, **options).where(F.col("size") > 0).select(F.col("row").alias(number), F.explode(F.slice("positions", F.lit(1), whole)).alias(due))
+    return range_sorted(rows.join(times, number), due).select(*(named(c) for c in docs.columns))

@@ -121,7 +121,7 @@ def _shingles(sets: Sets, rows: np.ndarray) -> np.ndarray:
 
 def _name_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, name, size, bits), with the bitmap of sets not seen before in the task, and rows (shingle, count) of shingles met
-    more than once. A table of flags by hash tells which shingles may have been met before; only those are gathered and counted, and what
+    often. A table of flags by hash tells which shingles may have been met before; only those are gathered and counted, and what
     was their first time is added."""
     seen: set[int] = set()
     met: list[np.ndarray] = []
@@ -130,6 +130,7 @@ def _name_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def often() -> pa.RecordBatch:
         distinct, n = np.unique(np.concatenate(met), return_counts=True)
+        distinct, n = distinct[n > 1], n[n > 1]  # others may only share a place of the table
         met.clear()
         none = pa.nulls(len(distinct), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(distinct), pa.binary()), pa.array(distinct.view(np.int64)), pa.array(n + 1)], columns)

@@ -287,3 +287,39 @@ def test_cached_pieces_encode_like_whole_texts(monkeypatch):
     data, offsets = text_bytes(column)
     for _ in range(2):
         assert encoder.encode(column)[0].tolist() == encoder.encode_whole(data.tobytes(), offsets)[0].tolist()
+
+
+def test_neighbours_of_repeated_ids_and_odd_scales(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(100)]
+    rows += [(50, rng.normal(size=6).tolist()), (50, rows[50][1]), (3, rows[4][1])]
+    rows += [(120, [1e200 * x for x in rows[9][1]]), (121, [1e-200 * x for x in rows[8][1]]), (150, [5e-324] + [0.0] * 5), (130, [1e308] * 6)]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    got = sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect())
+    whole = [np.array([float(x) for x in v]) for _, v in rows]
+    one = [v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for v in whole]
+    want = []
+    for q, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            near = sorted((-round(float(one[q] @ one[c]), 12), j) for c, (j, _) in enumerate(rows) if c != q)[:5]
+            want += [(i, rank, j, -s) for rank, (s, j) in enumerate(near, 1)]
+    want.sort()
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[3] for x in sorted(got, key=lambda x: (x[0], x[1], -x[3]))] == pytest.approx([x[3] for x in sorted(want, key=lambda x: (x[0], x[1], -x[3]))], abs=1e-9)
+    assert sorted(x[2] for x in got) == sorted(x[2] for x in want)
+
+
+def test_neighbours_with_too_few_in_their_parts(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    centres = 9 * rng.normal(size=(8, 6))
+    rows = [(i, (centres[i % 8] + rng.normal(size=6)).tolist()) for i in range(600)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    router = neighbours.train(base)
+    assert router.parts > 1 and router.probes < router.parts
+    few = base.where("vec_id < 60 AND (vec_id % 8 <> 2 OR vec_id = 50)")
+    found = neighbours.search(few, F.col("vec_id") % 50 == 0, router=router).groupBy("query_id").count().collect()
+    assert sorted((r.query_id, r["count"]) for r in found) == [(0, 5), (50, 5)]
