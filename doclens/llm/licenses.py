@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclens.llm.passes import carried, map_texts
-from doclens.llm.words import ALNUM, ALNUM_TRANSLATION, pieces, text_bytes, words_of
+from doclens.llm.words import ALNUM, ALNUM_TRANSLATION, pieces, released, text_bytes, words_of
 
 THRESHOLD = 0.9
 #: Words of a window over line ends, as a multiple of those of the template.
@@ -157,7 +157,7 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
                     total.update(vocabulary.intersection(tokens(block)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(counted, "word binary, n long")
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(released(counted), "word binary, n long")
     return {bytes(r.word): r.n for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 

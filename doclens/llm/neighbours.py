@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.llm.words import released
 from doclens.session import materialise
 
 SAMPLE, HELD, GRAPH, TARGET = 8192, 1024, 10, 0.97
@@ -202,7 +203,7 @@ def routed(rows: DataFrame, router: Router, probes: int) -> DataFrame:
             nth = np.tile(np.arange(order.shape[1], dtype=np.int32), len(x))
             yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32)), pa.array(nth), *ids, vec], ["part", "nth", "row_id", "vec_id", "vec"])
 
-    return rows.select("row_id", "id", "v").mapInArrow(parts_of, INDEX)
+    return rows.select("row_id", "id", "v").mapInArrow(released(parts_of), INDEX)
 
 
 def search(base: DataFrame, is_query: Column, k: int = K, router: Router | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -235,7 +236,7 @@ def _nearest(asked: DataFrame, index: DataFrame, sizes: dict[int, int], router:
     here = index.join(counts, "part").withColumn("slice", place("slices")).withColumn("block", every("blocks")).withColumn("kind", F.lit(1))
     columns = ["part", "slice", "block", "kind", "row_id", "vec_id", "vec"]
     dealt = ask.select(columns).union(here.select(columns)).repartition("part", "slice", "block").sortWithinPartitions("part", "slice", "block", "kind")
-    return dealt.mapInArrow(_cells(router.dimensions, k), "row_id long, query_id long, vec_id long, score double")
+    return dealt.mapInArrow(released(_cells(router.dimensions, k)), "row_id long, query_id long, vec_id long, score double")
 
 
 def _cells(d: int, k: int):

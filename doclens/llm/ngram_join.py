@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.llm.passes import map_texts
-from doclens.llm.words import NOT_SPACE, mixed, pieces, spans_hash, text_bytes, words_of
+from doclens.llm.words import NOT_SPACE, mixed, pieces, released, spans_hash, text_bytes, words_of
 from doclens.session import materialise
 
 SHINGLE = 5
@@ -187,7 +187,7 @@ def _plausible_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs that their bitmaps do not rule out, and n, the shingles of both. ``sketches``: name, size, bits."""
     of = lambda x: sketches.select(F.col("name").alias(x), F.col("size").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_plausible_pass, "a long, b long, n long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(released(_plausible_pass), "a long, b long, n long")
 
 
 def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -400,7 +400,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     placed = homes.join(large.withColumn("salt", F.col("salt").cast("long")), ["home", "salt"], "left").select("home", part.alias("part"), "a", "b")
     sets = placed.select("home", "part", F.explode(F.array("a", "b")).alias("a")).distinct().join(texts, F.col("a") == F.col("name"))
     rows = sets.select("home", "part", "a", F.lit(None).cast("long").alias("b"), "text").union(placed.select("home", "part", "a", "b", F.lit(None).cast("binary")))
-    return rows.repartition("home", "part").sortWithinPartitions("home", "part", F.asc_nulls_first("b"), "a").mapInArrow(_verify_pass, "a long, b long")
+    return rows.repartition("home", "part").sortWithinPartitions("home", "part", F.asc_nulls_first("b"), "a").mapInArrow(released(_verify_pass), "a long, b long")
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -435,7 +435,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, name of the set and its size for each document, and name and grp for each set of a group but the one that names it."""
     spark = docs.sparkSession
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    named = materialise(raw.mapInArrow(_name_pass, "doc_id long, name long, size long, bits binary, shingle long, n long"), "ngram-names")
+    named = materialise(raw.mapInArrow(released(_name_pass), "doc_id long, name long, size long, bits binary, shingle long, n long"), "ngram-names")
     members = named.where("size is not null").select("doc_id", "name", "size")
     sketches = named.where("bits is not null").select("name", "size", "bits").dropDuplicates(["name"])
     often = named.where("n is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
@@ -445,9 +445,9 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = np.argsort(shingles)
     sent = spark.sparkContext.broadcast((shingles[order], counts[order]))
 
-    entries = raw.select("text").mapInArrow(_list_pass(sent), LISTS)
+    entries = raw.select("text").mapInArrow(released(_list_pass(sent)), LISTS)
     lists = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "size", "position", "name")
-    found = materialise(lists.mapInArrow(_pair_pass, "a long, b long, shingle long, salt long, name long, size long, position long"), "ngram-lists")
+    found = materialise(lists.mapInArrow(released(_pair_pass), "a long, b long, shingle long, salt long, name long, size long, position long"), "ngram-lists")
     long = found.where("name is not null").select("shingle", "salt", "name", "size", "position")
     salted = long.where("salt > 0")
     # a row for each salted shingle, of which there are at most MOST_FREQUENT
@@ -460,7 +460,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     crossing = materialise(_crossing(long, groups(pairs), sketches), "ngram-cross")
     asked = pairs.union(crossing).distinct()
     wanted = asked.select(F.explode(F.array("a", "b")).alias("name")).distinct().hint("merge")  # the same way at every size
-    texts = raw.select("text").mapInArrow(_texts, "name long, text binary").join(wanted, "name", "left_semi").dropDuplicates(["name"])
+    texts = raw.select("text").mapInArrow(released(_texts), "name long, text binary").join(wanted, "name", "left_semi").dropDuplicates(["name"])
     texts = materialise(texts, "ngram-texts")
     links = materialise(verified(asked, texts), "ngram-links")
     grouped = groups(links)
@@ -485,7 +485,7 @@ def _crossing(long: DataFrame, grouped: DataFrame, sketches: DataFrame) -> DataF
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     cells = cells.select("shingle", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "size", "position", "name", "grp", "slice")
     lists = cells.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "size", "position", "name")
-    return plausible(lists.mapInArrow(_cross_pass, "a long, b long").distinct(), sketches)
+    return plausible(lists.mapInArrow(released(_cross_pass), "a long, b long").distinct(), sketches)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

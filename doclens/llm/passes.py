@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclens.llm.words import pieces
+from doclens.llm.words import pieces, released
 
 TEXT = "text"
 
@@ -45,7 +45,7 @@ def map_rows(df: DataFrame, carry: list[str], text: str, run: Callable[[Iterator
     fields = [T.StructField(f"c{i}", k) for i, k in enumerate(kinds)]
     schema = T.StructType([*fields, *(T.StructField(f"m{i}", f.dataType) for i, f in enumerate(made))])
     arrow = to_arrow_schema(schema)
-    out = df.select(*inside).mapInArrow(lambda batches: run(batches, source, arrow), schema)
+    out = df.select(*inside).mapInArrow(released(lambda batches: run(batches, source, arrow)), schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), *(F.col(f"m{i}").alias(f.name) for i, f in enumerate(made)))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclens.llm.passes import carried, map_texts
-from doclens.llm.words import NOT_SPACE, pieces, spans_hash, text_bytes, words_of
+from doclens.llm.words import NOT_SPACE, pieces, released, spans_hash, text_bytes, words_of
 
 #: Rows whose features the fit is made on, half of them positives.
 SAMPLE = 24_000
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample:
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "good", "some", "back")), lists], ["doc_id", "good", "some", "back", "x"])
 
     flags = [F.coalesce("good", F.lit(False)).alias("good"), some.alias("some"), back.alias("back")]
-    made = rows.select("doc_id", *flags, "_bytes").mapInArrow(counted, f"doc_id {kind}, good boolean, some boolean, back boolean, x array<double>")
+    made = rows.select("doc_id", *flags, "_bytes").mapInArrow(released(counted), f"doc_id {kind}, good boolean, some boolean, back boolean, x array<double>")
     known = made.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     x = np.asarray(known["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)) if known.num_rows else np.zeros((0, len(FEATURES)))
     is_good, is_some, is_back = (np.asarray(known[c].combine_chunks().to_numpy(zero_copy_only=False), bool) for c in ("good", "some", "back"))
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample:
                 bins = np.searchsorted(cuts, model.logits(features_of(piece.column("_bytes"))), "right")
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(bins.astype(np.int32))], ["doc_id", "bin"])
 
-        bins = docs.select("doc_id", F.col("text").cast("binary").alias("_bytes")).mapInArrow(binned, f"doc_id {kind}, bin int")
+        bins = docs.select("doc_id", F.col("text").cast("binary").alias("_bytes")).mapInArrow(released(binned), f"doc_id {kind}, bin int")
         flagged = bins.join(own.withColumn("good", F.lit(True)), "doc_id", "left")
         count = lambda test: F.count(F.when(test, 1))
         found = flagged.groupBy("bin").agg(count(F.col("good") & (back | ~good)).alias("p"), count(back | ~some).alias("u"), count(F.col("good")).alias("every_p"), F.count("*").alias("every_u")).collect()

@@ -32,16 +32,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.llm.wavelet import WaveletMatrix
-from doclens.llm.words import ALNUM, EVERY, hashes_of, pieces, text_bytes
+from doclens.llm.words import ALNUM, EVERY, hashes_of, pieces, released, text_bytes
 
 END = 2
 SHARD_TOKENS = 2 << 20
 #: Distinct pieces that a worker keeps (some 35 bytes each); beyond that it starts anew.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_500_000
 #: Pieces that the library encodes in one call.
 LEARNED = 2048
 #: Bytes of text that are encoded at a time.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 STORE = "part int, seq int, before long, n_docs int, n_tokens long, data binary"
 
 
@@ -240,7 +240,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *places)
     names = [f"place{i}" for i in range(len(places))]
     rows = rows.repartitionByRange(*names).sortWithinPartitions(*names, "doc_id", "text").select("doc_id", "text")
-    rows.mapInArrow(packed, STORE).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(released(packed), STORE).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -261,7 +261,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 doc_ids = pa.array(shard.doc_ids, mask=~shard.has_id)
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + before + first[part]), pa.array(shard.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return store.select("part", "before", "data").mapInArrow(unpacked, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return store.select("part", "before", "data").mapInArrow(released(unpacked), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
@@ -273,5 +273,5 @@ def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame
                 shard = TokenShard(blob.as_buffer().to_pybytes())
                 yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int32()), pa.array([shard.count(t) if t >> shard.tree.depth == 0 else 0 for t in tokens], pa.int64())], ["token", "n"])
 
-    rows = spark.read.schema(STORE).parquet(path).select("data").mapInArrow(counted, "token int, n long")
+    rows = spark.read.schema(STORE).parquet(path).select("data").mapInArrow(released(counted), "token int, n long")
     return rows.groupBy("token").agg(F.sum("n").alias("n"))

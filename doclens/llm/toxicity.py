@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclens.llm.passes import carried, map_texts
-from doclens.llm.words import _ODD, ALNUM, PLACES, pieces, text_bytes, words_of
+from doclens.llm.words import _ODD, ALNUM, PLACES, pieces, released, text_bytes, words_of
 
 N_GRAMS = (3, 4, 5)
 BUCKET_BITS, DIMENSIONS = 17, 4
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cla
     n = {r.label: r["count"] for r in own.groupBy("label").count().collect()}
     some = [own.where(F.col("label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for k in (0, 1)]
     sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some[0].union(some[1])), F.col("doc_id") == F.col("_id"))
-    found = sample.select("text", "label").mapInArrow(_sparse, "label int, buckets array<int>, weights array<float>").toArrow()
+    found = sample.select("text", "label").mapInArrow(released(_sparse), "label int, buckets array<int>, weights array<float>").toArrow()
     lists = [[np.asarray(x.values) for x in found[c].combine_chunks()] if found.num_rows else [] for c in ("buckets", "weights")]
     y = found["label"].to_numpy().astype(int) if found.num_rows else np.zeros(0, int)
     keep = [i for i, b in enumerate(lists[0]) if len(b)]
