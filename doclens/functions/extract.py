@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -76,8 +77,6 @@ def year_or_range(c: Column) -> Column:
 
 
 def skill_pattern(skill: str) -> str:
-    import re
-
     return rf"(?<!\w){re.escape(skill.lower().replace('&', ' and '))}(?!\w)"
 
 
@@ -112,7 +111,7 @@ def money_tokens(c: Column) -> Column:
 
 
 def last_money(c: Column) -> Column:
-    return F.try_element_at(money_tokens(c), F.lit(-1))
+    return F.when(F.contains(c, F.lit(".")) | F.contains(c, F.lit(",")), F.try_element_at(money_tokens(c), F.lit(-1)))  # every money has one
 
 
 def amount_text(c: Column) -> Column:
@@ -143,8 +142,14 @@ def grouped_number(c: Column) -> Column:
 
 
 def evidence(c: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur, in any case."""
-    return reduce(lambda a, b: a + b, [F.coalesce(c.rlike(f"(?i){p}"), F.lit(False)).cast("int") for p in patterns])
+    """How many of the patterns (in lower case) occur, in any case. A pattern that begins with a word is sought only where that word is."""
+
+    def occurs(low: Column, pattern: str) -> Column:
+        word = re.match(r"\\b([a-z]+)([?*]?)", pattern)
+        begins = (word.group(1)[:-1] if word.group(2) else word.group(1)) if word else ""
+        return F.contains(low, F.lit(begins)) & low.rlike(pattern) if begins else low.rlike(pattern)
+
+    return let(F.lower(c), lambda low: reduce(lambda a, b: a + b, [F.coalesce(occurs(low, p), F.lit(False)).cast("int") for p in patterns]))
 
 
 def json_first(j: Column, keys: list[str], kind: str = "string") -> Column:

@@ -37,9 +37,13 @@ def replaced(c: Column, pairs: list[tuple[str, str]], any_case: bool = False) ->
     """Literal substitutions one after another; texts that hold none are left alone after one look."""
     flag = "(?i)" if any_case else ""
     quoted = [(re.sub(r"([\\.*+?^${}()|\[\]-])", r"\\\1", old), new) for old, new in pairs]
-    every = flag + "|".join(old for old, _ in quoted)
-    out = reduce(lambda x, p: F.regexp_replace(x, flag + p[0], p[1].replace("\\", "\\\\").replace("$", "\\$")), quoted, c)
-    return F.when(c.rlike(every), out).otherwise(c)
+
+    def mended(x: Column) -> Column:
+        return reduce(lambda y, p: F.regexp_replace(y, flag + p[0], p[1].replace("\\", "\\\\").replace("$", "\\$")), quoted, x)
+
+    olds = sorted({old.lower() if any_case else old for old, _ in pairs})
+    holds = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(old)) for old in olds])
+    return let(c, lambda x: F.when(let(F.lower(x), holds) if any_case else holds(x), mended(x)).otherwise(x))
 
 
 def correct_ocr(c: Column) -> Column:

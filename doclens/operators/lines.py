@@ -22,7 +22,10 @@ def explode_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def clean_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    return lines.withColumn("text", clean_line(F.col("text"))).where("text <> ''")
+    # exploded rather than filtered: a filter would be pushed below the cleaning and work it out once more
+    others = [c for c in lines.columns if c != "text"]
+    cleaned = F.filter(F.array(clean_line(F.col("text"))), lambda x: x != "")
+    return lines.select(*others, F.explode(cleaned).alias("text")).select(*lines.columns)
 
 
 def dedupe_lines(lines: DataFrame, key: str = "doc_id", within: list[str] | None = None) -> DataFrame:
@@ -43,9 +46,12 @@ def clean_array(lines: Column) -> Column:
 
 def with_clean_lines(docs: DataFrame, text: str, out: str) -> DataFrame:
     """Clean lines as an array, the first of equal ones in any case, without leaving the row."""
-    clean = docs.withColumn("_clean", clean_array(split_lines(F.col(text)))).withColumn("_low", F.transform("_clean", F.lower))
-    first = F.filter("_clean", lambda x, i: F.array_position(F.col("_low"), F.get(F.col("_low"), i)) == i + 1)
-    return clean.withColumn(out, first).drop("_clean", "_low")
+    places = F.transform(clean_array(split_lines(F.col(text))), lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("text")))
+    ordered = docs.withColumn("_sorted", F.array_sort(places))
+    s = F.col("_sorted")
+    firsts = F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["low"] != x["low"]))
+    back = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"))))
+    return ordered.withColumn(out, F.transform(back, lambda x: x["text"])).drop("_sorted")
 
 
 def concat_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:

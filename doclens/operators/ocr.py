@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words that show a pass read the page well, and their weights.
-KEYWORDS = {"total": 8, "subtotal": 8, "tax": 5, "invoice": 8, "receipt": 8, "date": 4, "cash": 4, "amount": 4}
+# Terms that show a pass read the page well, and their weights.
+TERMS = {"subtotal": 12, "total": 8, "tax": 5, "change": 5, "items sold": 8, "receipt": 5, "rcpt": 5, "walmart": 4, "cash": 3, "debit": 3, "credit": 3, "visa": 3}
+# Weights of lines, confidence, amounts, reference numbers, dates, lines that end in an amount, overlong lines and words, and
+# the most of each that count.
+LINES, MOST_LINES, CONFIDENCE = 0.15, 80, 0.35
+AMOUNT, AMOUNTS, MOST_AMOUNTS = r"\b\d+[.,]\d{1,3}\b", 1.2, 40
+REFERENCE, DATE, STRUCTURE = r"\b(?:tc|rcpt|receipt|txn|transaction|ref)\s*#?", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", 8
+PRICED, PRICED_LINES, MOST_PRICED = r"[A-Za-z].*\d+[.,]\d{1,3}\s*$", 0.8, 30
+OVERLONG, OVERLONG_LINES = 90, 1.5
+WORD, WORDS, MOST_WORDS = "[A-Za-z]{2,}", 0.05, 60
 
 
 def grouped_lines(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,13 +24,17 @@ def grouped_lines(words: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pass_scores(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines, confidence, keywords, amounts and dates of a pass count for it, noise lines against it."""
-    low = F.lower("text")
-    hits = sum((F.max(F.contains(low, F.lit(w)).cast("int")) * n for w, n in KEYWORDS.items()), F.lit(0))
+    """Lines, confidence, terms, amounts and structure of a pass count for it, overlong lines against it."""
+    low, n = F.lower("text"), F.count("*")
     count = lambda pattern: F.sum(F.regexp_count("text", F.lit(pattern)))
-    noise = F.sum((~F.col("text").rlike("[A-Za-z0-9]{2,}")).cast("int"))
-    score = F.least(F.count("*"), F.lit(60)) * 0.5 + F.avg("confidence") * 0.5 + hits + F.least(count(r"\d+[.,]\d{2}\b"), F.lit(20)) + F.least(count(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"), F.lit(3)) * 3 - noise * 1.5
-    return lines.groupBy(*keys).agg(F.round(score, 4).alias("ocr_score"), F.count("*").alias("line_count"), F.round(F.avg("confidence"), 2).alias("confidence"))
+    any_line = lambda test: F.max(test.cast("int"))
+    score = F.least(n, F.lit(MOST_LINES)) * LINES + F.avg("confidence") * CONFIDENCE
+    score += sum((any_line(F.contains(low, F.lit(t))) * w for t, w in TERMS.items()), F.lit(0))
+    score += F.least(count(AMOUNT), F.lit(MOST_AMOUNTS)) * AMOUNTS
+    score += (any_line(low.rlike(REFERENCE)) + any_line(F.col("text").rlike(DATE))) * STRUCTURE
+    score += F.least(F.count_if(F.col("text").rlike(PRICED)), F.lit(MOST_PRICED)) * PRICED_LINES - F.count_if(F.length("text") > OVERLONG) * OVERLONG_LINES
+    score += F.least(count(WORD), F.lit(MOST_WORDS)) * WORDS
+    return lines.groupBy(*keys).agg(score.alias("ocr_score"), n.alias("line_count"), F.round(F.avg("confidence"), 2).alias("confidence"))
 
 
 def best_pass(scores: DataFrame, doc: str = "doc_id", nth: str = "pass_no") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from doclens import vocabulary as V
+from doclens.operators import ocr
 from doclens.plans.rendered import PAYMENTS, VENDORS
 
 
@@ -177,6 +178,31 @@ FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(CAS
 
 OCR = (
     LINES
-    + """, words AS (SELECT doc_id, line_no AS line_num, "left", pass_no, text, CASE WHEN pass_no = 2 AND "left" % 5 = 0 THEN 40.0 ELSE 80.0 END + doc_id % 10 AS conf
+    + """, words AS (SELECT doc_id, line_no AS line_num, "left", pass_no, text, CASE WHEN pass_no = 2 AND "left" % 5 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 40.0 ELSE 95.0 END ELSE 80.0 END + doc_id % 10 AS conf
   FROM (SELECT doc_id, line_no, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS "left" FROM lines), (VALUES (1), (2)) AS p(pass_no)) """
 )
+
+_TERMS = " + ".join(f"max(CASE WHEN contains(lower(text), '{t}') THEN {w} ELSE 0 END)" for t, w in ocr.TERMS.items())
+OCR_SCORES = (
+    OCR
+    + f""", grouped AS (SELECT doc_id, pass_no, line_num, string_agg(text, ' ' ORDER BY "left") AS text, round(avg(conf), 2) AS confidence FROM words WHERE text <> '' GROUP BY ALL),
+scores AS (SELECT doc_id, pass_no, count(*) AS line_count, least(count(*), 80) * 0.15 + avg(confidence) * 0.35 + {_TERMS}
+  + least(sum(len(regexp_extract_all(text, '\\b\\d+[.,]\\d{{1,3}}\\b'))), 40) * 1.2 + CASE WHEN bool_or(regexp_matches(lower(text), '\\b(tc|rcpt|receipt|txn|transaction|ref)')) THEN 8 ELSE 0 END
+  + CASE WHEN bool_or(regexp_matches(text, '\\b\\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d{{2,4}}\\b')) THEN 8 ELSE 0 END + least(count(*) FILTER (regexp_matches(text, '[A-Za-z].*\\d+[.,]\\d{{1,3}}\\s*$')), 30) * 0.8
+  - count(*) FILTER (length(text) > 90) * 1.5 + least(sum(len(regexp_extract_all(text, '[A-Za-z]{{2,}}'))), 60) * 0.05 AS score FROM grouped GROUP BY doc_id, pass_no) """
+)
+
+# Values are handed out once, so equal amounts of a form leave the later field empty; a total of two categories is mended or flagged.
+FORM_SCORES = """
+WITH keys AS (SELECT c_custkey AS k, c_custkey % 100 * 10 AS a, c_custkey % 70 * 10 AS b, CASE WHEN c_custkey % 7 = 0 THEN 5 ELSE 0 END AS e FROM customer),
+marks AS (SELECT *, k % 5 = 0 AS no_phone, a = b AS no_b, a + b + e IN (a, b) AND a <> b AS mended, a + b + e = a AND a = b AS no_total, a <> b AND e > 0 AND a + b + e NOT IN (a, b) AS odd FROM keys),
+counts AS (SELECT *, 9 - CAST(no_phone AS BIGINT) - CAST(no_b AS BIGINT) - CAST(no_total AS BIGINT) AS n FROM marks)
+SELECT k AS doc_id, CAST(n AS INTEGER) AS completed_fields, array_to_string(list_filter([CASE WHEN no_phone THEN 'phone' END, CASE WHEN no_b THEN 'cat_b_expenses' END, CASE WHEN no_total THEN 'total_expenses' END], lambda x: x IS NOT NULL), '|') AS missing_fields,
+  round(n * 100.0 / 9, 2)::DOUBLE AS completion_score, round((n - CASE WHEN odd THEN 0.75 ELSE 0 END) / n * 100, 2)::DOUBLE AS validation_score, odd AS needs_review FROM counts
+"""
+
+VALUES = """
+SELECT o_orderkey AS k, CAST(n AS DOUBLE) AS per_cent, CASE WHEN n % 2 = 0 THEN 0.0 ELSE n END::DOUBLE AS safe, n + 0.5::DOUBLE AS form_amount, (n // 4) || ['.00', '.25', '.50', '.75'][n % 4 + 1] AS places, format('{:,}', n) || '.5' AS grouped,
+  n % 3 <> 1 AS is_numeric, n % 2 = 0 AS is_checked, n % 2 = 0 AS is_marker, n % 2 = 0 AS is_person, 'a b ' || n AS plain, 'Bachelor of Mathematics ' || n AS degree,
+  CASE n % 3 WHEN 0 THEN 'experience' WHEN 1 THEN 'education' END AS section FROM (SELECT o_orderkey, CAST(o_orderkey % 90000 AS BIGINT) AS n FROM orders)
+"""
