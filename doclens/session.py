@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,8 +28,8 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g", app
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a
-    temporary folder is made once and set on the Spark context.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset and all runs on one machine (tests), a
+    temporary folder is made once and set on the Spark context; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="doclens-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
