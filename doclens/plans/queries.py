@@ -256,6 +256,27 @@ def jd_match(spark, sf_dir):
     return found.select("doc_id", "job_id", joined(F.col("matched_skills")).alias("matched"), joined(F.col("missing_skills")).alias("missing"), F.col("match_score").cast("double").alias("match_score"), "recommendation", "career_recommendation")
 
 
+@query("SELECT c_custkey AS doc_id, CAST(29 + CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 0 END AS INTEGER) AS total_lines, CAST(CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END AS INTEGER) AS education_records, CAST(1 AS INTEGER) AS experience_records, CAST(1 AS INTEGER) AS projects, CAST(1 AS INTEGER) AS certifications, CAST(2 AS INTEGER) AS languages FROM customer")
+def resume_statistics(spark, sf_dir):
+    rows = resume.with_statistics(resume.extract(R.resumes(spark, sf_dir))).select("doc_id", "statistics.*")
+    return rows.drop("skills_found")
+
+
+@query("SELECT o_orderkey AS doc_id, 'Python' AS education, 'Wrote reports|Led a team' AS experience FROM orders")
+def section_lists(spark, sf_dir):
+    """Sections by substring: a heading may stand inside a longer line."""
+    lines_ = F.array(*map(F.lit, ["Before any", "My Work Experience here", "Wrote reports", "Led a team", "Higher Education:", "Python"]))
+    found = R.table(spark, sf_dir, "orders").select("o_orderkey", entities.sections_by_substring(lines_).alias("s"))
+    return found.select(F.col("o_orderkey").alias("doc_id"), joined(F.col("s")["education"]).alias("education"), joined(F.col("s")["experience"]).alias("experience"))
+
+
+@query("SELECT CAST(7 AS BIGINT) AS id, 'Python|SQL' AS matched, 'Docker' AS missing, 66.67::DOUBLE AS match_score, 'Learn these skills: Docker' AS recommendation FROM orders WHERE o_orderkey = 7")
+def match_stored_resume(spark, sf_dir):
+    rows = R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit('{"skills": ["SQL", "Python", "k'), F.col("o_orderkey"), F.lit('"]}')).alias("json_data"))
+    found = scoring.match_stored(rows, 7, "We need Python, SQL and Docker.")
+    return found.select("id", joined(F.col("matched_skills")).alias("matched"), joined(F.col("missing_skills")).alias("missing"), F.col("match_score").cast("double").alias("match_score"), "recommendation")
+
+
 @query(truth.SECTIONS)
 def section_counts(spark, sf_dir):
     found = lines.sections(lines.explode_lines(R.resumes(spark, sf_dir)), V.SECTIONS)
@@ -401,9 +422,10 @@ def ocr_scores(spark, sf_dir) -> DataFrame:
     return ocr.pass_scores(ocr.grouped_lines(ocr_words(spark, sf_dir), keys), keys)
 
 
-@query(truth.OCR_SCORES + "SELECT doc_id, pass_no, line_count, round(score, 6) AS score FROM scores")
+@query(truth.OCR_SCORES + "SELECT doc_id, pass_no, line_count, CAST(floor(score * 100 + 0.00137) AS BIGINT) AS score FROM scores")
 def ocr_pass_scores(spark, sf_dir):
-    return ocr_scores(spark, sf_dir).select("doc_id", "pass_no", "line_count", F.round("ocr_score", 6).alias("score"))
+    """Scores in hundredths, cut where no score ends, as sums of fractions differ in their last bits."""
+    return ocr_scores(spark, sf_dir).select("doc_id", "pass_no", "line_count", F.floor(F.col("ocr_score") * 100 + 0.00137).alias("score"))
 
 
 @query(truth.OCR_SCORES + "SELECT doc_id, pass_no FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pass_no) = 1")
