@@ -119,6 +119,12 @@ def amount_text(c: Column) -> Column:
     return let(F.try_element_at(F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0)), F.lit(-1)), _signed)
 
 
+def keyword_amount(c: Column, keyword: str) -> Column:
+    """The first number within 80 characters after a keyword (a pattern, in any case), over line ends; letters O in it are zeros."""
+    found = F.regexp_extract(c, rf"(?is)(?:{keyword}).{{0,80}}?([0-9Oo]+(?:[.,][0-9Oo]{{1,4}})?)", 1)
+    return amount_text(F.translate(found, "Oo", "00"))
+
+
 def _signed(found: Column) -> Column:
     def number(bare: Column) -> Column:
         cents = F.contains(bare, F.lit(",")) & ~F.contains(bare, F.lit(".")) & bare.rlike(r",\d{1,2}$")

@@ -115,8 +115,21 @@ def form_instruction(c: Column) -> Column:
     return form_label(c).isin(sorted({re.sub(r"[^a-z0-9]+", "_", w).strip("_") for w in V.FORM_INSTRUCTIONS})) | c.rlike(r"^\(.*\)$")
 
 
+def checkbox_option(label: Column) -> Column:
+    """Whether a normalised label begins as an option to check does."""
+    return label.rlike("^(?:" + "|".join(V.CHECKBOX_OPTIONS) + ")")
+
+
+def checkbox_field(label: Column) -> Column:
+    return label.isin(V.CHECKBOX_FIELDS)
+
+
+def known_label(label: Column) -> Column:
+    return label.isin(sorted({re.sub(r"[^a-z0-9]+", "_", w).strip("_") for w in V.KNOWN_LABELS})) | checkbox_option(label)
+
+
 def form_labelled(c: Column) -> Column:
-    return F.contains(c, F.lit(":")) | form_label(c).rlike("^cat_[a-z]_expenses$")
+    return F.contains(c, F.lit(":")) | let(form_label(c), lambda n: n.rlike("^cat_[a-z]_expenses$") | known_label(n))
 
 
 def form_junk(c: Column) -> Column:

@@ -12,7 +12,7 @@ from doclens import vocabulary as V
 from doclens.functions import extract as E
 from doclens.functions import predicates as P
 from doclens.functions import text as N
-from doclens.operators import entities, form, invoice, lines, ocr, receipt, resume, scoring, store
+from doclens.operators import entities, form, history, invoice, lines, ocr, receipt, resume, scoring, store
 from doclens.plans import rendered as R
 from doclens.plans import truth
 
@@ -312,6 +312,86 @@ def entity_rows(spark, sf_dir):
     return found.select("doc_id", "label", "text")
 
 
+# Layouts that the rendered documents do not have: lines made of the key
+
+
+def made_of(c: Column, *parts: str) -> Column:
+    """Lines with the key put in where a part holds {}."""
+    text = lambda p: F.concat(*[x for piece in p.split("{}") for x in (F.lit(piece), c.cast("string"))][:-1])
+    return F.array(*[text(p) for p in parts])
+
+
+def opened(rows: DataFrame, **methods: Column) -> DataFrame:
+    """doc_id, method and the fields of each record that a method gives."""
+    named = lambda c, method: F.transform(c, lambda r: F.struct(F.lit(method).alias("method"), r.alias("r")))
+    every = F.concat(*[named(c, m) for m, c in methods.items()])
+    return rows.select("doc_id", F.explode_outer(every).alias("x")).where("x IS NOT NULL").select("doc_id", "x.method", "x.r.*")
+
+
+def keyed_customers(spark, sf_dir) -> DataFrame:
+    return R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 50 + 10).alias("n"))
+
+
+@query(truth.EDUCATION_LAYOUTS)
+def education_layouts(spark, sf_dir):
+    """Studies by blocks, by windows, by near lines, and merged; a misspelt degree, a date before its institution, noise between."""
+    rows = keyed_customers(spark, sf_dir)
+    headed = made_of(F.col("n"), "EDUCATION", "Matric in Science", "City: X", "Gov School {}", "20{} to 20{}", "physics", "Bachlor of Arts", "19{}", "Lake University", "Diploma", "SKILLS", "Academy")
+    bare = made_of(F.col("n"), "Some person", "19{}", "MBA", "Hill College {}", "LANGUAGES", "English")
+    merged = history.merged_education(history.education_blocks(headed), headed)
+    return opened(rows, blocks=history.education_blocks(headed), evidence=history.education_blocks(bare), windows=history.education_windows(headed), near=history.education_near(headed), merged=merged)
+
+
+@query(truth.JOB_LAYOUTS)
+def job_layouts(spark, sf_dir):
+    """Jobs around dates, with and without a heading; a section read in order; records that say something."""
+    rows = keyed_customers(spark, sf_dir)
+    headed = made_of(F.col("n"), "WORK EXPERIENCE", "Data Analyst", "Firm {} Ltd", "20{} - Present", "Developed many useful reports", "Liked it", "EDUCATION", "Teacher")
+    bare = made_of(F.col("n"), "A person", "Nurse", "City Hospital {}", "Jan 20{}", "Mar 20{}", "Helped people of every age")
+    ordered = made_of(F.col("n"), "Teacher", "Home and online", "19{}", "20{}", "Taught physics to", "many pupils", "a@b.example.com", "Hill School, Lahore", "• Prepared plan {}", "SKILLS", "Python")
+    none = F.lit(None).cast("string")
+    stray = F.array(*[F.struct(none.alias("company"), F.lit(t).alias("job_title"), none.alias("duration"), F.array().cast("array<string>").alias("description")) for t in ("Communication", "Cook", "Go")])
+    found = opened(rows, headed=history.job_regions(headed), bare=history.job_regions(bare), ordered=history.job_in_order(ordered), valid=history.valid_jobs(stray))
+    return found.withColumn("description", joined(F.col("description")))
+
+
+@query(truth.PROJECT_LAYOUTS)
+def project_layouts(spark, sf_dir):
+    rows = keyed_customers(spark, sf_dir)
+    text = made_of(F.col("n"), "Projects", "It began as a sentence.", "Shop {}", "- Sells {} things", "Short line", "Fraud Detection {}", "Finds fraud.")
+    return opened(rows, lines=history.projects(text)).drop("method").withColumn("description", joined(F.col("description")))
+
+
+@query("SELECT c_custkey AS doc_id, 'I teach class ' || (c_custkey % 50 + 10) || ' with joy. More prose here' AS summary FROM customer")
+def summary_prose(spark, sf_dir):
+    text = made_of(F.col("n"), "Jo", "ABOUT ME", "Gender:", "Male", "I teach class {} with joy.", "jo{}@mail.example.com", "+92 300 12345{}", "Contact", "More prose here", "EXPERIENCE", "Cook")
+    return keyed_customers(spark, sf_dir).select("doc_id", history.prose_about(text).alias("summary"))
+
+
+@query(truth.COLONLESS)
+def form_colonless(spark, sf_dir):
+    """Known labels without a colon take a value of the two lines below; options stay without one."""
+    text = joined(made_of(F.col("n"), "Name: Jo Lee", "Tar", "{} mg", "Nicotine", "brand", "0.{}", "Total Cost", "Menthol", "File Folder", "Unknown words", "Other: yes"), "\n")
+    found = form.extract(keyed_customers(spark, sf_dir).select("doc_id", text.alias("text")))
+    fields = F.transform("fields", lambda f: F.struct(*[f[c] for c in ("name", "value", "source", "review_required")], F.array_contains("checkbox_options", f["name"]).alias("is_option"), P.checkbox_field(f["name"]).alias("is_box")))
+    return found.select("doc_id", F.explode_outer(fields).alias("f")).select("doc_id", "f.*")
+
+
+@query(truth.ITEM_LAYOUTS)
+def item_layouts(spark, sf_dir):
+    """Rows that begin with a code above their description, and a list without a heading."""
+    coded = made_of(F.col("n"), "Item Qty Price Amount", "000000111 1 {}.00 {}.00 SR", "Blue Chair {}", "Red Desk 2 10.00 20.00", "Sub Total 5")
+    unheaded = made_of(F.col("n"), "{}.50", "x", "Blue chair {}", "Qty: {}", "Total {}")
+    plain = F.transform(invoice.items_in_order(unheaded), lambda i: F.struct(i["description"].alias("description"), *[i[c].cast("string").alias(c) for c in ("quantity", "unit_price", "amount")]))
+    return opened(keyed_customers(spark, sf_dir), coded=invoice.items(coded), unheaded=plain)
+
+
+@query("SELECT c_custkey AS doc_id, CAST(c_custkey % 50 + 10 AS VARCHAR) || '0.50' AS due, CAST(NULL AS VARCHAR) AS absent FROM customer")
+def keyword_amounts(spark, sf_dir):
+    text = joined(made_of(F.col("n"), "Total due", "is {}O.5O in all", "not 7"), "\n")
+    return keyed_customers(spark, sf_dir).select("doc_id", E.keyword_amount(text, "total due").alias("due"), E.keyword_amount(text, "rebate").alias("absent"))
+
+
 # The store and its analytics
 
 

@@ -206,3 +206,51 @@ SELECT o_orderkey AS k, CAST(n AS DOUBLE) AS per_cent, CASE WHEN n % 2 = 0 THEN
   n % 3 <> 1 AS is_numeric, n % 2 = 0 AS is_checked, n % 2 = 0 AS is_marker, n % 2 = 0 AS is_person, 'a b ' || n AS plain, 'Bachelor of Mathematics ' || n AS degree,
   CASE n % 3 WHEN 0 THEN 'experience' WHEN 1 THEN 'education' END AS section FROM (SELECT o_orderkey, CAST(o_orderkey % 90000 AS BIGINT) AS n FROM orders)
 """
+
+
+_KEYED = "(SELECT c_custkey AS doc_id, CAST(c_custkey % 50 + 10 AS VARCHAR) AS n FROM customer)"
+
+
+def records(columns: str, *rows: str) -> str:
+    """SQL of the given rows for each key."""
+    return " UNION ALL ".join(f"SELECT doc_id, {', '.join(f'{v} AS {c}' for c, v in zip(columns.split(), row.split(' ; '), strict=True))} FROM {_KEYED}" for row in rows)
+
+
+EDUCATION_LAYOUTS = records(
+    "method degree institution year",
+    *(f"'{m}' ; 'Matric in Science' ; 'Gov School ' || n ; '20' || n || ' to 20' || n" for m in ("blocks", "windows", "merged")),
+    *(f"'{m}' ; 'Bachlor of Arts' ; 'Lake University' ; '19' || n" for m in ("blocks", "merged")),
+    "'blocks' ; 'Diploma' ; CAST(NULL AS VARCHAR) ; CAST(NULL AS VARCHAR)",
+    "'evidence' ; 'MBA' ; 'Hill College ' || n ; '19' || n",
+    "'windows' ; 'Bachelor of Arts' ; 'Lake University' ; '19' || n",
+    "'near' ; 'Matric in Science' ; 'City: X' ; '20' || n || ' to 20' || n",
+    "'near' ; 'Diploma' ; CAST(NULL AS VARCHAR) ; CAST(NULL AS VARCHAR)",
+)
+
+JOB_LAYOUTS = records(
+    "method company job_title duration description",
+    "'headed' ; 'Firm ' || n || ' Ltd' ; 'Data Analyst' ; '20' || n || ' - Present' ; 'Developed many useful reports'",
+    "'bare' ; 'City Hospital ' || n ; 'Nurse' ; 'Jan 20' || n || ' - Mar 20' || n ; 'Helped people of every age'",
+    "'ordered' ; CAST(NULL AS VARCHAR) ; 'Teacher - Home and online' ; '19' || n || ' - 20' || n ; 'Taught physics to many pupils|Prepared plan ' || n",
+    "'valid' ; CAST(NULL AS VARCHAR) ; 'Cook' ; CAST(NULL AS VARCHAR) ; ''",
+)
+
+PROJECT_LAYOUTS = records("title description", "'Shop ' || n ; 'Sells ' || n || ' things|Short line'", "'Fraud Detection ' || n ; 'Finds fraud.'")
+
+COLONLESS = records(
+    "name value source review_required is_option is_box",
+    "'name' ; 'Jo Lee' ; 'inline' ; false ; false ; false",
+    "'other' ; 'yes' ; 'inline' ; false ; false ; false",
+    "'tar' ; n || ' mg' ; 'colonless_next_line' ; false ; false ; false",
+    "'nicotine' ; '0.' || n ; 'colonless_next_line' ; false ; false ; false",
+    "'total_cost' ; CAST(NULL AS VARCHAR) ; 'colonless' ; false ; false ; false",
+    "'menthol' ; CAST(NULL AS VARCHAR) ; 'colonless' ; false ; false ; true",
+    "'file_folder' ; 'Unknown words' ; 'colonless_next_line' ; false ; true ; false",
+)
+
+ITEM_LAYOUTS = records(
+    "method description quantity unit_price amount",
+    "'coded' ; 'Blue Chair ' || n ; '1' ; n || '.00' ; n || '.00'",
+    "'coded' ; 'Red Desk' ; '2' ; '10.00' ; '20.00'",
+    "'unheaded' ; 'Blue chair ' || n ; n ; n || '.5' ; n || '.5'",
+)

@@ -116,3 +116,73 @@ FORM_INSTRUCTIONS = ["check one", "appendix c", "reportable expenditures", "in t
 
 # Points of the resume rubric.
 RUBRIC = {"name": 10, "email": 10, "phone": 10, "skills": 20, "education": 15, "experience": 15, "projects": 5, "certifications": 5, "linkedin": 5, "github": 5}
+
+# Headings, words and phrases of studies in resumes.
+EDUCATION_HEADINGS = [
+    "education", "educational background", "education background", "academic background", "academic qualifications", "academic history", "qualifications",
+    "educational qualifications", "education & qualifications", "education and qualifications",
+]
+EDUCATION_ENDS = [
+    "experience", "work experience", "professional experience", "employment", "employment history", "career history", "work history", "skills", "technical skills",
+    "professional skills", "core skills", "key skills", "competencies", "expertise", "projects", "personal projects", "certifications", "certificates", "languages",
+    "references", "achievements", "awards", "interests", "hobbies", "contact", "contacts", "personal details", "summary", "profile", "objective", "career objective", "about me",
+]
+QUALIFICATION = r"(?i)\b(?:ph\.?d|doctorate|doctoral|master(?:'s)?|m\.?sc|m\.?a|m\.?s|mba|m\.?phil|bachelor(?:'s)?|b\.?sc|b\.?a|b\.?s|bba|b\.?com|associate|diploma|higher secondary|secondary school|high school|intermediate|matric|foundation|certificate|certification|llb|jd|md|mbbs|bds|pharmd|engineering|computer science|information technology|data science|business administration|accounting|finance|economics|education|arts|commerce|science)\b"
+INSTITUTION_WORD = r"(?i)\b(?:school|college|university|academy|institute|faculty|campus|polytechnic|department|board|centre|center)\b"
+ACADEMIC_STATUS = r"(?i)^(?:completed|graduated|studied|pursuing|currently|major|specialization|specialised|specialized|coursework|thesis|cgpa|gpa)\b"
+DEGREE_LINE = r"(?i)\b(?:matric(?:ulation)?|intermediate|f\.?sc|i\.?cs|bachelor|bachlor|masters?|b\.?\s*ed|m\.?\s*ed|b\.?\s*sc|m\.?\s*sc|b\.?\s*e|b\.?\s*tech|m\.?\s*tech|mba|ph\.?\s*d)\b"
+EDUCATION_NOISE = [
+    "classroom management", "lesson planning", "student communication", "subject knowledge", "communication skills", "teaching", "tutoring", "online teaching",
+    "physics", "mathematics", "english", "urdu", "pushto", "present", "goals.",
+]
+STUDY_LINE = r"(?i)\b(?:matric(?:ulation)?|intermediate|fsc|fa|ics|icom|bachelor|b\.?s|b\.?sc|master|m\.?s|m\.?phil|msc|phd|doctorate|b\.?ed|m\.?ed|diploma)\b"
+STUDY_HEADINGS = ["education", "academic background", "academic qualification", "qualifications", "qualification", "educational background"]
+STUDY_ENDS = ["experience", "work experience", "employment", "projects", "certifications", "certificates", "skills", "languages", "contact", "contacts", "references"]
+
+# Headings, words and phrases of jobs in resumes.
+JOB_HEADINGS = [
+    "experience", "work experience", "professional experience", "employment", "employment history", "employment experience", "career history", "work history",
+    "professional background", "professional history", "career experience", "job experience", "work background", "internship", "internships", "internship experience",
+    "industrial experience", "teaching experience", "relevant experience", "relevant work experience", "work experience and internships",
+]
+JOB_ENDS = [
+    "education", "educational background", "academic background", "academic qualifications", "qualifications", "skills", "technical skills", "professional skills",
+    "core skills", "key skills", "competencies", "expertise", "projects", "personal projects", "certifications", "certificates", "languages", "references",
+    "achievements", "awards", "interests", "hobbies", "contact", "contacts", "personal details", "profile", "summary", "about me", "objective", "career objective",
+]
+JOB_TITLE = r"(?i)\b(?:developer|engineer|architect|analyst|scientist|programmer|designer|researcher|consultant|manager|supervisor|coordinator|administrator|assistant|officer|executive|director|lead|specialist|associate|intern|trainee|teacher|tutor|lecturer|professor|instructor|accountant|auditor|advisor|agent|representative|technician|nurse|doctor|pharmacist|lawyer|writer|editor|journalist|marketer|sales|operations|hr|human resources)\b"
+JOB_ACTION = r"(?i)^(?:provided|managed|developed|created|designed|implemented|prepared|taught|trained|assisted|responsible|handled|worked|maintained|analyzed|supported|coordinated|supervised|conducted|delivered|performed|helped|monitored|explained|planned|organized|achieved|built|led|served|administered|researched|consulted|optimized|automated|deployed|contributed|collaborated|facilitated|mentored|executed|improved)\b"
+ORGANISATION = r"(?i)\b(?:school|college|university|academy|institute|company|organization|corporation|hospital|bank|group|system|center|centre|agency|firm|solutions|technology|technologies|limited|ltd|llc|inc|studio|services|clinic|laboratory|lab|foundation|department|office|association)\b"
+JOB_SPAN = r"(?i)\b(?:19|20)\d{2}\s*(?:-|–|—|to)\s*(?:(?:19|20)\d{2}|present)\b"
+JOB_LABELS = [
+    "experience", "professional experience", "work experience", "employment", "teaching experience", "professional background", "responsibilities", "responsibility", "duties", "job description",
+]
+JOB_STOPS = ["education", "skills", "projects", "certifications", "languages", "summary", "profile"]
+SPILLED_PLACE = r"(?i),\s*(?:Peshawar|Swabi|Islamabad|Lahore|Karachi)\b"
+NO_TITLES = ["strong - communication", "strong communication", "communication", "experience"]
+
+# Projects and the prose of resumes.
+PROJECT_HEADINGS = ["projects", "project", "academic projects", "personal projects", "major projects", "minor projects", "portfolio projects", "key projects"]
+PROJECT_BEGINNINGS = ["ai-based ", "al-based ", "fraud detection", "fall detection", "resume parser", "document processing"]
+PROSE_ENDS = ["teaching experience", "experience", "professional experience", "work experience"]
+PERSONAL_DETAILS = ["personal details", "father name:", "date of birth:", "cnic:", "gender:", "religion:", "marital status:"]
+
+# Labels that stand in forms without a colon, and beginnings of checkbox options.
+KNOWN_LABELS = [
+    "year covered", "brand family name", "variety description", "products length", "product length", "filter", "nonfilter", "hard pack", "soft pack", "menthol",
+    "nonmenthol", "pack size sold", "tar", "nicotine", "variety unit sales", "variety dollar sales", "first sales date", "last sales date",
+    "total reportable expenditures for variety", "bates id", "document copies", "page number(s)", "poor quality original",
+    "overlay item could not be removed without damage to the original", "no documents were found within the original", "file folder", "redrope expandable file",
+    "hanging file", "envelope", "other", "bates number", "not used", "other variance (explain)", "date", "description", "supplier", "total area budget",
+    "current bal. available", "this change", "new balance", "committed to date", "submitted by", "approved by", "cc", "project no.", "account name", "project file",
+    "internal init.", "ext. auth.", "final report due", "field complete", "total cost", "previous commitments", "amt. of change", "reasons", "wave(s)",
+]
+CHECKBOX_OPTIONS = [
+    "document_copies_are_in_the_same_sequence", "page_number_s", "poor_quality_original", "overlay_item_could_not_be_removed",
+    "no_documents_were_found_within_the_original", "file_folder", "redrope_expandable_file", "hanging_file", "envelope", "other_specify",
+    "document_copies_were_reproduced", "bates_number", "not_used", "other_variance",
+]
+CHECKBOX_FIELDS = ["filter", "nonfilter", "hard_pack", "soft_pack", "menthol", "nonmenthol", "yes", "no", "male", "female", "checked", "selected"]
+
+# Words of lines that are no product of an unheaded list.
+NO_PRODUCT = ["TOTAL", "GST", "VAT", "AMOUNT", "DESCRIPTION", "PRICE", "QTY", "SUBTOTAL", "ROUND", "APPROVAL", "CARD", "THANK", "GOODS SOLD"]
