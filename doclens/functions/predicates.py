@@ -125,7 +125,8 @@ def checkbox_field(label: Column) -> Column:
 
 
 def known_label(label: Column) -> Column:
-    return label.isin(sorted({re.sub(r"[^a-z0-9]+", "_", w).strip("_") for w in V.KNOWN_LABELS})) | checkbox_option(label)
+    names = sorted({re.sub(r"[^a-z0-9]+", "_", w).strip("_") for w in V.KNOWN_LABELS})
+    return label.rlike(rf"^(?:{'|'.join(names)})\z|^(?:{'|'.join(V.CHECKBOX_OPTIONS)})")
 
 
 def form_labelled(c: Column) -> Column:

@@ -218,23 +218,24 @@ def form_scores(spark, sf_dir):
 
 @query(truth.RESUMES)
 def resume_contact(spark, sf_dir):
-    return resume.extract(R.resumes(spark, sf_dir)).select("doc_id", "name", "email", "phone", "linkedin", "github", "summary", joined(F.col("languages")).alias("languages"), joined(F.col("certifications")).alias("certifications"))
+    fields = ["name", "email", "phone", "linkedin", "github", "summary", "languages", "certifications"]
+    return resume.extract(R.resumes(spark, sf_dir), only=fields).select("doc_id", "name", "email", "phone", "linkedin", "github", "summary", joined(F.col("languages")).alias("languages"), joined(F.col("certifications")).alias("certifications"))
 
 
 @query(truth.EDUCATION)
 def resume_education(spark, sf_dir):
-    return resume.extract(R.resumes(spark, sf_dir)).select("doc_id", F.explode_outer("education").alias("e")).where("e IS NOT NULL").select("doc_id", "e.*")
+    return resume.extract(R.resumes(spark, sf_dir), only=["education"]).select("doc_id", F.explode_outer("education").alias("e")).where("e IS NOT NULL").select("doc_id", "e.*")
 
 
 @query("SELECT c_custkey AS doc_id, 'Firm ' || c_custkey % 50 AS company, 'Senior Analyst' AS job_title, (2000 + c_custkey % 10) || ' - Present' AS duration, 'Built monthly reports for the team|Led weekly planning of work' AS description FROM customer")
 def resume_experience(spark, sf_dir):
-    rows = resume.extract(R.resumes(spark, sf_dir)).select("doc_id", F.explode_outer("experience").alias("e"))
+    rows = resume.extract(R.resumes(spark, sf_dir), only=["experience"]).select("doc_id", F.explode_outer("experience").alias("e"))
     return rows.where("e IS NOT NULL").select("doc_id", "e.company", "e.job_title", "e.duration", joined(F.col("e.description")).alias("description"))
 
 
 @query(truth.SKILLS)
 def resume_skills(spark, sf_dir):
-    return resume.extract(R.resumes(spark, sf_dir)).select("doc_id", joined(F.col("skills")).alias("skills"), F.size("skills").cast("long").alias("n_skills"))
+    return resume.extract(R.resumes(spark, sf_dir), only=["skills"]).select("doc_id", joined(F.col("skills")).alias("skills"), F.size("skills").cast("long").alias("n_skills"))
 
 
 @query(truth.ATS)
@@ -249,7 +250,7 @@ def job_skills(spark, sf_dir):
 
 @query(truth.MATCH)
 def jd_match(spark, sf_dir):
-    people = resume.extract(R.resumes(spark, sf_dir)).select("doc_id", "skills")
+    people = resume.extract(R.resumes(spark, sf_dir), only=["skills"]).select("doc_id", "skills")
     jobs = R.jobs(spark, sf_dir)
     n = R.table(spark, sf_dir, "part").count()
     found = scoring.match_jobs(people, jobs, F.col("doc_id") % n == F.col("job_id"))
