@@ -4,7 +4,12 @@ Pages that a rule judges are the labelled ones. Paths are cut into segments, run
 their end, level by level. Below a host's template a segment with ``LEAST_PAGES`` pages or ``LEAST_LABELLED`` labelled ones is a branch
 of its own, whatever its siblings are; only the sparse rest shares the wildcard ``*``. Branches whose labelled block shares do not differ
 significantly (two-proportion z-test between neighbours by share) merge into one. A template's purity is its labelled block share,
-smoothed by ``SMOOTHING`` pages of the overall share; at ``REJECT`` or more its pages without a rule are blocked.
+smoothed by ``SMOOTHING`` pages of the share estimated for the node above it; at ``REJECT`` or more its pages without a rule are blocked.
+
+Estimates go down the tree, from the overall share over the host to each node: a node's labelled pages count as they are, its other
+pages, or ``SMOOTHING`` if those are fewer, at the estimate above. So a section without labels is rejected where most pages around it
+are known and bad, and stays where the bad ones are a small section of a wide host. A path that ends at an inner node takes that
+node's estimate.
 
 All of it is grouping and joining of counts by host and template: pages are first summed by host and generalised path, so a host with
 a third of all pages is a sum of partial sums, and a window sees only siblings with enough labelled pages. Templates that hold one
@@ -61,13 +66,23 @@ def verdict_of(rule: Column, rules: dict[str, str] = RULES) -> Column:
     return reduce(lambda out, r: F.when(rule == r, F.lit(rules[r])).otherwise(out), rules, F.lit(None).cast("string"))
 
 
+def estimate(above: Column) -> Column:
+    """Block share of a node's pages, given the estimate of the node above it."""
+    unknown = F.greatest(F.col("n") - F.col("n_labelled"), F.lit(SMOOTHING))
+    return (F.col("n_blocked") + unknown * above) / (F.col("n_labelled") + unknown)
+
+
 def templates(paths: DataFrame) -> DataFrame:
-    """``paths``: host, shape (generalised path), n, n_labelled, n_blocked. Adds the template that each falls under."""
-    live = materialise(
-        paths.withColumn("segments", F.filter(F.split("shape", "/"), lambda s: s != "")).withColumn("template", F.lit("")),
-        "url-paths",
-    )
+    """``paths``: host, shape (generalised path), n, n_labelled, n_blocked. Adds the template that each falls under, and the
+    estimate ``above`` it."""
+    paths = materialise(paths, "url-paths")
     sums = [F.sum(c).alias(c) for c in ("n", "n_labelled", "n_blocked")]
+    total = paths.agg(*sums).first()
+    overall = min(0.5, (total.n_blocked or 0) / max(1, total.n_labelled or 0))
+    hosts = paths.groupBy("host").agg(*sums).select("host", estimate(F.lit(overall)).alias("above"))
+    segments = F.filter(F.split("shape", "/"), lambda s: s != "")
+    live = paths.join(hosts, "host").withColumn("segments", segments).withColumn("template", F.lit(""))
+    result = [*paths.columns, "template", "above"]
     enough = (F.col("n") >= LEAST_PAGES) | (F.col("n_labelled") >= LEAST_LABELLED)
     tested = F.col("n_labelled") >= LEAST_LABELLED
     share = F.col("n_blocked") / F.col("n_labelled")
@@ -81,8 +96,8 @@ def templates(paths: DataFrame) -> DataFrame:
     key, level, done = ["host", "template", "segment"], 0, []
     while not live.isEmpty():
         here = live.withColumn("segment", F.get("segments", F.lit(level)))
-        done.append(here.where("segment is null").select(*paths.columns, "template"))
-        counts = materialise(here.where("segment is not null").groupBy(*key).agg(*sums, F.count("*").alias("shapes")), "url-counts")
+        done.append(here.where("segment is null").select(*result))
+        counts = materialise(here.where("segment is not null").groupBy(*key).agg(*sums, F.count("*").alias("shapes"), F.max("above").alias("above")), "url-counts")
         cut = counts.where(tested).withColumn("opens", opens).withColumn("branch", F.sum("opens").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
         placed = cut.withColumn("place", F.row_number().over(members.orderBy("segment"))).withColumn("size", F.count("*").over(members))
         listed = placed.where(F.col("place") <= NAMED).groupBy("host", "template", "branch").agg(F.array_join(F.array_sort(F.collect_list("segment")), "|").alias("listed"))
@@ -91,16 +106,16 @@ def templates(paths: DataFrame) -> DataFrame:
         alone = counts.where(~tested).withColumn("name", F.when(enough, F.col("segment")).otherwise(F.lit("*")))
         named = materialise(merged.unionByName(alone), "url-branches")
         # a branch that no further level can divide: the rest of its paths stands as it is, or is sparse altogether
-        below = named.groupBy("host", "template", "name").agg(*sums, F.sum("shapes").alias("shapes"))
-        ended = below.select("host", "template", "name", F.when(~enough, F.lit("sparse")).when(F.col("shapes") == 1, F.lit("one")).alias("end"))
-        step = here.join(named.join(ended, ["host", "template", "name"]).select(*key, "name", "end"), key)
+        below = named.groupBy("host", "template", "name").agg(*sums, F.sum("shapes").alias("shapes"), F.max("above").alias("above"))
+        ended = below.select("host", "template", "name", estimate(F.col("above")).alias("here"), F.when(~enough, F.lit("sparse")).when(F.col("shapes") == 1, F.lit("one")).alias("end"))
+        step = here.join(named.join(ended, ["host", "template", "name"]).select(*key, "name", "here", "end"), key)
         rest = F.slice("segments", level + 2, F.size("segments"))
         tail = F.when(F.col("end") == "one", rest).when(F.col("end") == "sparse", F.transform(rest, lambda s: F.lit("*")))
         template = F.array_join(F.concat(F.array("template", "name"), F.coalesce(tail, F.array().cast("array<string>"))), "/")
         step = materialise(step.withColumn("template", template), "url-level")
-        done.append(step.where("end is not null").select(*paths.columns, "template"))
-        live, level = step.where("end is null").drop("segment", "name", "end"), level + 1
-    return reduce(DataFrame.unionByName, done, live.select(*paths.columns, "template"))
+        done.append(step.where("end is not null").select(*result))
+        live, level = step.where("end is null").select(*paths.columns, "segments", "template", F.col("here").alias("above")), level + 1
+    return reduce(DataFrame.unionByName, done, live.select(*result))
 
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
@@ -113,9 +128,7 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
         F.count("*").alias("n"), F.count(ruled).alias("n_labelled"), F.coalesce(F.sum((ruled == "block").cast("long")), F.lit(0)).alias("n_blocked")
     )
     tree = materialise(templates(paths), "url-templates")
-    total = tree.agg(F.sum("n_blocked"), F.sum("n_labelled")).first()
-    overall = min(0.5, (total[0] or 0) / max(1, total[1] or 0))
-    purity = (F.sum("n_blocked") + SMOOTHING * overall) / (F.sum("n_labelled") + SMOOTHING)
+    purity = (F.sum("n_blocked") + SMOOTHING * F.max("above")) / (F.sum("n_labelled") + SMOOTHING)
     pure = tree.groupBy("host", "template").agg(purity.alias("purity"))
     of_shape = tree.select("host", "shape", "template").join(pure, ["host", "template"]).select("host", F.col("shape").alias("_shape"), "template", "purity")
     verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))

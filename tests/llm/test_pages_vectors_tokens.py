@@ -58,6 +58,29 @@ def brute_rule(url):
     return host, path, max(fits, key=len, default=None)
 
 
+def brute_above(rows):
+    """Estimate above each (host, template), from the pages' templates alone."""
+
+    def share(pages, above):
+        own = [url_filter.RULES[r.rule] == "block" for r in pages if r.rule]
+        unknown = max(len(pages) - len(own), url_filter.SMOOTHING)
+        return (sum(own) + unknown * above) / (len(own) + unknown)
+
+    known = [url_filter.RULES[r.rule] == "block" for r in rows if r.rule]
+    out = {}
+    for host, template in {(r.host, r.template) for r in rows}:
+        names, pages = template.split("/")[1:], [r for r in rows if r.host == host]
+        above = share(pages, min(0.5, sum(known) / max(1, len(known))))
+        for depth in range(1, len(names) + 1):
+            pages = [r for r in pages if r.template.split("/")[1 : depth + 1] == names[:depth]]
+            sparse = len(pages) < url_filter.LEAST_PAGES and sum(r.rule is not None for r in pages) < url_filter.LEAST_LABELLED
+            if sparse or len({re.sub("[0-9]+", "#", r.path) for r in pages}) == 1:
+                break
+            above = share(pages, above)
+        out[host, template] = above
+    return out
+
+
 def test_url_rules_and_templates(spark):
     urls = [None, "", "no scheme", "://", "http://A.NET", "http://A.NET/x", "http://net/", "https://example.net/en/1?q#h", "http://x.example.net/en", "http://example.com/de/", "http://notnet/", "http://a://b/c", "http://É.org/fr/x", "http://b.org?x/fr/", "HTTP://B.org/fr/#/net/"]
     urls += [f"http://h.example.com/{b}/{i}.html" for b in ("de", "en") for i in range(20)] + [f"http://w.example.com/p{chr(97 + i)}/de/" for i in range(12)] * 2
@@ -71,11 +94,10 @@ def test_url_rules_and_templates(spark):
     groups = {}
     for r in rows.values():
         groups.setdefault((r.host, r.template), []).append(r)
-    known = [r for r in rows.values() if r.rule]
-    overall = min(0.5, sum(url_filter.RULES[r.rule] == "block" for r in known) / len(known))
-    for group in groups.values():
+    above = brute_above(list(rows.values()))
+    for key, group in groups.items():
         own = [url_filter.RULES[r.rule] for r in group if r.rule]
-        assert group[0].purity == pytest.approx((own.count("block") + url_filter.SMOOTHING * overall) / (len(own) + url_filter.SMOOTHING))
+        assert group[0].purity == pytest.approx((own.count("block") + url_filter.SMOOTHING * above[key]) / (len(own) + url_filter.SMOOTHING))
     assert {r.template for r in rows.values() if r.host == "h.example.com"} == {"/de/#.html", "/en/#.html"}
     assert {r.template for r in rows.values() if r.host == "w.example.com"} == {"/*/de"}
     assert url_filter.judge(pages.where("false")).count() == 0
@@ -87,6 +109,17 @@ def test_similar_branches_merge(spark):
     assert {r["shape"]: r.template for r in rows} == {"/a/#": "/a|b/#", "/b/#": "/a|b/#", "/c/#": "/c|d/#", "/d/#": "/c|d/#", "/e": "/e"}
 
 
+def test_the_rest_of_a_bad_host_is_blocked(spark):
+    urls = [f"http://bad.example.com/de/{i}" for i in range(60)] + [f"http://bad.example.com/{s}/{i}" for s in ("en", "x") for i in range(6)]
+    urls += [f"http://good.org/fr/{i}" for i in range(40)] + [f"http://good.org/en/{i}" for i in range(6)] + ["http://new.example.com/en/1"]
+    rows = url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")).collect()
+    assert {(r.host, r.verdict) for r in rows if r.rule is None} == {("bad.example.com", "block"), ("good.org", "allow"), ("new.example.com", "allow")}
+    above = brute_above(rows)
+    for r in rows:
+        own = [url_filter.RULES[o.rule] for o in rows if o.rule and (o.host, o.template) == (r.host, r.template)]
+        assert r.purity == pytest.approx((own.count("block") + url_filter.SMOOTHING * above[r.host, r.template]) / (len(own) + url_filter.SMOOTHING))
+
+
 def test_clean_sections_of_a_wide_host_stay_allowed(spark):
     clean = [f"s{chr(97 + i)}" for i in range(20)]
     urls = [f"http://a.example.com/de/{i}" for i in range(24)] + [f"http://a.example.com/{s}/{i}" for s in clean for i in range(3 if s < "sf" else 6)]
