@@ -62,6 +62,53 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved no part may be reproduced without prior written permission"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
+        "Software to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute "
+        "sublicense and or sell copies of the Software and to permit persons to whom the Software is furnished to do so subject to the following conditions",
+    ),
+    (
+        "apache",
+        "unless required by applicable law or agreed to in writing software distributed under the License is distributed on an AS IS BASIS "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND either express or implied",
+    ),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    (
+        "bsd",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution",
+    ),
+    (
+        "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission",
+    ),
+    ("gpl", "copy of the GNU General Public License"),
+    ("lgpl", "copy of the GNU Lesser General Public License"),
+    ("agpl", "copy of the GNU Affero General Public License"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the GNU Free Documentation License version"),
+    ("mpl", "if a copy of the MPL was not distributed with this file you can obtain one at"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    (
+        "zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute "
+        "it freely subject to the following restrictions",
+    ),
+    (
+        "bsl",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation "
+        "covered by this license to use reproduce display distribute execute and transmit the Software",
+    ),
+    (
+        "unlicense",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for "
+        "any purpose commercial or non commercial and by any means",
+    ),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("artistic", "licensed under the Artistic License 2.0"),
+    ("ofl", "this Font Software is licensed under the SIL Open Font License version 1.1"),
 ]
 
 RESULT = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]

@@ -211,10 +211,12 @@ def test_wrapped_license_notices(spark):
 
     full = [(label, t) for label, t in licenses.TEMPLATES if len(t.split()) > 4]
     texts = ["some code here\n" + "\n".join(" * " + line for line in textwrap.wrap(t, 20)) + "\nmore code" for _, t in full]
+    texts.append("You should have received a copy of the GNU Lesser General Public License\nalong with this library.")
     texts.append("\n".join(w + " filler" * 30 for w in full[1][1].split()))
     rows = licenses.scan(docs_of(spark, texts)).orderBy("doc_id").collect()
     for (label, _), r in zip(full, rows):
         assert label in r.labels.split(",") and r.score >= 0.9 and r.blocks
+    assert rows[-2].labels == "gpl,lgpl" and rows[-2].base_labels == "gpl"
     assert rows[-1].labels == ""
 
 
