@@ -15,6 +15,8 @@ from doclens.functions import text as N
 from doclens.operators import entities, form, history, invoice, lines, ocr, receipt, resume, scoring, store
 from doclens.plans import rendered as R
 from doclens.plans import truth
+from doclens.session import scratch_path
+from doclens.sources import files, writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -512,3 +514,69 @@ def ocr_pass_scores(spark, sf_dir):
 @query(truth.OCR_SCORES + "SELECT doc_id, pass_no FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pass_no) = 1")
 def ocr_best_pass(spark, sf_dir):
     return ocr.best_pass(ocr_scores(spark, sf_dir)).select("doc_id", "pass_no")
+
+
+# Sources and sinks: written, and read back
+
+
+@query("SELECT doc_id, source, lang, text FROM documents")
+def records_written(spark, sf_dir):
+    path, rows = scratch_path(spark, "records"), docs(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    writers.write_records(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents WHERE text <> ''")
+def texts_written(spark, sf_dir):
+    path = scratch_path(spark, "texts")
+    rows = docs(spark, sf_dir).where("text <> ''").withColumn("text", F.replace("text", F.lit("\r"), F.lit("")))
+    writers.write_texts(rows, path)
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
+
+
+@query(truth.GUESSES + "SELECT printf('%d precision %.4f recall %.4f f1 %.4f support %d', label, precision, recall, f1, support) AS line FROM report")
+def report_written(spark, sf_dir):
+    path = scratch_path(spark, "report")
+    writers.write_report(store.class_report(guesses(spark, sf_dir)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(truth.GUESSES + "SELECT y_true, count(*) FILTER (y_pred = 0) AS pred_0, count(*) FILTER (y_pred = 1) AS pred_1 FROM guesses GROUP BY y_true")
+def matrix_written(spark, sf_dir):
+    path, matrix = scratch_path(spark, "matrix"), store.confusion_matrix(guesses(spark, sf_dir), [0, 1])
+    writers.write_matrix(matrix, path)
+    return spark.read.schema(matrix.schema).csv(path, header=True)
+
+
+@query(truth.SPLIT)
+def split_written(spark, sf_dir):
+    path = scratch_path(spark, "split")
+    rows = store.stratified_split(docs(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id")
+    writers.write_split(rows.withColumn("label", F.col("lang")), path)
+    return spark.read.parquet(path).select("doc_id", "lang", "split")
+
+
+@query("SELECT 'scan-' || doc_id || '.png' AS value FROM documents WHERE n_chars < 200")
+def corrupt_written(spark, sf_dir):
+    path = scratch_path(spark, "corrupt")
+    scans = docs(spark, sf_dir).select(F.format_string("scan-%d.png", "doc_id").alias("path"), (F.col("n_chars") >= 200).alias("valid"))
+    return spark.read.schema("value string").text(path) if writers.write_corrupt(scans, path) else spark.createDataFrame([], "value string")
+
+
+@query("SELECT 'order-' || o_orderkey AS file_name, 'invoice' AS document_type, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 101 END AS DOUBLE) AS confidence, '{\"total\":' || o_orderkey || '}' AS json_data FROM orders")
+def documents_appended(spark, sf_dir):
+    """Two batches of stored documents, appended one after the other."""
+    path, orders = scratch_path(spark, "store"), R.table(spark, sf_dir, "orders")
+    name, given = F.format_string("order-%d", "o_orderkey"), F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 101).cast("string")).otherwise("unknown")
+    for half in (0, 1):
+        rows = orders.where(F.col("o_orderkey") % 2 == half)
+        kept = store.stored(rows, F.struct(F.col("o_orderkey").alias("total")), name, F.lit("invoice"), given, F.lit("text"))
+        writers.append_documents(kept, path)
+    return spark.read.parquet(path).select("file_name", "document_type", "confidence", "json_data")
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'image' END AS input_type FROM documents")
+def input_types(spark, sf_dir):
+    suffixes = F.array(*map(F.lit, (".PDF", ".jpeg", ".v2.Tif", ".docx", "")))
+    path = F.concat(F.lit("/in.box/scan-"), F.col("doc_id").cast("string"), F.get(suffixes, (F.col("doc_id") % 5).cast("int")))
+    return docs(spark, sf_dir).select("doc_id", files.input_type(path).alias("input_type"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +42,13 @@ def labelled_images(spark: SparkSession, root: str, split: str = "test") -> Data
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """A row for each text file: path, text."""
-    return spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_ocr_json(spark: SparkSession, path: str) -> DataFrame:
     """Lines of OCR results kept as JSON: text, confidence (0..1 as per cent too), and their place in the file."""
     schema = "array<struct<text:string,confidence:double,bbox:array<array<double>>>>"
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("rows"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("rows"))
     rows = files.select("path", F.posexplode("rows").alias("line_no", "r"))
     score = F.when(F.col("r.confidence") <= 1, F.col("r.confidence") * 100).otherwise(F.col("r.confidence"))
     return rows.select("path", "line_no", "r.text", score.alias("confidence"), "r.bbox")
@@ -54,5 +56,46 @@ def read_ocr_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, path: str) -> list[str]:
     """Words of a JSON list; what is not a list is none."""
-    value = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "array<string>").alias("words")).first()
+    value = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("words")).first()
     return [w for w in (value.words or []) if w] if value else []
+
+
+#: A settings file of more bytes is taken for something else.
+MAX_SETTINGS_BYTES = 1 << 20
+
+
+def read_settings(spark: SparkSession, path: str) -> dict[str, dict[str, str | int | float | bool | None]]:
+    """Settings by section and name from a file of sections (``name:``) with indented ``name: value`` lines; names outside a section are in
+    the section of empty name. Values are numbers, true or false, or text, quoted or not; ``#`` after a blank begins a comment."""
+    if (spark.read.format("binaryFile").load(path).select("length").first() or (0,))[0] > MAX_SETTINGS_BYTES:
+        raise ValueError(f"not a settings file: {path}")
+    found = spark.read.text(path, wholetext=True).first()
+    out, section = {}, ""
+    for line in (found.value if found else "").splitlines():
+        line = re.sub(r"""^((?:[^'"#]|'[^']*'|"[^"]*"|(?<=\S)#)*)(?<!\S)#.*""", r"\1", line).rstrip()
+        name, colon, value = line.partition(":")
+        if not line.strip() or line == "---":
+            continue
+        if not colon:
+            raise ValueError(f"not a setting: {line}")
+        if line[0].isspace():
+            out.setdefault(section, {})[name.strip()] = setting(value.strip())
+        elif value.strip():
+            out.setdefault("", {})[name.strip()] = setting(value.strip())
+        else:
+            section = name.strip()
+            out.setdefault(section, {})
+    return out
+
+
+def setting(value: str) -> str | int | float | bool | None:
+    if value in ("", "~", "null"):
+        return None
+    if value.lower() in ("true", "false"):
+        return value.lower() == "true"
+    for kind in (int, float):
+        try:
+            return kind(value)
+        except ValueError:
+            pass
+    return value[1:-1] if value[:1] in "'\"" and value[-1:] == value[:1] and len(value) > 1 else value

@@ -142,9 +142,13 @@ def test_files_and_streams(spark, tmp_path):
     assert {(r.file_name, r.input_type) for r in good.collect()} == {("a.PNG", "image"), ("b.pdf", "pdf")}
     assert bad.first().error_message == "Unsupported file type: .txt"
     assert [(r.label, r.split) for r in files.labelled_images(spark, str(tmp_path / "in")).collect()] == [("form", "test")]
-    (tmp_path / "words.json").write_text('["a", "b"]')
-    (tmp_path / "ocr.json").write_text('[{"text": "T", "confidence": 0.5, "bbox": [[1, 2]]}]')
+    (tmp_path / "words.json").write_text('["a",\n "b"]')
+    (tmp_path / "ocr.json").write_text('[\n{"text": "T", "confidence": 0.5,\n"bbox": [[1, 2]]}]')
+    assert [r.text for r in files.read_texts(spark, str(tmp_path / "words.json")).collect()] == ['["a",\n "b"]']
     assert files.read_dictionary(spark, str(tmp_path / "words.json")) == ["a", "b"]
+    (tmp_path / "settings.yaml").write_text("top: 1\nmodel:\n  name: b0  # small\n  pretrained: true\n\ntraining:\n  rate: 0.0001\n  note: 'a # b'\n  none:\nempty:\n")
+    want = {"": {"top": 1}, "model": {"name": "b0", "pretrained": True}, "training": {"rate": 0.0001, "note": "a # b", "none": None}, "empty": {}}
+    assert files.read_settings(spark, str(tmp_path / "settings.yaml")) == want
     assert files.read_ocr_json(spark, str(tmp_path / "ocr.json")).first().confidence == 50
     docs = spark.createDataFrame([(1, "Jo Field\njo@x.org")], landing.SCHEMA)
     docs.write.parquet(str(tmp_path / "land"))
