@@ -55,4 +55,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     cost a reread only."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing that is still to run reads it; tables of other origin stay."""
+    path = getattr(table, "_scratch", None) if "_scratch" in vars(table) else None
+    if path:
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
