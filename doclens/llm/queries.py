@@ -160,5 +160,40 @@ FROM split s LEFT JOIN sizes USING (r) JOIN reach USING (r) JOIN split o ON o.r
 """
 
 
+def _op11_sql(rounds: int = 10, k: int = 8) -> str:
+    """Whole numbers below 2**53 throughout, which DOUBLE holds exactly."""
+    steps = [
+        """WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, x, list_dot_product(x, x) AS xx FROM (
+  SELECT vec_id, [floor(1024 * CAST(e AS DOUBLE)) FOR e IN embedding] AS x FROM embeddings WHERE len(embedding) = 64 AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, x, xx FROM v QUALIFY j < %d)"""
+        % k
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, min((v.xx - 2 * list_dot_product(v.x, c.x) + c.xx, c.j)) AS near FROM v, c{n} c GROUP BY r)")
+        if n < rounds:
+            steps.append(
+                f"""c{n + 1} AS MATERIALIZED (SELECT j, x, list_dot_product(x, x) AS xx FROM (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (
+  SELECT j, list(floor(s / n) ORDER BY i) AS x FROM (SELECT near[2] AS j, i, sum(x[i]) AS s, count(*) AS n FROM a{n}, unnest(range(1, 65)) AS u(i) GROUP BY ALL) GROUP BY j) m USING (j)))"""
+            )
+    steps.append(f"f AS (SELECT vec_id, near[2] AS j, CAST(near[1] AS BIGINT) AS distance FROM a{rounds})")
+    return (
+        ",\n".join(steps)
+        + f"""
+SELECT vec_id, CAST(f.j AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY f.j) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string([CAST(CAST(e AS BIGINT) AS VARCHAR) FOR e IN c.x], ',')) AS centroid_sha256
+FROM f JOIN c{rounds} c USING (j)"""
+    )
+
+
+OP13_SQL = r"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(e AS DOUBLE)) FOR e IN embedding] AS x
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0),
+s AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS nth FROM s WHERE alike QUALIFY nth <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.r, nth ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (r) WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op6_ngram_join": OP6_SQL}
+    return {"op1_decontamination": OP1_SQL, "op6_ngram_join": OP6_SQL, "op11_clusters": _op11_sql(), "op13_hard_negatives": OP13_SQL}

@@ -56,13 +56,13 @@ def test_clusters(spark, monkeypatch, k, d, spread, scale):
     centres = rng.integers(-3, 4, (6, d)) / 4
     rows = [(int(i), [float(np.float32(x * scale)) for x in centres[rng.integers(6)] + spread * rng.normal(size=d).round(2) * 0.2], 0) for i in range(200)]
     rows += [(7, rows[8][1], 0), (7, rows[9][1], 0), (None, [0.5] * d, 0), (None, None, 0), (400, [0.0] * d, 0), (401, [NAN] * d, 0), (402, [INF] * d, 0), (403, [None] * d, 0), (404, [1.0] * (d + 1), 0), (405, [], 0)]
-    found = clusters.cluster(vectors(spark, rows), k=k, rounds=6, dimensions=d)
-    assert of_clusters(found) == sorted(brute_clusters(rows, k, 6, d), key=repr)
+    found = clusters.cluster(vectors(spark, rows), k=k, rounds=3, dimensions=d)
+    assert of_clusters(found) == sorted(brute_clusters(rows, k, 3, d), key=repr)
 
 
 def test_clusters_of_few_or_no_vectors(spark):
     rows = [(i, [float(i), 1.0], 0) for i in range(3)]
-    assert of_clusters(clusters.cluster(vectors(spark, rows), dimensions=2)) == sorted(brute_clusters(rows, 8, 10, 2), key=repr)
+    assert of_clusters(clusters.cluster(vectors(spark, rows), rounds=2, dimensions=2)) == sorted(brute_clusters(rows, 8, 2, 2), key=repr)
     assert clusters.cluster(vectors(spark, rows)).count() == 0  # other lengths
     with pytest.raises(Exception, match="64 bits"):
         clusters.cluster(vectors(spark, [(1, [3e38, 1.0], 0)]), dimensions=2).count()
@@ -244,3 +244,17 @@ def test_planes_drop_most_pairs_early(monkeypatch):
     best = np.sort(a @ x.T, axis=1)[:, -5:]
     assert all(set(best[n]) <= set(score[i == n]) for n in range(64))
     assert left and left[-1] < 64 * 2048 / 50
+
+
+@pytest.mark.parametrize("name", ["op11_clusters", "op13_hard_negatives"])
+def test_same_rows_as_sql(spark, sf, name):
+    import duckdb
+
+    from doclens.llm import queries
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = duck.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, sf).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
