@@ -2,22 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.extract import json_first
 from doclens.functions.predicates import truthy
 from doclens.functions.text import title_type
+from doclens.operators.numbering import numbered
+from doclens.session import exists
+from doclens.sources.writers import append_documents
 
 TYPES = ["resume", "invoice", "receipt", "form"]
+#: Epochs of a run that one window handles.
+STRETCH = 1024
+
+
+STORED = "id long, file_name string, document_type string, confidence double, raw_text string, json_data string"
 
 
 def stored(docs: DataFrame, payload: Column, file_name: Column, document_type: Column, confidence: Column, raw_text: Column, first_id: int = 1) -> DataFrame:
-    """Rows to append: ids follow each other within a partition and never repeat; the payload is kept as JSON."""
-    return docs.select(
-        (F.monotonically_increasing_id() + first_id).alias("id"), file_name.alias("file_name"), document_type.alias("document_type"),
-        F.coalesce(confidence.try_cast("double"), F.lit(0.0)).alias("confidence"), raw_text.alias("raw_text"), F.to_json(payload).alias("json_data"),
-    )
+    """Rows of the store, ids from ``first_id`` on in the order of ``docs``, without gaps. The payload is kept as JSON; a document without a
+    confidence has that of the payload's statistics, and one that is no number counts as 0; without a text it is empty."""
+    rows = docs.select(file_name.alias("file_name"), document_type.alias("document_type"), confidence.cast("string").alias("given"), raw_text.alias("raw_text"), F.to_json(payload).alias("json_data"))
+    own = F.coalesce("given", F.get_json_object("json_data", "$.statistics.confidence")).try_cast("double")
+    rows = rows.select("file_name", "document_type", F.coalesce(own, F.lit(0.0)).alias("confidence"), F.coalesce("raw_text", F.lit("")).alias("raw_text"), "json_data")
+    return numbered(rows, "id", first_id).select("id", *rows.columns)
+
+
+def insert(docs: DataFrame, path: str, payload: Column, file_name: Column, document_type: Column, confidence: Column, raw_text: Column) -> DataFrame:
+    """Append documents to the store at ``path`` (made if absent) and return their rows. Ids go on from the largest that is stored. One writer
+    at a time."""
+    spark = docs.sparkSession
+    last = spark.read.schema(STORED).parquet(path).agg(F.max("id")).first()[0] if exists(spark, path) else None
+    rows = stored(docs, payload, file_name, document_type, confidence, raw_text, (last or 0) + 1)
+    append_documents(rows, path)
+    return rows
+
+
+def delete(spark: SparkSession, path: str, id_: int) -> bool:
+    """Whether the store at ``path`` held a document of that id, which is then gone. Only files that hold it are written anew, without it; the
+    footers' least and greatest ids tell which others need not be opened. The new file has a name that its old one and the id set, and comes
+    before the old one goes: a delete that was cut short between the two loses nothing and is ended by another."""
+    store = spark.read.schema(STORED).parquet(path)
+    held = store.where(F.col("id") == id_).select(F.col("_metadata.file_path").alias("file")).distinct().collect()  # files of one id
+    jvm = spark._jvm
+    for row in held:
+        old = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["file"]))
+        files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        stem = re.sub(r"(-without-[0-9a-f]{12})?(\.snappy)?\.parquet$", "", old.getName())
+        new = jvm.org.apache.hadoop.fs.Path(old.getParent(), f"{stem}-without-{hashlib.sha256(f'{old.getName()} {id_}'.encode()).hexdigest()[:12]}.parquet")
+        if not files.exists(new):
+            aside = jvm.org.apache.hadoop.fs.Path(old.getParent(), f"_{uuid.uuid4().hex}")  # readers pass over names with _ first
+            spark.read.parquet(old.toString()).where(F.col("id") != id_).coalesce(1).write.parquet(aside.toString())
+            part = next(f.getPath() for f in files.listStatus(aside) if f.getPath().getName().startswith("part-"))
+            files.rename(part, new)
+            files.delete(aside, True)
+        files.delete(old, False)
+    return bool(held)
 
 
 def get(store: DataFrame, id_: int) -> DataFrame:
@@ -75,6 +120,67 @@ def class_report(pairs: DataFrame, truth: str = "y_true", guess: str = "y_pred")
     return sums.select("label", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), "support")
 
 
+def full_report(pairs: DataFrame, truth: str = "y_true", guess: str = "y_pred") -> DataFrame:
+    """place, label, precision, recall, f1 and support: a row for each class in order, then accuracy (as f1, as it has no others), macro and weighted means.
+
+    Pairs are summed to a row for each class; class rows and means come from grouping these by class and as a whole in one aggregation.
+    """
+    own = class_report(pairs, truth, guess).withColumn("label", F.col("label").cast("string"))
+    mean = lambda c: F.avg(c).alias(f"macro_{c}")
+    weighted = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0)).alias(f"weighted_{c}")
+    scores = ["precision", "recall", "f1"]
+    sums = own.groupingSets([["label"], []], "label").agg(F.grouping("label").alias("whole"), *map(mean, scores), *map(weighted, scores), F.sum("support").alias("support"))
+    none = F.lit(None).cast("double")
+    row = lambda place, label, values: F.struct(F.lit(place).alias("place"), label.alias("label"), *(v.alias(c) for v, c in zip(values, scores, strict=True)), F.col("support"))
+    macro, means = [F.col(f"macro_{c}") for c in scores], [F.col(f"weighted_{c}") for c in scores]
+    told = F.when(F.col("whole") == 0, F.array(row(0, F.col("label"), macro))).otherwise(
+        F.array(row(1, F.lit("accuracy"), [none, none, means[1]]), row(2, F.lit("macro avg"), macro), row(3, F.lit("weighted avg"), means))
+    )
+    return sums.where("support is not null").select(F.explode(told).alias("r")).select("r.*")
+
+
+def best_epochs(epochs: DataFrame, run: str = "run", epoch: str = "epoch", score: str = "score", patience: int = 5) -> DataFrame:
+    """``epochs`` up to where each run stops, with ``best`` (the greatest score so far), ``improved`` (strictly above all before), ``since`` (epochs
+    since the best one) and ``stops`` (``patience`` epochs without a better one: the last that is kept).
+
+    Running maxima go over stretches of epochs first and inside them then, so no window holds more than a stretch of ``STRETCH`` numbers.
+    Scores that are null do not improve; the first score does. Epochs are whole numbers, different in a run.
+    """
+    rows = epochs.withColumn("_stretch", F.floor(F.col(epoch) / STRETCH))
+    key = [run, "_stretch"]
+    inside, before = Window.partitionBy(*key).orderBy(epoch), Window.partitionBy(run).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    greatest = rows.groupBy(*key).agg(F.max(score).alias("_most"), F.count("*").alias("_n"))
+    carried = greatest.select(*key, F.max("_most").over(before).alias("_most"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    rows = rows.join(carried, key)  # runs are not null
+    so_far = F.greatest("_most", F.max(score).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("improved", F.coalesce(F.col(score) > so_far, F.col(score).isNotNull() & so_far.isNull()))
+    rows = rows.withColumn("_place", F.col("_ahead") + F.row_number().over(inside)).withColumn("best", F.greatest(so_far, F.col(score)))
+    own = F.when(F.col("improved"), F.col("_place"))
+    marks = rows.groupBy(*key).agg(F.max(own).alias("_mark")).select(*key, F.max("_mark").over(before).alias("_mark"))
+    last = F.coalesce(F.max(own).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_mark"), F.lit(0))
+    rows = rows.join(marks, key).withColumn("since", F.col("_place") - last).withColumn("stops", F.col("since") == patience)
+    ends = rows.where("stops").groupBy(F.col(run).alias("_run")).agg(F.min(epoch).alias("_end"))
+    kept = rows.join(ends, F.col(run) == F.col("_run"), "left").where(F.col("_end").isNull() | (F.col(epoch) <= F.col("_end")))
+    return kept.select(*epochs.columns, "best", "improved", "since", "stops")
+
+
+def dataset(sources: dict[str, DataFrame], content: str) -> DataFrame:
+    """Rows of all sources, ``source`` naming theirs; columns that a source lacks are null. Of rows of equal content (text or bytes) one stays: that of the
+    source named first, and of its rows the first by their other columns. Rows without content all stay.
+
+    Rows meet by a digest of their content, with counts of one row for each digest made before they are sent, so content with very many copies costs no more.
+    """
+    every = None
+    for rank, (name, rows) in enumerate(sources.items()):
+        own = rows.withColumn("source", F.lit(name)).withColumn("_rank", F.lit(rank))
+        every = own if every is None else every.unionByName(own, allowMissingColumns=True)
+    columns = [c for c in every.columns if c != "_rank"]
+    whole = F.struct(*columns)
+    told = every.select(F.sha2(F.col(content).cast("binary"), 256).alias("digest"), "_rank", F.xxhash64(F.to_json(whole)).alias("ticket"), whole.alias("row"))
+    first = told.where("digest is not null").groupBy("digest").agg(F.min_by("row", F.struct("_rank", "ticket")).alias("row"))
+    return first.select("row.*").union(told.where("digest is null").select("row.*"))
+
+
 def weighted_scores(pairs: DataFrame, truth: str = "y_true", guess: str = "y_pred") -> DataFrame:
     report = class_report(pairs, truth, guess)
     share = F.sum("support")

@@ -5,17 +5,20 @@ Arrays of records are opened with explode_outer: explode would have the optimise
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens import vocabulary as V
 from doclens.functions import extract as E
 from doclens.functions import predicates as P
 from doclens.functions import text as N
-from doclens.operators import entities, form, history, invoice, lines, ocr, receipt, resume, scoring, store
+from doclens.operators import entities, form, history, invoice, lines, ocr, pipeline, receipt, resume, scoring, store
+from doclens.operators.numbering import batches
 from doclens.plans import rendered as R
 from doclens.plans import truth
-from doclens.session import scratch_path
+from doclens.session import materialise, scratch_path
 from doclens.sources import files, writers
 
 QUERIES: dict = {}
@@ -563,16 +566,96 @@ def corrupt_written(spark, sf_dir):
     return spark.read.schema("value string").text(path) if writers.write_corrupt(scans, path) else spark.createDataFrame([], "value string")
 
 
-@query("SELECT 'order-' || o_orderkey AS file_name, 'invoice' AS document_type, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 101 END AS DOUBLE) AS confidence, '{\"total\":' || o_orderkey || '}' AS json_data FROM orders")
-def documents_appended(spark, sf_dir):
-    """Two batches of stored documents, appended one after the other."""
+def filled_store(spark, sf_dir) -> str:
+    """Two batches of stored documents, inserted one after the other, each in the order of its keys."""
     path, orders = scratch_path(spark, "store"), R.table(spark, sf_dir, "orders")
-    name, given = F.format_string("order-%d", "o_orderkey"), F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 101).cast("string")).otherwise("unknown")
+    name, given = F.format_string("order-%d", "o_orderkey"), F.when(F.col("o_orderkey") % 3 == 1, (F.col("o_orderkey") % 101).cast("string")).when(F.col("o_orderkey") % 3 == 2, "unknown")
+    payload = F.struct(F.col("o_orderkey").alias("total"), F.struct((F.col("o_orderkey") % 7).alias("confidence")).alias("statistics"))
     for half in (0, 1):
-        rows = orders.where(F.col("o_orderkey") % 2 == half)
-        kept = store.stored(rows, F.struct(F.col("o_orderkey").alias("total")), name, F.lit("invoice"), given, F.lit("text"))
-        writers.append_documents(kept, path)
-    return spark.read.parquet(path).select("file_name", "document_type", "confidence", "json_data")
+        store.insert(orders.where(F.col("o_orderkey") % 2 == half).orderBy("o_orderkey"), path, payload, name, F.lit("invoice"), given, F.when(F.col("o_orderkey") % 5 > 0, "text"))
+    return path
+
+
+STORED_ORDERS = (
+    "WITH stored AS (SELECT row_number() OVER (ORDER BY o_orderkey % 2, o_orderkey) AS id, 'order-' || o_orderkey AS file_name, 'invoice' AS document_type,"
+    " CAST(CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 7 WHEN 1 THEN o_orderkey % 101 ELSE 0 END AS DOUBLE) AS confidence, CASE WHEN o_orderkey % 5 > 0 THEN 'text' ELSE '' END AS raw_text,"
+    " '{\"total\":' || o_orderkey || ',\"statistics\":{\"confidence\":' || o_orderkey % 7 || '}}' AS json_data FROM orders) "
+)
+
+
+@query(STORED_ORDERS + "SELECT * FROM stored")
+def documents_appended(spark, sf_dir):
+    """Ids go on from batch to batch; a document without a confidence has that of its statistics."""
+    return spark.read.parquet(filled_store(spark, sf_dir))
+
+
+@query(STORED_ORDERS + "SELECT id, file_name, 'true|true|false|false' AS answers FROM stored WHERE id NOT IN (3, (SELECT max(id) FROM stored))")
+def documents_deleted(spark, sf_dir):
+    """The store after deletes of the third id, the last one, one that never was, and the third again."""
+    path = filled_store(spark, sf_dir)
+    last = spark.read.parquet(path).agg(F.max("id")).first()[0]
+    answers = "|".join(str(store.delete(spark, path, i)).lower() for i in (3, last, last + 1, 3))
+    return spark.read.parquet(path).select("id", "file_name", F.lit(answers).alias("answers"))
+
+
+@query("SELECT doc_id, CAST((n - 1) // 32 AS BIGINT) AS batch, CAST((n - 1) % 32 AS BIGINT) AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) AS n FROM documents)")
+def training_batches(spark, sf_dir):
+    return batches(docs(spark, sf_dir).select("doc_id"), F.col("doc_id"), 32, 42)
+
+
+@query(truth.EPOCHS)
+def best_model_epochs(spark, sf_dir):
+    """A run for each user, an epoch for each event: where training stops, and which epochs improved."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    epochs = R.table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), nth.cast("long").alias("epoch"), F.floor("value").alias("score"))
+    return store.best_epochs(epochs)
+
+
+@query(truth.GUESSES + truth.FULL_REPORT + "SELECT place, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM whole")
+def full_report(spark, sf_dir):
+    return store.full_report(guesses(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(truth.GUESSES + truth.FULL_REPORT + truth.REPORT_LINES)
+def report_text(spark, sf_dir):
+    """The report's text, written and read back."""
+    path = scratch_path(spark, "report")
+    writers.write_full_report(store.full_report(guesses(spark, sf_dir)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(truth.DATASET)
+def dataset_build(spark, sf_dir):
+    """Documents, conversations and benchmark items as one dataset without equal texts, split by source."""
+    talks = R.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    items = R.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item"), "text")
+    mails = docs(spark, sf_dir).where("lang = 'en'").select("doc_id", "text", "lang")
+    whole = store.dataset({"documents": docs(spark, sf_dir).select("doc_id", "lang", "text"), "mails": mails, "talks": talks, "items": items}, "text")
+    return whole.groupBy("source").agg(F.count("*").alias("n"), F.count("lang").alias("n_lang"), F.count("turn").alias("n_turn"), F.count("item").alias("n_item"), F.countDistinct("text").alias("n_texts"))
+
+
+@query(truth.BEST_JOBS)
+def best_jobs(spark, sf_dir):
+    """The five best jobs of every resume, of all jobs."""
+    people = resume.extract(R.resumes(spark, sf_dir), only=["skills"]).select("doc_id", "skills")
+    found = scoring.best_jobs(people, scoring.job_skills(R.jobs(spark, sf_dir)))
+    return found.select("doc_id", "rank", "job_id", F.col("n_matched").cast("long").alias("n_matched"), F.col("match_score").cast("double").alias("match_score"))
+
+
+@query(truth.DISPATCHED)
+def dispatched_documents(spark, sf_dir):
+    """Documents of all kinds in one table, with broken rows among them: one reading, one envelope each, one write by type, read back."""
+    kinds = {"invoices": "form", "receipts": "receipt", "forms": "form", "resumes": "Resume "}
+    every = [getattr(R, n)(spark, sf_dir).select("doc_id", F.lit(n).alias("corpus"), F.lit(p).alias("predicted_type"), F.col("text").cast("binary").alias("text")) for n, p in kinds.items()]
+    odd = F.when(F.col("doc_id") % 4 == 0, "memo").when(F.col("doc_id") % 4 != 1, "form")
+    broken = F.when(F.col("doc_id") % 4 == 3, F.unhex(F.lit("80FF61"))).when(F.col("doc_id") % 4 != 2, F.col("text").cast("binary"))
+    every.append(docs(spark, sf_dir).select("doc_id", F.lit("documents").alias("corpus"), odd.alias("predicted_type"), broken.alias("text")))
+    rows = reduce(DataFrame.union, every).withColumn("confidence", F.lit(0.5))
+    envelopes, path = pipeline.dispatch(materialise(rows, "mixed")), scratch_path(spark, "envelopes")
+    writers.write_by_type(envelopes, path)
+    found = spark.read.parquet(path)
+    right = F.count_if((F.col("invoice.total").isNotNull() & F.col("invoice.invoice_date").isNotNull()) | (F.col("form.total_fields") > 0) | (F.size("resume.skills") > 0))
+    return found.groupBy("corpus", "document_type", "kind", "error_message").agg(F.count("*").alias("n"), right.alias("n_filled"), F.count("payload").alias("n_payload"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'image' END AS input_type FROM documents")

@@ -254,3 +254,47 @@ ITEM_LAYOUTS = records(
     "'coded' ; 'Red Desk' ; '2' ; '10.00' ; '20.00'",
     "'unheaded' ; 'Blue chair ' || n ; n ; n || '.5' ; n || '.5'",
 )
+
+EPOCHS = """
+WITH epochs AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, CAST(floor(value) AS BIGINT) AS score FROM events),
+marked AS (SELECT *, coalesce(score > max(score) OVER w, true) AS improved FROM epochs WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+counted AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS since, max(score) OVER (PARTITION BY run ORDER BY epoch) AS best FROM marked)
+SELECT run, epoch, score, best, improved, since, since = 5 AS stops FROM counted WHERE epoch <= coalesce((SELECT min(epoch) FROM counted c WHERE c.run = counted.run AND c.since = 5), epoch)
+"""
+
+FULL_REPORT = """, whole AS (SELECT 0 AS place, CAST(label AS VARCHAR) AS label, precision, recall, f1, support FROM report
+UNION ALL SELECT 1, 'accuracy', NULL, NULL, sum(recall * support) / sum(support), CAST(sum(support) AS BIGINT) FROM report
+UNION ALL SELECT 2, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM report
+UNION ALL SELECT 3, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM report) """
+
+REPORT_LINES = """
+SELECT printf('Accuracy : %.4f', f1) AS line FROM whole WHERE place = 1 UNION ALL SELECT printf('Precision : %.4f', precision) FROM whole WHERE place = 3
+UNION ALL SELECT printf('Recall : %.4f', recall) FROM whole WHERE place = 3 UNION ALL SELECT printf('F1 Score : %.4f', f1) FROM whole WHERE place = 3
+UNION ALL SELECT '' FROM range(3) UNION ALL SELECT '              precision    recall  f1-score   support'
+UNION ALL SELECT lpad(label, 12, ' ') || '  ' || lpad(coalesce(printf('%.2f', precision), ''), 9, ' ') || ' ' || lpad(coalesce(printf('%.2f', recall), ''), 9, ' ') || ' ' || lpad(printf('%.2f', f1), 9, ' ') || ' ' || lpad(CAST(support AS VARCHAR), 9, ' ') FROM whole
+"""
+
+DATASET = """
+WITH every AS (SELECT 1 AS rank, 'documents' AS source, text, lang, NULL AS turn, NULL AS item FROM documents UNION ALL SELECT 2, 'mails', text, lang, NULL, NULL FROM documents WHERE lang = 'en'
+UNION ALL SELECT 3, 'talks', text, NULL, turn, NULL FROM conversations UNION ALL SELECT 4, 'items', text, NULL, NULL, item_id FROM benchmark),
+kept AS (SELECT text, min(rank) AS rank FROM every WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT NULL, rank FROM every WHERE text IS NULL)
+SELECT ['documents', 'mails', 'talks', 'items'][rank] AS source, count(*) AS n, CAST(count(*) * CAST(rank < 3 AS INTEGER) AS BIGINT) AS n_lang, CAST(count(*) * CAST(rank = 3 AS INTEGER) AS BIGINT) AS n_turn,
+  CAST(count(*) * CAST(rank = 4 AS INTEGER) AS BIGINT) AS n_item, count(DISTINCT text) AS n_texts FROM kept GROUP BY rank
+"""
+
+BEST_JOBS = f"""
+WITH {_renamed(_PEOPLE, "p")}, {_renamed(_JOBS, "j")},
+pairs AS (SELECT p.id AS doc_id, j.id AS job_id, len(list_filter(j.skills, lambda s: list_contains(p.skills, s))) AS n_matched, len(j.skills) AS n FROM sets_p p, sets_j j WHERE list_has_any(p.skills, j.skills))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n_matched / n DESC, job_id) AS INTEGER) AS rank, job_id, CAST(n_matched AS BIGINT) AS n_matched, round(n_matched * 100.0 / n, 2)::DOUBLE AS match_score
+FROM pairs QUALIFY rank <= 5
+"""
+
+DISPATCHED = """
+WITH orders_with_items AS (SELECT count(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+odd AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'No extractor for document type: memo' WHEN 2 THEN 'The document has no text.' WHEN 3 THEN 'The text is not UTF-8.' ELSE 'The document has no type.' END AS error_message,
+  CASE doc_id % 4 WHEN 0 THEN 'memo' WHEN 1 THEN 'unknown' ELSE 'form' END AS document_type FROM documents)
+SELECT 'invoices' AS corpus, 'invoice' AS document_type, 'invoice' AS kind, CAST(NULL AS VARCHAR) AS error_message, n, n AS n_filled, n AS n_payload FROM orders_with_items
+UNION ALL SELECT 'receipts', 'invoice', 'invoice', NULL, n, n, n FROM orders_with_items
+UNION ALL SELECT 'forms', 'form', 'form', NULL, count(*), count(*), count(*) FROM customer UNION ALL SELECT 'resumes', 'resume', 'resume', NULL, count(*), count(*), count(*) FROM customer
+UNION ALL SELECT 'documents', document_type, 'quarantine', error_message, count(*), 0, 0 FROM odd GROUP BY ALL
+"""

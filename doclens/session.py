@@ -60,6 +60,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def discard(table: DataFrame) -> None:
     """Delete what ``materialise`` wrote, once nothing that is still to run reads it; tables of other origin stay."""
     path = getattr(table, "_scratch", None) if "_scratch" in vars(table) else None
