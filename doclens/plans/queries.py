@@ -392,6 +392,67 @@ def item_layouts(spark, sf_dir):
     return opened(keyed_customers(spark, sf_dir), coded=invoice.items(coded), unheaded=plain)
 
 
+def whole_texts(spark, sf_dir, *parts: str) -> DataFrame:
+    """A text for each customer, with its key put in where a part holds {}."""
+    rows = R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return rows.withColumn("text", joined(made_of(F.col("doc_id"), *parts), "\n"))
+
+
+@query(truth.INVOICE_LAYOUT)
+def invoice_layout(spark, sf_dir):
+    """Rows with unit words, four numbers, descriptions above or below, quantities first, codes alone and before numbers."""
+    parts = ["ACME STORE LTD", "Email: sales{}@acme.example.com", "Tel: 0300 12345{}", "Bill To: Buyer {}", "Item Qty Price Amount", "Blue Chair", "1 PC 9.00 0.00 9.00", "1 {}.00 {}.00", "Steel Table"]
+    parts += ["2 M SpicyDeluxe 25.40", "A-100", "Green Lamp {}", "3 x 4.00 12.00", "000000111 1 {}.50 {}.50 SR", "Oak Desk", "Sub Total 5", "Tea 1 2.00 2.00"]
+    found = invoice.extract(whole_texts(spark, sf_dir, *parts))
+    return found.select("doc_id", "vendor_name", "vendor_email", "vendor_phone", "customer_name", F.explode_outer("items").alias("i")).select("*", "i.*").drop("i")
+
+
+@query(truth.RECEIPT_LAYOUT)
+def receipt_layout(spark, sf_dir):
+    """A name above a slogan, or over two lines; places in the list before names; prices below; currencies."""
+    listed = ["WELCOME", "BEST BUYS", "Save money. Live better.", "{} MAIN STREET", "LAKE, CA 90001", "1 APPLE PIE 1.00", "2 PEAR {}.50", "3 MILK", "2.25 X", "SUBTOTAL {}.75", "TOTAL € {}.75"]
+    plain = ["CORNER", "AND SONS", "Thank you", "{} MAIN STREET", "2 TEA POTS 2.00", "7 CUPS {}.00", "SUBTOTAL {}.00", "TOTAL RP {}.00"]
+    found = reduce(DataFrame.union, [receipt.extract(whole_texts(spark, sf_dir, *p)).select("doc_id", "merchant_name", "merchant_address", "currency", F.explode_outer("items").alias("i")) for p in (listed, plain)])
+    return found.select("doc_id", "merchant_name", "merchant_address", "currency", "i.description", "i.amount")
+
+
+@query(truth.RESUME_LAYOUT)
+def resume_layout(spark, sf_dir):
+    """A name over two lines, a job around its dates with title, firm and what was done; and one read in order, without a date."""
+    dated = ["AVERY", "STONE", "Phone: +92 300 12345{}", "EDUCATION", "Bachelor of Science", "Lake university", "2010 - 2014", "WORK EXPERIENCE", "Data analyst", "Firm {} Ltd", "2015 - 2018", "Developed many reports for clients", "- Led weekly planning of work"]
+    ordered = ["Jo Lee", "EXPERIENCE", "Shop keeper {}", "Kept the shop open all week", "and the books in order", "LANGUAGES", "English"]
+    found = reduce(DataFrame.union, [resume.extract(whole_texts(spark, sf_dir, *p), only=["name", "experience"]).select("doc_id", "name", F.explode_outer("experience").alias("e")) for p in (dated, ordered)])
+    return found.select("doc_id", "name", "e.company", "e.job_title", "e.duration", joined(F.col("e.description")).alias("description"))
+
+
+@query(truth.FORM_MARKERS)
+def form_markers(spark, sf_dir):
+    """Values right above a marker, some lines above their label, and below it."""
+    found = form.extract(whole_texts(spark, sf_dir, "Form", "34", "(13)", "Total Cost:", "(14)", "0.{}", "Some words", "Nicotine:", "(15)", "Tar:", "{} mg", "(16)"))
+    return found.select("doc_id", F.explode_outer("fields").alias("f")).select("doc_id", "f.name", "f.value", "f.source")
+
+
+@query(truth.ENTITY_MAP)
+def entity_map(spark, sf_dir):
+    rows = whole_texts(spark, sf_dir, "RESUME", "Jo van Lee", "mail jo{}@gmail.com", "call +92 300 12345{}", "see www.jolee{}.org and github.com/jo{}")
+    return entities.with_entity_map(rows).select("doc_id", "entities.*")
+
+
+@query(truth.SECTION_TEXTS)
+def section_texts(spark, sf_dir):
+    """Sections by substring as texts; what stands before any is profile."""
+    rows = R.resumes(spark, sf_dir).withColumn("lines", N.split_lines(F.col("text")))
+    return rows.select("doc_id", F.explode(entities.section_texts(F.col("lines"))).alias("section", "text")).where("section IN ('profile', 'summary', 'certifications', 'projects')")
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, nth) - 1 AS INTEGER) AS line_no, page AS page_no, text FROM (SELECT doc_id, CAST(2 - nth % 2 AS INTEGER) AS page, nth, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents) WHERE regexp_matches(line, '\\S'))")
+def pages_joined(spark, sf_dir):
+    """Lines dealt to two pages and read back page by page."""
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "text")).where(F.col("text").rlike(r"\S"))
+    pages = rows.select("doc_id", (F.col("nth") % 2 + 1).cast("int").alias("page_no"), F.col("nth").alias("line_no"), "text")
+    return lines.concat_pages(pages).select("doc_id", "line_no", "page_no", "text")
+
+
 @query("SELECT c_custkey AS doc_id, CAST(c_custkey % 50 + 10 AS VARCHAR) || '0.50' AS due, CAST(NULL AS VARCHAR) AS absent FROM customer")
 def keyword_amounts(spark, sf_dir):
     text = joined(made_of(F.col("n"), "Total due", "is {}O.5O in all", "not 7"), "\n")

@@ -298,3 +298,51 @@ UNION ALL SELECT 'receipts', 'invoice', 'invoice', NULL, n, n, n FROM orders_wit
 UNION ALL SELECT 'forms', 'form', 'form', NULL, count(*), count(*), count(*) FROM customer UNION ALL SELECT 'resumes', 'resume', 'resume', NULL, count(*), count(*), count(*) FROM customer
 UNION ALL SELECT 'documents', document_type, 'quarantine', error_message, count(*), 0, 0 FROM odd GROUP BY ALL
 """
+
+
+def _rows(columns: str, *rows: str) -> str:
+    """A row of each kind for each customer k; columns are parted by blanks, values by semicolons."""
+    names = columns.split()
+    told = [", ".join(f"{v.strip()} AS {n}" for n, v in zip(names, r.split(";"), strict=True)) for r in rows]
+    return " UNION ALL ".join(f"SELECT k AS doc_id, {t} FROM (SELECT c_custkey AS k FROM customer)" for t in told)
+
+
+INVOICE_LAYOUT = (
+    "WITH items AS ("
+    + _rows(
+        "description quantity unit_price amount",
+        "'Blue Chair'; '1'; '9.00'; '9.00'",
+        "'Steel Table'; '1'; k || '.00'; k || '.00'",
+        "'M SpicyDeluxe'; '2'; NULL; '25.40'",
+        "'Green Lamp ' || k; '3'; '4.00'; '12.00'",
+        "'Oak Desk'; '1'; k || '.50'; k || '.50'",
+    )
+    + ") SELECT doc_id, 'ACME STORE LTD' AS vendor_name, 'sales' || doc_id || '@acme.example.com' AS vendor_email, '0300 12345' || doc_id AS vendor_phone, 'Buyer ' || doc_id AS customer_name, description, quantity, unit_price, amount FROM items"
+)
+
+RECEIPT_LAYOUT = _rows(
+    "merchant_name merchant_address currency description amount",
+    "'BEST BUYS'; k || ' MAIN STREET, LAKE, CA 90001'; 'EUR'; 'APPLE PIE'; '1.00'",
+    "'BEST BUYS'; k || ' MAIN STREET, LAKE, CA 90001'; 'EUR'; 'PEAR'; k || '.50'",
+    "'BEST BUYS'; k || ' MAIN STREET, LAKE, CA 90001'; 'EUR'; 'MILK'; '2.25'",
+    "'CORNER AND SONS'; k || ' MAIN STREET'; 'IDR'; '2 TEA POTS'; '2.00'",
+    "'CORNER AND SONS'; k || ' MAIN STREET'; 'IDR'; '7 CUPS'; k || '.00'",
+)
+
+RESUME_LAYOUT = _rows(
+    "name company job_title duration description",
+    "'Avery Stone'; 'Firm ' || k || ' Ltd'; 'Data analyst'; '2015 - 2018'; 'Developed many reports for clients|Led weekly planning of work'",
+    "'Jo Lee'; NULL; 'Shop keeper ' || k || ' - Kept the shop open all week'; NULL; 'and the books in order'",
+)
+
+FORM_MARKERS = _rows("name value source", "'total_cost'; '34'; 'marker_reversed'", "'nicotine'; '0.' || k; 'nearby_forward'", "'tar'; k || ' mg'; 'next_line'")
+
+ENTITY_MAP = _rows("name email phone linkedin github website", "'Jo van Lee'; 'jo' || k || '@gmail.com'; '+92 300 12345' || k; NULL; 'github.com/jo' || k; 'www.jolee' || k || '.org'")
+
+SECTION_TEXTS = """
+WITH r AS (SELECT c_custkey AS k, c_custkey % 2 = 0 AS linked, CASE WHEN c_custkey % 3 = 0 THEN 'https://github.com/avery' || c_custkey ELSE 'no code' END AS code FROM customer)
+SELECT k AS doc_id, 'profile' AS section, 'Avery ' || ['Stone', 'Field', 'Brook', 'Marsh', 'Ridge'][k % 5 + 1] || chr(10) || 'Email: avery' || k || '@mail.example.com' || chr(10) || 'Phone: +92 300 ' || lpad(CAST(k % 10000000 AS VARCHAR), 7, '0')
+  || CASE WHEN linked THEN chr(10) || 'linkedin.com/in/avery-' || k || chr(10) || code ELSE '' END AS text FROM r
+UNION ALL SELECT k, 'summary', CASE WHEN linked THEN '' ELSE code || chr(10) END || 'Careful worker with many years of practice' FROM r
+UNION ALL SELECT k, 'certifications', 'Safety Course ' || k % 3 FROM r UNION ALL SELECT k, 'projects', 'Stock Tracker' || chr(10) || 'Records every delivery and every sale of the shop in one place.' FROM r
+"""

@@ -167,3 +167,44 @@ def test_process_routes_and_sets_aside(spark):
     out = process(docs)
     assert out["invoice"].first().invoice_number == "A1"
     assert out["error"].first().doc_id == 2
+
+
+ITEM_ROWS = [
+    (["Blue Chair", "1 PC 9.00 0.00 9.00"], [("Blue Chair", "1", "9.00", "9.00")]),
+    (["1 193.00 193.00", "Steel Table"], [("Steel Table", "1", "193.00", "193.00")]),
+    (["1 2.00 2.00", "Green Lamp", "1 3.00 3.00", "Red Lamp"], [("Green Lamp", "1", "2.00", "2.00"), ("Red Lamp", "1", "3.00", "3.00")]),  # no line twice
+    (["One lamp", "Two lamp", "Red lamp", "Big lamp", "2 x 3.00 6.00"], [("Two lamp Red lamp Big lamp", "2", "3.00", "6.00")]),
+    (["CHAIR", "2 3.00 6.00", "Oak Desk"], [("Oak Desk", "2", "3.00", "6.00")]),  # a code alone does not describe from above
+    (["Big lamp", "Unit Price", "2 3.00 6.00"], []),
+    (["2001 3.00 6.00", "Oak Desk"], []),  # no quantity
+    (["Big lamp", "0001 1 3.00 3.00"], [("Big lamp", "1", "3.00", "3.00")]),
+    (["Tea pot 1 1,200.00 1,200.00", "Tea pot 1 1,200.00 1,200.00"], [("Tea pot", "1", "1200.00", "1200.00")]),
+]
+
+
+def test_item_rows(spark):
+    texts = [(i, "\n".join(["Item Qty Price", *rows, "Sub Total 1"])) for i, (rows, _) in enumerate(ITEM_ROWS)]
+    found = invoice.extract(spark.createDataFrame(texts, "doc_id int, text string")).select("doc_id", "items").collect()
+    assert {r.doc_id: [tuple(i) for i in r["items"]] for r in found} == {i: want for i, (_, want) in enumerate(ITEM_ROWS)}
+
+
+def test_list_places_of_receipts(spark):
+    head = "SHOP\n1 Main Street\n"
+    names = lambda text: [i.description for i in record(spark, receipt.extract, head + text + "\nSUBTOTAL 1")["items"]]
+    assert names("1 APPLE 1.00\n2 PEAR 2.00\n10 FIG\n3.00 X") == ["APPLE", "PEAR", "FIG"]
+    assert names("2 APPLE 1.00\n3 PEAR 2.00") == ["2 APPLE", "3 PEAR"] and names("1 APPLE 1.00\n1 PEAR 2.00") == ["1 APPLE", "1 PEAR"]
+
+
+def test_jobs_around_dates_come_first(spark):
+    text = "EXPERIENCE\nData Analyst\nFirm Ltd\n2015 - 2018\nDeveloped many reports for clients"
+    (job,) = record(spark, resume.extract, text).experience
+    assert (job.company, job.job_title, job.duration, job.description) == ("Firm Ltd", "Data Analyst", "2015 - 2018", ["Developed many reports for clients"])
+
+
+NAMES = [(["AVERY", "STONE", "EDUCATION", "Bachelor of Science"], "Avery Stone"), (["About Me", "1", "ann lee", "x1"], "Ann Lee"), (["Ann McLee", "BOB"], "Ann McLee"), (["Dedicated Teacher", "1"], None), ([], None)]
+
+
+def test_names_of_resumes(spark):
+    texts = [(i, "\n".join(lines_)) for i, (lines_, _) in enumerate(NAMES)]
+    found = resume.extract(spark.createDataFrame(texts, "doc_id int, text string"), only=["name"]).collect()
+    assert {r.doc_id: r.name for r in found} == {i: name for i, (_, name) in enumerate(NAMES)}
