@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, or a window of ``WINDOW`` times a template's words that crosses line ends, so wrapped notices are
-found too. Windows are looked at for templates that pass the same filters on the words of the whole text. A template is found in a block that holds at least ``THRESHOLD`` of the template's
+A block is a line of a document of at most ``WINDOW`` times a template's words, or a window of so many words that crosses line ends or lies in a
+longer line: wrapped notices are found, and words scattered over a long line are not. Windows are looked at for templates that pass the same filters on the words of the whole text. A template is found in a block that holds at least ``THRESHOLD`` of the template's
 distinct words. Template words are ordered by how many blocks of the whole corpus hold them, rarest first. Then a
 template of n words that needs o of them (``o = ceil(THRESHOLD * n)``) is a candidate only if
 
@@ -14,7 +14,9 @@ twice, once for the frequencies and once for the join, and nothing but the count
 
 Next to it stands the base rule: places where a phrase's words stand consecutively.
 
-Cases: a null or empty text has no words, no labels and score 0; repeated rows and ties are scanned alike; an empty
+What is found is a notice's words, not what is said about it: "not licensed under the GNU General Public License version 3" is found as well.
+
+Cases: a null or empty text has no words, no labels and score 0; very long texts and lines are scanned whole, in windows; repeated rows and ties are scanned alike; an empty
 table gives an empty result; an empty template is ignored; other columns stay, but for those named like a result column,
 which are replaced.
 """
@@ -135,21 +137,25 @@ class Index:
                     self.prefix.setdefault(w, []).append((len(self.templates), at))
                 self.templates.append((label, words, need))
                 self.sizes.append(len(tokens(text)))
+        self.shortest = min(self.sizes, default=0)
 
-    def find(self, block: set[bytes]) -> list[tuple[str, float]]:
-        """Label and containment of each template that the block holds, but for those whose words another found one has all and adds to."""
-        found = [(*self.templates[number][:2], overlap) for number, overlap in self.held(block)]
+    def find(self, line: list[bytes]) -> list[tuple[str, float]]:
+        """Label and containment of each template that the line holds, but for those whose words another found one has all and adds to, and those
+        for which the line is too long to be a block."""
+        found = [(*self.templates[number][:2], overlap) for number, overlap in self.held(set(line)) if len(line) <= WINDOW * self.sizes[number]]
         return [(label, overlap / len(words)) for label, words, overlap in found if not any(set(words) < set(other) and more > overlap for _, other, more in found)]
 
     def wrapped(self, lines: list[list[bytes]]) -> list[tuple[int, str, float]]:
-        """First line, label and containment of each template in a window over line ends that none of its lines holds alone."""
-        every = self.held(set().union(*lines)) if len(lines) > 1 else []
+        """First line, label and containment of each template in a window over line ends, or in a line that is too long to be a block."""
+        every = self.held(set().union(*lines)) if len(lines) > 1 or len(lines[0]) > WINDOW * self.shortest else []
         if not every:
             return []
         words_at = [w for line in lines for w in line]
         line_at = [i for i, line in enumerate(lines) for _ in line]
         found = []
         for number, _ in every:
+            if len(lines) == 1 and len(lines[0]) <= WINDOW * self.sizes[number]:
+                continue
             label, words, need = self.templates[number]
             own, size = set(words), WINDOW * self.sizes[number]
             at = [i for i, w in enumerate(words_at) if w in own]
@@ -162,16 +168,16 @@ class Index:
                     low += 1
                 if start is not None and (at[low] > start[1] or len(counts) > best):
                     if at[low] > start[1]:
-                        found.append((*start, label, own, best))
+                        found.append((*start, label, own, best, size))
                     start, best = None, 0
                 if len(counts) >= need and len(counts) > best:
                     start, best = (at[low], i), len(counts)
             if start is not None:
-                found.append((*start, label, own, best))
+                found.append((*start, label, own, best, size))
         out = []
-        for a, b, label, own, best in found:
-            shadowed = any(own < other and more > best and x <= b and a <= y for x, y, _, other, more in found)
-            if line_at[a] != line_at[b] and not shadowed:
+        for a, b, label, own, best, size in found:
+            shadowed = any(own < other and more > best and x <= b and a <= y for x, y, _, other, more, _ in found)
+            if (line_at[a] != line_at[b] or len(lines[line_at[a]]) > size) and not shadowed:
                 out.append((line_at[a], label, best / len(own)))
         return out
 
@@ -223,7 +229,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
         n_base, first, last, base, every, score, found = [], [], [], [], [], [], []
         for text, at in zip(texts.cast(pa.binary()).to_pylist(), places, strict=True):
             lines = [tokens(block) for block in blocks(text or b"")]
-            hits = [(i, label, c) for i, line in enumerate(lines) for label, c in index.find(set(line))]
+            hits = [(i, label, c) for i, line in enumerate(lines) for label, c in index.find(line)]
             hits += index.wrapped(lines)
             own = {of_phrases[k][1] for k, _ in at}
             starts = [s for _, s in at]

@@ -28,6 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.llm.passes import carried, named
 from doclens.session import materialise
 
 # The listed rules, host and path as one.
@@ -41,6 +42,9 @@ SIMILAR_Z = 1.645
 NAMED = 8
 SMOOTHING, REJECT = 10.0, 0.7
 
+#: Templates of at most so many shapes are sent to all tasks (some 20 MB); others are joined, in so many salts of each shape.
+BROADCAST_ROWS, SALTS = 100_000, 16
+
 RESULT = ["host", "path", "rule", "template", "purity", "verdict"]
 
 
@@ -118,19 +122,23 @@ def templates(paths: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done, live.select(*result))
 
 
-def judge(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    """``pages`` with host, path, rule, template, purity and verdict."""
-    host, path = host_and_path(F.col("url"))
-    base = pages.drop(*RESULT).withColumn("host", host).withColumn("path", path)
-    base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_shape", F.regexp_replace("path", "[0-9]+", "#"))
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, url: str = "url") -> DataFrame:
+    """``pages`` with host, path, rule, template, purity and verdict. Columns travel under numbered names, whatever their own are."""
+    kept = carried(pages, None, RESULT)
+    host, path = host_and_path(named(url))
+    base = pages.select(*(named(c).alias(f"c{i}") for i, c in enumerate(kept)), host.alias("host"), path.alias("path"))
+    base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", F.regexp_replace("path", "[0-9]+", "#"))
     ruled = verdict_of(F.col("rule"), rules)
-    paths = base.groupBy("host", F.col("_shape").alias("shape")).agg(
-        F.count("*").alias("n"), F.count(ruled).alias("n_labelled"), F.coalesce(F.sum((ruled == "block").cast("long")), F.lit(0)).alias("n_blocked")
-    )
+    paths = base.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(ruled).alias("n_labelled"), F.coalesce(F.sum((ruled == "block").cast("long")), F.lit(0)).alias("n_blocked"))
     tree = materialise(templates(paths), "url-templates")
     purity = (F.sum("n_blocked") + SMOOTHING * F.max("above")) / (F.sum("n_labelled") + SMOOTHING)
     pure = tree.groupBy("host", "template").agg(purity.alias("purity"))
-    of_shape = tree.select("host", "shape", "template").join(pure, ["host", "template"]).select("host", F.col("shape").alias("_shape"), "template", "purity")
+    of_shape = tree.select("host", "shape", "template").join(pure, ["host", "template"]).select("host", "shape", "template", "purity")
+    if tree.count() <= BROADCAST_ROWS:  # a row for each host and shape
+        found = base.join(F.broadcast(of_shape), ["host", "shape"], "left")
+    else:  # pages of one very common shape are dealt to several tasks
+        salted = of_shape.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = base.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, ["host", "shape", "salt"], "left")
     verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
-    judged = base.join(of_shape, ["host", "_shape"], "left").withColumn("verdict", verdict)
-    return judged.select(*[c for c in pages.columns if c.lower() not in RESULT], *RESULT)
+    judged = found.withColumn("verdict", verdict)
+    return judged.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *RESULT)

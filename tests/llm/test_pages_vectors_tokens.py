@@ -39,6 +39,31 @@ def test_names_on_wrappers(start, end):
     assert html_text.main_text(ARTICLE + related) == TEXT
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<head><title>x</title><body><p>Hello body</p>", "Hello body"), ("<head><meta charset=u>Bare words", "Bare words"), ("<p>a</p><select><option>x<p>After</p>", "a After"),
+        ('<div class="comments"><article>A comment of some length by a reader</article></div><div class="post"><p>Real text</p></div>', "Real text"),
+        ("<ul><li>Home</li><li>About us</li></ul><div class='post-share-wrapper'><p>" + "The whole text. " * 9 + "</p></div>", ("The whole text. " * 9).strip()),
+        ("a <!-- open comment <p>b", "a"), ("<p>a</p><script>if (x <!-- y) {}</script><p>b</p>", "a b"), ("<div><p>" + "first part " * 9 + "</p></div><div><p>" + "next part " * 9 + "</p></div>", ("first part " * 9 + "next part " * 9).strip()),
+        ("<article><p>" + "long text " * 200_000 + "</p></article>", ("long text " * 200_000).strip()),
+    ],
+)
+def test_open_elements_and_names(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_ratios_decide(sf):
+    """Without any markup the ratios alone give the article on nine pages of ten, and no other choice of regions does."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    full = [html_text.main_text(p) for p in pages]
+    bare, flat = ([html_text.main_text(p, markup=False, ratios=r) for p in pages] for r in (True, False))
+    right = lambda other: sum(a == b for a, b in zip(full, other, strict=True)) / len(pages)
+    assert right(bare) > 0.9 and right(flat) < 0.2
+
+
 def test_html_query_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "'clash' AS text")
     rows = html_text.extract(pages, carry=["page_id", "url", "text"]).collect()
@@ -103,6 +128,18 @@ def test_url_rules_and_templates(spark):
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
+def test_url_filter_passes_columns_of_any_name(spark, monkeypatch):
+    rows = [(i, f"http://h.example.net/x/{i % 3}", "own", "shape", i, "v") for i in range(40)] + [(99, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, `a.b` string, _shape string, `n` int, Verdict string")
+    for most in (url_filter.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
+        got = url_filter.judge(pages)
+        assert got.columns == ["page_id", "url", "a.b", "_shape", "n", "host", "path", "rule", "template", "purity", "verdict"]
+        told = got.collect()
+        assert len(told) == 41 and all(r["a.b"] == "own" and r["_shape"] == "shape" and r.verdict == "block" for r in told if r.page_id < 99)
+        assert [(r.host, r.path, r.n) for r in told if r.page_id == 99] == [("", "", None)]
+
+
 def test_similar_branches_merge(spark):
     paths = [("h", f"/{b}/#", 20, 20, n) for b, n in (("a", 19), ("b", 18), ("c", 2), ("d", 0))] + [("h", "/e", 9, 0, 0)]
     rows = url_filter.templates(spark.createDataFrame(paths, "host string, shape string, n long, n_labelled long, n_blocked long")).collect()

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -389,3 +390,34 @@ def test_ngram_join_in_slices(spark, monkeypatch, slice_, portion):
     texts = [" ".join(common + [f"w{rng.randrange(8)}" for _ in range(rng.randint(0, 6))]) for _ in range(150)]
     got = ngram_join.components(docs_of(spark, texts).repartition(5)).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == brute_components(texts, range(len(texts)))
+
+
+def test_licenses_in_long_lines(spark):
+    """Words scattered over a long line are no notice; a notice inside one is, wherever it stands."""
+    rng = np.random.default_rng(8)
+    prose = [f"w{x}" for x in rng.integers(0, 3000, 6000)]
+    scattered = list(prose)
+    for i, w in enumerate("unless required by applicable law or agreed to in writing software distributed under the License is distributed on an AS IS BASIS WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND either express or implied".split()):
+        scattered[i * 150] = w
+    notice = "this Font Software is licensed under the SIL Open Font License version 1.1".split()
+    texts = ["by the way, he was licensed to work under 4 and 0 rules, cc them", " ".join(scattered), " ".join(prose[:3000] + notice + prose[3000:]), " ".join(notice + prose), " ".join(prose + notice), "x\n" + " ".join(prose[:40] + notice + prose[:40])]
+    rows = licenses.scan(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["", "", "ofl", "ofl", "ofl", "ofl"]
+    full = [(label, t) for label, t in licenses.TEMPLATES]
+
+    def brute(text):
+        """Labels of templates of whose distinct words a window of twice their words holds enough."""
+        words, out = [w.encode() for w in lower_words(text)], set()
+        for label, t in full:
+            own, size = set(licenses.tokens(t)), licenses.WINDOW * len(licenses.tokens(t))
+            need = math.ceil(licenses.THRESHOLD * len(own) - 1e-9)
+            if any(len(own & set(words[i : i + size])) >= need for i in range(max(1, len(words) - size + 1))):
+                out.add(label)
+        return out
+
+    pieces_ = [w for _, t in full for w in t.split()]
+    mixed_ = [" ".join(pieces_[i] if rng.random() < 0.9 else "filler" for i in range(a, a + 150)) for a in rng.integers(0, len(pieces_) - 150, 12).tolist()]
+    for text, r in zip(mixed_, licenses.scan(docs_of(spark, mixed_)).orderBy("doc_id").collect(), strict=True):
+        assert set(r.labels.split(",")) - {""} <= brute(text) | set(r.base_labels.split(","))
+        lost = brute(text) - set(r.labels.split(","))
+        assert all(label in {"cc-by", "mit", "gpl", "apache", "bsd", "unlicense", "lgpl", "agpl", "cc-by-nc", "cc-by-sa"} for label in lost)  # those that a larger found one has all words of
