@@ -185,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample:
 
     flags = [F.coalesce("good", F.lit(False)).alias("good"), some.alias("some"), back.alias("back")]
     made = rows.select("doc_id", *flags, "_bytes").mapInArrow(released(counted), f"doc_id {kind}, good boolean, some boolean, back boolean, x array<double>")
-    known = made.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    # rows that share a doc_id are picked together, so their number is bounded once more
+    known = made.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(2 * sample).toArrow()
     x = np.asarray(known["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)) if known.num_rows else np.zeros((0, len(FEATURES)))
     is_good, is_some, is_back = (np.asarray(known[c].combine_chunks().to_numpy(zero_copy_only=False), bool) for c in ("good", "some", "back"))
 

@@ -326,6 +326,19 @@ def test_quality_with_few_or_all_labels(spark):
     assert all(0 <= r.score <= 1 for r in quality.score(docs, one).collect())
 
 
+def test_quality_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    rows = [(7, f"text number {i} of one id", "s") for i in range(400)] + [(i + 1000, f"other text {i}", "s") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(7, 1), (1001, 1), (1002, 0)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, *rest: seen.append((len(p), len(u))) or fit(p, u, *rest))
+    from pyspark.sql import functions as F
+
+    quality.train(docs, labels, "quality", F.lit(True), sample=40)
+    assert sum(seen[0]) <= 2 * 2 * 40
+
+
 def test_fold_rule(spark):
     from doclens.llm.queries import remainder
 
