@@ -24,12 +24,22 @@ from doclens.session import materialise, scratch_path
 
 #: Documents that score below this are rejected.
 LEAST_QUALITY = 0.3
+#: Rows of an Arrow batch, which are whole texts here: batches of 10,000, as Spark has by default, take a tenth of an executor's memory.
+BATCH_ROWS = 1000
 #: Columns that the operators read; the others pass by under names that no operator gives.
 READ = ("doc_id", "text", "source")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have no more than ``BATCH_ROWS`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shielded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         plain = docs.select(*(named(c).alias(c if c in READ else f"own_{i}") for i, c in enumerate(docs.columns)))
         return stage(spark, plain, sf_dir).select(*plain.columns).toDF(*docs.columns)
 
@@ -64,6 +74,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in the order of the written rows, read back: a row for each document of the sequence."""
+    small_batches(spark)
     path = scratch_path(spark, "tokens")
     token_store.write(docs, path, tokenizer_path(), order=mixing.written_order(docs))
     return token_store.read(spark, path)
