@@ -19,7 +19,7 @@ from doclens.operators.numbering import batches
 from doclens.plans import rendered as R
 from doclens.plans import truth
 from doclens.session import materialise, scratch_path
-from doclens.sources import files, writers
+from doclens.sources import files, folders, writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -620,6 +620,18 @@ def split_written(spark, sf_dir):
     return spark.read.parquet(path).select("doc_id", "lang", "split")
 
 
+@query(f"SELECT doc_id, lang AS label, split, sha256(text) AS digest FROM ({truth.SPLIT}) JOIN (SELECT doc_id, text FROM documents) USING (doc_id) WHERE split <> 'test' AND lang IN ('de', 'en')")
+def folders_read(spark, sf_dir):
+    """A split written to labelled folders as records, of which two classes are read back: the others' folders are not listed."""
+    path = scratch_path(spark, "folders")
+    rows = store.stratified_split(docs(spark, sf_dir).select("doc_id", "lang", "text"), "lang", "doc_id").withColumn("label", F.col("lang"))
+    rows.select("doc_id", "text", "split", "label").write.option("maxRecordsPerFile", 1000).partitionBy("split", "label").json(path)
+    found = folders.labelled_files(spark, path, suffixes=".json").where("split <> 'test' AND label IN ('de', 'en')")
+    lines = found.select("label", "split", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
+    record = F.from_json("line", "doc_id long, text string").alias("r")
+    return lines.select("label", "split", record).select("r.doc_id", "label", "split", F.sha2("r.text", 256).alias("digest"))
+
+
 @query("SELECT 'scan-' || doc_id || '.png' AS value FROM documents WHERE n_chars < 200")
 def corrupt_written(spark, sf_dir):
     path = scratch_path(spark, "corrupt")

@@ -46,12 +46,17 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ocr_json(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of OCR results kept as JSON: text, confidence (0..1 as per cent too), and their place in the file."""
+    """Lines of OCR results kept as JSON, see ``ocr_lines``."""
+    return ocr_lines(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"), "value")
+
+
+def ocr_lines(files: DataFrame, content: str = "content") -> DataFrame:
+    """Lines of OCR results, the JSON of ``content``: text, confidence (0..1 as per cent too), and their place in the file; other columns stay."""
     schema = "array<struct<text:string,confidence:double,bbox:array<array<double>>>>"
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("rows"))
-    rows = files.select("path", F.posexplode("rows").alias("line_no", "r"))
-    score = F.when(F.col("r.confidence") <= 1, F.col("r.confidence") * 100).otherwise(F.col("r.confidence"))
-    return rows.select("path", "line_no", "r.text", score.alias("confidence"), "r.bbox")
+    own = [f"`{c}`" for c in files.columns if c != content]
+    rows = files.select(*own, F.from_json(F.col(content).cast("string"), schema).alias("_rows")).select(*own, F.posexplode("_rows").alias("line_no", "_row"))
+    score = F.when(F.col("_row.confidence") <= 1, F.col("_row.confidence") * 100).otherwise(F.col("_row.confidence"))
+    return rows.select(*own, "line_no", "_row.text", score.alias("confidence"), "_row.bbox")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> list[str]:
