@@ -432,6 +432,15 @@ def form_markers(spark, sf_dir):
     return found.select("doc_id", F.explode_outer("fields").alias("f")).select("doc_id", "f.name", "f.value", "f.source")
 
 
+@query(truth.FORM_ROWS)
+def form_rows(spark, sf_dir):
+    """Rows between markers: a value that another field has too, one above a marker that replaces a printed one, one
+    some lines above its label."""
+    lines = ("Manufacturer: Kent {}", "(2)", "Brand Name:", "Kent {}", "(3)", "MALIBU {}", "(4)", "Company Name: Former", "34", "(13)", "Cat-A-Expenses:", "(14)", "Cat-B-Expenses:", "Region: South", "{}.50", "Unit Price:", "Other:")
+    found = form.extract(whole_texts(spark, sf_dir, "Form", *lines))
+    return found.select("doc_id", F.explode_outer("fields").alias("f")).select("doc_id", "f.name", "f.value", "f.source", "f.review_required")
+
+
 @query(truth.ENTITY_MAP)
 def entity_map(spark, sf_dir):
     rows = whole_texts(spark, sf_dir, "RESUME", "Jo van Lee", "mail jo{}@gmail.com", "call +92 300 12345{}", "see www.jolee{}.org and github.com/jo{}")

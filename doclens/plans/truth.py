@@ -337,6 +337,18 @@ RESUME_LAYOUT = _rows(
 
 FORM_MARKERS = _rows("name value source", "'total_cost'; '34'; 'marker_reversed'", "'nicotine'; '0.' || k; 'nearby_forward'", "'tar'; k || ' mg'; 'next_line'")
 
+FORM_ROWS = _rows(
+    "name value source review_required",
+    "'manufacturer'; 'Kent ' || k; 'inline'; false",
+    "'brand_name'; 'Kent ' || k; 'marker_row'; false",
+    "'company_name'; 'MALIBU ' || k; 'marker_reversed'; false",
+    "'cat_a_expenses'; '34'; 'marker_reversed'; false",
+    "'cat_b_expenses'; CAST(NULL AS VARCHAR); 'missing'; false",
+    "'region'; 'South'; 'inline'; false",
+    "'unit_price'; k || '.50'; 'nearby_forward'; false",
+    "'other'; CAST(NULL AS VARCHAR); 'missing'; false",
+)
+
 ENTITY_MAP = _rows("name email phone linkedin github website", "'Jo van Lee'; 'jo' || k || '@gmail.com'; '+92 300 12345' || k; NULL; 'github.com/jo' || k; 'www.jolee' || k || '.org'")
 
 SECTION_TEXTS = """

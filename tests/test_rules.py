@@ -82,6 +82,26 @@ def test_form_row_markers(spark):
     assert fields["tar"] == (None, "missing") and fields["nicotine"] == ("12 mg", "marker_reversed") and fields["filter"] == ("yes", "inline")
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Maker: Kent\n(3)\nBrand Name:\nKent", {"maker": ("Kent", "inline"), "brand_name": ("Kent", "marker_row")}),
+        ("Maker: Kent\nBrand Name:\nKent\n(3)\nTar:", {"maker": ("Kent", "inline"), "brand_name": (None, "missing"), "tar": (None, "missing")}),
+        ("MALIBU\n(2)\nBrand Name: Former", {"brand_name": ("MALIBU", "marker_reversed")}),
+        ("MALIBU\n(2)\n(3)\nBrand Name:", {"brand_name": (None, "missing")}),
+        ("MALIBU\n(2)\nBrand Name: Former\nMALIBU\n(3)\nMaker: Owner", {"brand_name": ("MALIBU", "marker_reversed"), "maker": ("Owner", "inline")}),
+        ("xx\n(2)\nBrand Name:", {"brand_name": (None, "missing")}),
+        ("12.50\nmore words\nOther:\nUnit Price:", {"other": ("12.50", "nearby_forward"), "unit_price": (None, "missing")}),
+        ("12.50\nStart Date:\nUnit Price:", {"start_date": (None, "missing"), "unit_price": (None, "missing")}),
+        ("12.50\na b\nc d\ne f\ng h\nUnit Price:", {"unit_price": (None, "missing")}),
+        ("12.50\n13.50\nUnit Price:", {"unit_price": ("12.50", "nearby_forward")}),
+        ("(1)", {}),
+    ],
+)
+def test_form_rows(spark, text, want):
+    assert {f.name: (f.value, f.source) for f in record(spark, form.extract, text).fields} == want
+
+
 def test_resume_without_headings(spark):
     r = record(spark, resume.extract, "Jo Field\njo@x.org")
     assert (r.name, r.email, r.education, r.experience, r.skills) == ("Jo Field", "jo@x.org", [], [], [])
