@@ -394,7 +394,7 @@ def item_layouts(spark, sf_dir):
 
 def whole_texts(spark, sf_dir, *parts: str) -> DataFrame:
     """A text for each customer, with its key put in where a part holds {}."""
-    rows = R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    rows = R.spread(R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")))
     return rows.withColumn("text", joined(made_of(F.col("doc_id"), *parts), "\n"))
 
 
