@@ -228,3 +228,21 @@ def test_names_of_resumes(spark):
     texts = [(i, "\n".join(lines_)) for i, (lines_, _) in enumerate(NAMES)]
     found = resume.extract(spark.createDataFrame(texts, "doc_id int, text string"), only=["name"]).collect()
     assert {r.doc_id: r.name for r in found} == {i: name for i, (_, name) in enumerate(NAMES)}
+
+
+@pytest.mark.parametrize("name", ["form_colonless", "form_markers", "form_rows", "receipt_layout", "invoice_layout", "resume_layout", "job_layouts", "education_layouts"])
+def test_layouts_are_spread_before_the_work(spark, sf, name):
+    """A small file of keys is one task; what is made of them takes long."""
+    from doclens.plans import queries
+
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_a_year_in_a_firms_name_is_no_date(spark):
+    from doclens.operators import history
+
+    text = "WORK EXPERIENCE\nData analyst\nFirm 1950 Ltd\n2015 - 2018\nDeveloped many reports for clients"
+    job = spark.createDataFrame([(text,)], "t string").select(F.explode(history.job_regions(F.split("t", "\n"))).alias("j")).select("j.*").first()
+    assert (job.company, job.duration) == ("Firm 1950 Ltd", "2015 - 2018")
+    assert job.description == ["Developed many reports for clients"]
