@@ -13,6 +13,7 @@ LINES, MOST_LINES, CONFIDENCE = 0.15, 80, 0.35
 AMOUNT, AMOUNTS, MOST_AMOUNTS = r"\b\d+[.,]\d{1,3}\b", 1.2, 40
 REFERENCE, DATE, STRUCTURE = r"\b(?:tc|rcpt|receipt|txn|transaction|ref)\s*#?", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", 8
 PRICED, PRICED_LINES, MOST_PRICED = r"[A-Za-z].*\d+[.,]\d{1,3}\s*$", 0.8, 30
+PRICE_END = r"\d[.,]\d{1,3}\s*$"  # how such lines end: others are spared the search from each of their letters
 OVERLONG, OVERLONG_LINES = 90, 1.5
 WORD, WORDS, MOST_WORDS = "[A-Za-z]{2,}", 0.05, 60
 
@@ -32,7 +33,7 @@ def pass_scores(lines: DataFrame, keys: list[str]) -> DataFrame:
     score += sum((any_line(F.contains(low, F.lit(t))) * w for t, w in TERMS.items()), F.lit(0))
     score += F.least(count(AMOUNT), F.lit(MOST_AMOUNTS)) * AMOUNTS
     score += (any_line(low.rlike(REFERENCE)) + any_line(F.col("text").rlike(DATE))) * STRUCTURE
-    score += F.least(F.count_if(F.col("text").rlike(PRICED)), F.lit(MOST_PRICED)) * PRICED_LINES - F.count_if(F.length("text") > OVERLONG) * OVERLONG_LINES
+    score += F.least(F.count_if(F.col("text").rlike(PRICE_END) & F.col("text").rlike(PRICED)), F.lit(MOST_PRICED)) * PRICED_LINES - F.count_if(F.length("text") > OVERLONG) * OVERLONG_LINES
     score += F.least(count(WORD), F.lit(MOST_WORDS)) * WORDS
     return lines.groupBy(*keys).agg(score.alias("ocr_score"), n.alias("line_count"), F.round(F.avg("confidence"), 2).alias("confidence"))
 

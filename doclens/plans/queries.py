@@ -562,8 +562,10 @@ def label_encode(spark, sf_dir):
 
 
 def ocr_words(spark, sf_dir) -> DataFrame:
-    """Two passes over each document's lines; the second sees every fifth word worse, or better for odd documents."""
-    split = lines.explode_lines(docs(spark, sf_dir)).select("doc_id", F.col("line_no").alias("line_num"), F.posexplode(F.split("text", " ")).alias("left", "text"))
+    """Two passes over each document's lines; the second sees every fifth word worse, or better for odd documents.
+
+    Whole texts are dealt by document, and words are made where they are grouped: no word is shuffled."""
+    split = lines.explode_lines(R.spread_wide(docs(spark, sf_dir).select("doc_id", "text"))).select("doc_id", F.col("line_no").alias("line_num"), F.posexplode(F.split("text", " ")).alias("left", "text"))
     every = split.withColumn("pass_no", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("block_num", F.lit(1)).withColumn("par_num", F.lit(1))
     return every.withColumn("conf", F.when((F.col("pass_no") == 2) & (F.col("left") % 5 == 0), F.when(F.col("doc_id") % 2 == 0, 40.0).otherwise(95.0)).otherwise(80.0) + F.col("doc_id") % 10)
 

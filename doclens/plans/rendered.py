@@ -29,6 +29,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks(df.sparkSession), df.columns[0])
 
 
+def spread_wide(df: DataFrame, ways: int = 32) -> DataFrame:
+    """Rows that become many more, over ``ways`` tasks for each part that is read: the tasks grow in number with the input, not in what each has to sort."""
+    return df.repartition(max(tasks(df.sparkSession), ways * df.rdd.getNumPartitions()), df.columns[0])
+
+
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "customer").select("c_custkey"))
 
