@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from doclens.operators import ocr
+from doclens.functions import extract as E
+from doclens.operators import invoice, ocr
 from doclens.plans import queries as Q
 
 
@@ -18,3 +19,18 @@ def test_priced_lines(spark):
     lines = spark.createDataFrame([(i, 1, t, 50.0) for i, t in enumerate(texts)], "doc_id long, pass_no int, text string, confidence double")
     plain = lines.select(F.count_if(F.col("text").rlike(ocr.PRICED)), F.count_if(F.col("text").rlike(ocr.PRICE_END) & F.col("text").rlike(ocr.PRICED))).first()
     assert plain[0] == plain[1] == 5
+
+
+def test_addresses_are_sought_where_their_sign_is(spark):
+    """A line's words are searched once each, and only in lines with that sign."""
+    rows = spark.createDataFrame([(["no", "a@b", "x jo.lee@mail.example.com, b@c.org"],), (["none"],), ([],), (None,)], "lines array<string>")
+    assert [r[0] for r in rows.select(E.email_of(F.col("lines"))).collect()] == ["jo.lee@mail.example.com", None, None, None]
+
+
+def test_whole_items_are_matched_once(spark):
+    """Parts of a line come from one match: the line's pattern stands in no extraction of a group."""
+    lines = spark.createDataFrame([("Blue 7 Chair 2 1,000.50 2,001.00 USD",), ("Tea\x00 x 1 2.00 2.00",), ("Tea 1 2.00",)], "x string")
+    told = lines.select(invoice.item_line(F.col("x")).alias("t"))
+    assert [tuple(r.t)[1:5] for r in told.where("t.kind = 'whole'").collect()] == [("2", "1000.50", "2001.00", "Blue 7 Chair"), ("1", "2.00", "2.00", "Tea\x00 x")]
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert plan.count(invoice.ITEM) == 1
