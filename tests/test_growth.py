@@ -1,5 +1,6 @@
 """Steps that larger tables would not bear: what is shuffled, and what is searched."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from doclens.functions import extract as E
@@ -34,3 +35,15 @@ def test_whole_items_are_matched_once(spark):
     assert [tuple(r.t)[1:5] for r in told.where("t.kind = 'whole'").collect()] == [("2", "1000.50", "2001.00", "Blue 7 Chair"), ("1", "2.00", "2.00", "Tea\x00 x")]
     plan = told._jdf.queryExecution().analyzed().toString()
     assert plan.count(invoice.ITEM) == 1
+
+
+def test_kinds_are_mixed_before_they_are_dispatched(spark, sf, monkeypatch):
+    """Documents of one kind do not fill tasks of their own: rows are dealt by document before they are written."""
+
+    def written(df, name):
+        assert "RepartitionByExpression [doc_id" in df._jdf.queryExecution().analyzed().toString().splitlines()[0]
+        raise KeyError(name)
+
+    monkeypatch.setattr(Q, "materialise", written)
+    with pytest.raises(KeyError, match="mixed"):
+        Q.QUERIES["dispatched_documents"](spark, sf)
