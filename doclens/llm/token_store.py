@@ -10,7 +10,8 @@ number the ids across partitions.
 
 Encoding is the tokenizer library's. Byte-level BPE of this kind splits a text at certain places whatever else it holds
 (before white space after other characters, before a punctuation mark after a letter, around a line feed that ends white space), so the
-text is cut there and each distinct piece is encoded once; its bytes and ids are kept in a bounded cache of the Python worker. Pieces are
+text is cut there and each distinct piece is encoded once; its bytes and ids are kept in a bounded cache of the Python worker. New pieces that are cut
+from each other when set side by side go to the library as one text, and the bytes of its ids tell whose they are. Pieces are
 found by a 64-bit hash and compared byte by byte; should two pieces share a hash, the library encodes those texts as a whole.
 
 Cases: a null or empty text is the end id alone; a null doc_id sorts first; repeated doc_ids stand side by side, by text;
@@ -39,7 +40,7 @@ SHARD_TOKENS = 2 << 20
 #: Distinct pieces that a worker keeps (some 35 bytes each); beyond that it starts anew.
 CACHE_PIECES = 1_000_000
 #: Pieces that the library encodes in one call.
-LEARNED = 2048
+LEARNED = 512
 #: Bytes of text that are encoded at a time.
 STRETCH = 1 << 19
 STORE = "part int, seq int, before long, n_docs int, n_tokens long, data binary"
@@ -55,23 +56,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = {n: len(t.content.encode()) for n, t in self.tokenizer.get_added_tokens_decoder().items()}
+        #: Bytes that each id stands for: a character of a byte-level token is a byte.
+        self.sizes = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.sizes[list(added)] = list(added.values())
         self.forget()
 
     def forget(self) -> None:
         self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and which piece each is of
         self.ids, self.bytes = Growing(self.dtype), Growing(np.uint8)
 
-    def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
-        """Keep the pieces ``texts``, whose hashes are ``keys`` in order."""
-        number = len(self.keys) + np.arange(len(keys), dtype=np.int32)
-        for low in range(0, len(texts), LEARNED):  # the library's results are far larger than the ids, so a few are held at a time
-            some = texts[low : low + LEARNED]
-            ids = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in some], add_special_tokens=False)]
-            self.ids.add(np.fromiter(chain.from_iterable(ids), self.dtype), [len(x) for x in ids])
-            self.bytes.add(np.frombuffer(b"".join(some), np.uint8), [len(t) for t in some])
+    def learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Keep the pieces ``data[start:end]``, whose hashes are ``keys`` in order."""
+        kind = joint(data, start, end)
+        order = np.argsort(kind, kind="stable")
+        number = np.empty(len(keys), np.int32)
+        number[order] = len(self.keys) + np.arange(len(keys), dtype=np.int32)
+        for this in (SPACED, WORDED, ALONE):
+            rows = order[kind[order] == this]
+            for low in range(0, len(rows), LEARNED):  # the library's results are far larger than the ids, so a few are held at a time
+                some = rows[low : low + LEARNED]
+                size = end[some] - start[some]
+                text = data.take(np.arange(int(size.sum())) + np.repeat(start[some] - (np.cumsum(size) - size), size))
+                ids, counts = (self.encode_joined(text, size, int(this == WORDED)) if this != ALONE else None) or self.encode_alone(text, size)
+                self.ids.add(ids, counts)
+                self.bytes.add(text, size)
         at = np.searchsorted(self.keys, keys)
         self.keys, self.number = np.insert(self.keys, at, keys), np.insert(self.number, at, number)
 
+    def encode_joined(self, text: np.ndarray, size: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces as one text, with ``gap`` line feeds between, told apart by the bytes that each id stands for; None where a piece's
+        ends are no ends of ids, as then its ids are others."""
+        ends = np.cumsum(size + gap) - gap
+        starts = ends - size
+        if gap:
+            whole = np.full(int(ends[-1]), 0x0A, np.uint8)
+            whole[np.arange(len(text)) + np.repeat(gap * np.arange(len(size)), size)] = text
+        else:
+            whole = text
+        ids = np.array(self.tokenizer.encode_batch_fast([whole.tobytes().decode()], add_special_tokens=False)[0].ids, np.int64)
+        places = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        low, high = (np.minimum(np.searchsorted(places, x), len(places) - 1) for x in (starts, ends))
+        if places[-1] != len(whole) or (places[low] != starts).any() or (places[high] != ends).any():
+            return None
+        counts = high - low
+        return ids.take(np.arange(int(counts.sum())) + np.repeat(low - (np.cumsum(counts) - counts), counts)).astype(self.dtype), counts
+
+    def encode_alone(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, each a text of its own."""
+        raw, ends = text.tobytes(), np.cumsum(size)
+        ids = [e.ids for e in self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.dtype), np.array([len(x) for x in ids], np.int64)
+
     def uncut(self, raw: bytes, offsets: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Texts that hold a special token's string stay whole: the library looks for it before it splits."""
         rows = set()
@@ -91,14 +129,14 @@ class Encoder:
         start = self.uncut(raw, offsets, piece_starts(data, offsets))
         end = np.append(start[1:], len(data))
         keys = hashes_of(data, start, end, EVERY)
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, first, which = distinct_of(keys)
         at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
         if len(new):
             if len(self.keys) + len(new) > CACHE_PIECES:
                 self.forget()
                 new = np.arange(len(distinct))
-            self.learn(distinct[new], [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            self.learn(distinct[new], data, start[first[new]], end[first[new]])
         piece = self.number[np.searchsorted(self.keys, distinct)][which]
         length = end - start
         kept = self.bytes.first[piece]
@@ -106,8 +144,7 @@ class Encoder:
             return self.encode_whole(raw, offsets)
         begin = self.ids.first[piece]
         size = self.ids.first[piece + 1] - begin
-        row = np.searchsorted(offsets, start, "right") - 1
-        counts = np.bincount(row, size, len(column)).astype(np.int64) + 1
+        counts = np.diff(np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, offsets)]) + 1
         ends = np.cumsum(counts) - 1
         out = np.empty(int(counts.sum()), self.dtype)
         body = np.ones(len(out), bool)
@@ -129,7 +166,7 @@ class Growing:
     def __init__(self, dtype) -> None:
         self.data, self.first, self.n = np.zeros(1 << 16, dtype), np.zeros(1 << 12, np.int64), 0
 
-    def add(self, data: np.ndarray, sizes: list[int]) -> None:
+    def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
         low, high = int(self.first[self.n]), int(self.first[self.n]) + len(data)
         if high > len(self.data):
             self.data = np.concatenate([self.data[:low], np.zeros(max(len(data), low // 4), self.data.dtype)])
@@ -140,10 +177,23 @@ class Growing:
         self.n += len(sizes)
 
 
+def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and for each key which it is: ``np.unique``, but only distinct keys are sorted."""
+    coded = pa.array(keys).dictionary_encode()
+    found, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.argsort(found)
+    place, at = np.empty(len(order), np.int32), np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    at[code] = np.arange(len(code))
+    return found[order], at[order], place.take(code)
+
+
 _BYTE = np.arange(256)
 _SPACE = np.isin(_BYTE, (0x20, *range(0x09, 0x0E)))
 _MARK = (_BYTE > 0x20) & (_BYTE < 0x7F) & ~ALNUM
 _PLAIN = (_BYTE > 0x20) & (_BYTE < 0x7F)
+#: Classes of a byte as bits: white space, mark, letter or digit (the latter two are plain), C3, and what may end a letter after C3.
+_CLASSES = (_SPACE * 1 + _MARK * 2 + (ALNUM & (_BYTE < 0x80)) * 4 + (_BYTE == 0xC3) * 8 + ((_BYTE >= 0x80) & (_BYTE != 0x97) & (_BYTE != 0xB7)) * 16).astype(np.uint8).tobytes()
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -154,12 +204,13 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n > 1:
-        before, here = data[:-1], data[1:]
+        kind = np.frombuffer(data.tobytes().translate(_CLASSES), np.uint8)
+        before, here = kind[:-1], kind[1:]
         latin = np.zeros(n - 1, bool)  # the byte before ends a letter such as e with an accent
-        latin[1:] = (data[:-2] == 0xC3) & (before[1:] >= 0x80) & (before[1:] != 0x97) & (before[1:] != 0xB7)
-        letter = (ALNUM[before] & (before < 0x80)) | latin
-        cut[1:n] = (_SPACE[here] & (_PLAIN[before] | latin)) | (_MARK[here] & letter)
-        last = (before == 0x0A) & (_PLAIN[here] | (here == 0xC3))
+        latin[1:] = ((kind[:-2] & 8) != 0) & ((before[1:] & 16) != 0)
+        letter = ((before & 4) != 0) | latin
+        cut[1:n] = (((here & 1) != 0) & (((before & 6) != 0) | latin)) | (((here & 2) != 0) & letter)
+        last = (data[:-1] == 0x0A) & ((here & 14) != 0)
         inner = offsets[(offsets > 0) & (offsets < n)]
         last[inner - 1] = False  # the byte that follows is another text's
         cut[1:n] |= last
@@ -168,6 +219,18 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
+#: How a piece may stand beside others in one text.
+SPACED, WORDED, ALONE = range(3)
+
+
+def joint(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each piece ``data[start:end]``, by the cuts of ``piece_starts``: SPACED pieces begin with white space and end with a byte known to be of none,
+    so they are cut where one follows another; WORDED ones begin with such a byte, so a line feed before it is cut off on both sides."""
+    opens, closes = data[start], data[end - 1]
+    latin = (end - start > 1) & (data[np.maximum(end - 2, 0)] == 0xC3) & (closes >= 0x80) & (closes != 0x97) & (closes != 0xB7)
+    return np.where(_SPACE[opens] & (_PLAIN[closes] | latin), SPACED, np.where(_PLAIN[opens] | (opens == 0xC3), WORDED, ALONE))
+
+
 class TokenShard:
     """One shard, read from its blob."""
 

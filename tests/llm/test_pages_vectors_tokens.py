@@ -393,3 +393,29 @@ def test_neighbours_with_too_few_in_their_parts(spark):
     few = base.where("vec_id < 60 AND (vec_id % 8 <> 2 OR vec_id = 50)")
     found = neighbours.search(few, F.col("vec_id") % 50 == 0, router=router).groupBy("query_id").count().collect()
     assert sorted((r.query_id, r["count"]) for r in found) == [(0, 5), (50, 5)]
+
+
+def test_new_pieces_go_to_the_library_together(tokenizer_file):
+    """Pieces that are cut from each other wherever they stand are one text of a call; others stay texts of their own."""
+    encoder, handed = token_store.Encoder(tokenizer_file), []
+    library = encoder.tokenizer
+
+    class Counted:
+        def encode(self, text, **options):
+            handed.append(1)
+            return library.encode(text, **options)
+
+        def encode_batch(self, texts, **options):
+            handed.extend(texts)
+            return library.encode_batch(texts, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    texts = [" ".join(f"word{i}é" for i in range(n, n + 50)) + f"\n\xa0{n}" for n in range(0, 2000, 50)]
+    ids, counts = encoder.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    assert len(handed) < 100 < len(encoder.keys)
+    for text, end, n in zip(texts, np.cumsum(counts), counts, strict=True):
+        assert ids[end - n : end].tolist() == [*library.encode(text, add_special_tokens=False).ids, token_store.END]
