@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclens.functions import extract as E
-from doclens.operators import invoice, ocr
+from doclens.operators import entities, invoice, ocr
 from doclens.plans import queries as Q
 
 
@@ -47,3 +47,12 @@ def test_kinds_are_mixed_before_they_are_dispatched(spark, sf, monkeypatch):
     monkeypatch.setattr(Q, "materialise", written)
     with pytest.raises(KeyError, match="mixed"):
         Q.QUERIES["dispatched_documents"](spark, sf)
+
+
+def test_sections_are_sorted_once(spark, sf):
+    """One fold over the lines serves all sections, and opening the map does not have them worked out again as a filter."""
+    rows = spark.createDataFrame([(["a", "SKILLS", "b", "Summary", "c"],), ([],)], "lines array<string>")
+    told = rows.select(entities.section_texts(F.col("lines")).alias("m"))
+    assert [(m["profile"], m["skills"], m["summary"]) for (m,) in told.collect()] == [("a", "b", "c"), ("", "", "")]
+    assert told._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    assert Q.QUERIES["section_texts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
