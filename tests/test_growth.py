@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from doclens import vocabulary as V
 from doclens.functions import extract as E
-from doclens.operators import entities, invoice, ocr
+from doclens.functions import text as N
+from doclens.operators import entities, history, invoice, ocr
 from doclens.plans import queries as Q
 
 
@@ -56,3 +58,21 @@ def test_sections_are_sorted_once(spark, sf):
     assert [(m["profile"], m["skills"], m["summary"]) for (m,) in told.collect()] == [("a", "b", "c"), ("", "", "")]
     assert told._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
     assert Q.QUERIES["section_texts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_lines_of_jobs_are_looked_at_once(spark):
+    """Actions and titles are sought in a line and in its form without dates, not again for each rule; studies ask for their heading once."""
+    rows = spark.createDataFrame([(["WORK EXPERIENCE", "Data  Analyst", "Company: Bar 1950 Ltd", "2019 - Present", "Developed many useful reports"],)], "lines array<string>")
+    told = rows.select(history.job_regions(F.col("lines")).alias("jobs"))
+    assert [tuple(j) for j in told.first().jobs] == [("Bar 1950 Ltd", "Data Analyst", "2019 - Present", ["Developed many useful reports"])]
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert (plan.count(V.JOB_ACTION), plan.count(V.JOB_TITLE)) == (2, 2)
+
+
+def test_normal_texts_are_left_alone(spark):
+    texts = ["a b", " a", "a ", "a  b", "A-b", "a\tb", "", None, "É b", "a b\n", "a,b", "x\u00a0y", "a \n\n b\t c\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    x = F.col("x")
+    whole = N.strip(N.one_space(F.regexp_replace(F.lower(x), r"[^a-z0-9&+./#' -]", " ")))
+    resume = N.strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{2,}", "\n"), r" *\n *", "\n"))
+    assert rows.where(~N.plain_words(x).eqNullSafe(whole) | ~N.normalize_resume(x).eqNullSafe(resume)).count() == 0
