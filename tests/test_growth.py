@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from doclens import vocabulary as V
 from doclens.functions import extract as E
 from doclens.functions import text as N
-from doclens.operators import entities, history, invoice, ocr
+from doclens.operators import entities, history, invoice, ocr, receipt
 from doclens.plans import queries as Q
 
 
@@ -76,3 +76,11 @@ def test_normal_texts_are_left_alone(spark):
     whole = N.strip(N.one_space(F.regexp_replace(F.lower(x), r"[^a-z0-9&+./#' -]", " ")))
     resume = N.strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{2,}", "\n"), r" *\n *", "\n"))
     assert rows.where(~N.plain_words(x).eqNullSafe(whole) | ~N.normalize_resume(x).eqNullSafe(resume)).count() == 0
+
+
+def test_receipt_lines_are_put_in_capitals_once(spark):
+    """For tenders and numbers alike; dates are those of lines that have a digit on both sides of a sign."""
+    rows = spark.createDataFrame([(["Cashier Cash Jo", "Ref # ab-12345", "terminal rcpt 123456", "rcpt: r00012345", "13/40/2020", "03-04-21 x", "Cash tend 5.00"],), ([],), (None,)], "lines array<string>")
+    told = rows.select(receipt.payment(F.col("lines")).alias("p"), receipt.receipt_number(F.col("lines")).alias("n"), receipt.receipt_date(F.col("lines")).alias("d"))
+    assert [tuple(r) for r in told.collect()] == [("CASH", "AB-12345", "03-04-21"), (None, None, None), (None, None, None)]
+    assert told._jdf.queryExecution().analyzed().toString().count("upper(") == 2
