@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from doclens import vocabulary as V
 from doclens.functions import extract as E
 from doclens.functions import text as N
-from doclens.operators import entities, history, invoice, ocr, receipt
+from doclens.operators import entities, history, invoice, ocr, receipt, scoring
 from doclens.plans import queries as Q
+from doclens.plans import rendered as R
+from doclens.session import materialise
 
 
 def test_words_are_not_shuffled(spark, sf):
@@ -84,3 +86,18 @@ def test_receipt_lines_are_put_in_capitals_once(spark):
     told = rows.select(receipt.payment(F.col("lines")).alias("p"), receipt.receipt_number(F.col("lines")).alias("n"), receipt.receipt_date(F.col("lines")).alias("d"))
     assert [tuple(r) for r in told.collect()] == [("CASH", "AB-12345", "03-04-21"), (None, None, None), (None, None, None)]
     assert told._jdf.queryExecution().analyzed().toString().count("upper(") == 2
+
+
+def test_skills_are_found_once(spark, sf, monkeypatch):
+    """Over all that best_jobs runs, each resume and each job is searched for skills once, and jobs are dealt over tasks before that."""
+    plans = []
+
+    def noted(df, name):
+        plans.append(df)
+        return materialise(df, name)
+
+    monkeypatch.setattr(scoring, "materialise", noted)
+    plans.append(Q.QUERIES["best_jobs"](spark, sf))
+    searched = [df._jdf.queryExecution().optimizedPlan().toString().count(E.skill_pattern("SQL")) for df in plans]
+    assert sorted(searched) == [0] * (len(plans) - 2) + [1, 1]
+    assert "RepartitionByExpression [p_partkey" in R.jobs(spark, sf)._jdf.queryExecution().analyzed().toString()
