@@ -101,3 +101,23 @@ def test_skills_are_found_once(spark, sf, monkeypatch):
     searched = [df._jdf.queryExecution().optimizedPlan().toString().count(E.skill_pattern("SQL")) for df in plans]
     assert sorted(searched) == [0] * (len(plans) - 2) + [1, 1]
     assert "RepartitionByExpression [p_partkey" in R.jobs(spark, sf)._jdf.queryExecution().analyzed().toString()
+
+
+def test_routing_seeks_no_more_than_decides(spark, sf):
+    """Where only the type is asked for, counts are not made; documents are dealt over tasks before their texts are searched."""
+    told = Q.QUERIES["route_document"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "finance_evidence" not in told and "RepartitionByExpression [doc_id" in told
+
+
+def test_evidence_is_that_of_plain_patterns(spark):
+    patterns = [*V.INVOICE_EVIDENCE, *V.RESUME_EVIDENCE, *V.FINANCE_EVIDENCE, r"\bfoo|bar", r"\bab+c", r"\ba*z", r"\bxy{2}", r"total$"]
+    texts = ["Invoice  No 5", "xinvoice", "invoice_", "invoice. SUB total", "Subtotals", "TAX", "private vat", "a GST b", "sales  tax", "service tax.", "qty", "quantity1", "bar", "foo", "abbbc", "z xyy", "xy",
+             "Certifications", "certificationsx", "é-total", "étotal", "grand\ntotal", "due date, due\tdate", "", None, "unitprice unit price", "work experience, education, skills; total amount"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    low = F.lower("text")
+    plain = lambda some: sum((F.coalesce(low.rlike(p), F.lit(False)).cast("int") for p in some), F.lit(0))
+    assert [r for r in patterns if rows.where(E.evidence(F.col("text"), [r]) != plain([r])).count()] == []
+    for some in (V.INVOICE_EVIDENCE, V.RESUME_EVIDENCE, V.FINANCE_EVIDENCE):
+        assert rows.where(E.evidence(F.col("text"), some) != plain(some)).count() == 0
+    kind = scoring.routed_type(plain(V.INVOICE_EVIDENCE), plain(V.FINANCE_EVIDENCE), plain(V.RESUME_EVIDENCE), F.lit("form"))
+    assert scoring.route(rows.withColumn("predicted_type", F.lit("form"))).where(F.col("document_type") != kind).count() == 0
