@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from doclens import vocabulary as V
 from doclens.functions import extract as E
+from doclens.functions import predicates as P
 from doclens.functions import text as N
-from doclens.operators import entities, history, invoice, ocr, receipt, scoring
+from doclens.operators import entities, form, history, invoice, ocr, receipt, scoring
 from doclens.plans import queries as Q
 from doclens.plans import rendered as R
 from doclens.session import materialise
@@ -121,3 +122,17 @@ def test_evidence_is_that_of_plain_patterns(spark):
         assert rows.where(E.evidence(F.col("text"), some) != plain(some)).count() == 0
     kind = scoring.routed_type(plain(V.INVOICE_EVIDENCE), plain(V.FINANCE_EVIDENCE), plain(V.RESUME_EVIDENCE), F.lit("form"))
     assert scoring.route(rows.withColumn("predicted_type", F.lit("form"))).where(F.col("document_type") != kind).count() == 0
+
+
+def test_labels_of_forms_are_matched_once(spark):
+    """The label's pattern and the look for an instruction in a line's own value; what is junk is as by the patterns alone."""
+    texts = ["(1) Full Name: Jo: Lee ", "Email:", "A : b", "AB : (a)", ": x", "Date of Birth:  1/2/1990", "no colon", "9: x", "Tick one: |Yes;", "é: a"]
+    read = spark.createDataFrame([(texts,)], "lines array<string>").select(form.read_lines(F.col("lines")).alias("r"))
+    plain = spark.createDataFrame([(t,) for t in texts], "x string").select(N.strip(F.regexp_extract("x", form.LABEL, 1)), N.form_value(F.regexp_extract("x", form.LABEL, 2)), F.col("x").rlike(form.LABEL))
+    assert [(r.label, r.own, r.opens) for r in read.first().r] == [tuple(r) for r in plain.collect()]
+    assert read._jdf.queryExecution().analyzed().toString().count(form.LABEL) == 1
+    values = ["", "x", "ab", "abc", "abcd", "yes", "Mg", "q1)", "Q12)", "a1)", "$", "$$~", "$5", "-", "€", "é", "<>^'\"`", "ab1", "1", "*", "**", None]
+    c = F.col("x")
+    short = c.rlike("^[A-Za-z]{1,3}$") & ~F.lower(c).isin("x", "xx", "mg", "yes", "no")
+    junk = ((F.length(c) <= 1) & ~c.rlike("[A-Za-z0-9$€£]")) | c.rlike(r"^[qQ]\d+\)$") | short | c.rlike(r"^[$<>~`'\"^]+$")
+    assert spark.createDataFrame([(v,) for v in values], "x string").where(~P.form_junk(c).eqNullSafe(junk)).count() == 0
