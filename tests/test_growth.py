@@ -7,7 +7,7 @@ from doclens import vocabulary as V
 from doclens.functions import extract as E
 from doclens.functions import predicates as P
 from doclens.functions import text as N
-from doclens.operators import entities, form, history, invoice, ocr, receipt, scoring
+from doclens.operators import entities, form, history, invoice, lines, ocr, receipt, scoring
 from doclens.plans import queries as Q
 from doclens.plans import rendered as R
 from doclens.session import materialise
@@ -136,3 +136,26 @@ def test_labels_of_forms_are_matched_once(spark):
     short = c.rlike("^[A-Za-z]{1,3}$") & ~F.lower(c).isin("x", "xx", "mg", "yes", "no")
     junk = ((F.length(c) <= 1) & ~c.rlike("[A-Za-z0-9$€£]")) | c.rlike(r"^[qQ]\d+\)$") | short | c.rlike(r"^[$<>~`'\"^]+$")
     assert spark.createDataFrame([(v,) for v in values], "x string").where(~P.form_junk(c).eqNullSafe(junk)).count() == 0
+
+
+def test_texts_with_nothing_to_mend_are_their_lines(spark):
+    """A text is looked at as a whole first; what its lines are does not depend on that."""
+    texts = ["a b\nc", "a  b", " a", "a ", "a\n b", "a \nb", "a\n\nb", "\na", "a\n", "a\tb", "a\r\nb", "a\x0bb", "a\x1fb", "a\x01b", "é b", "a b", "1O5\nX-]5", "5 l", "", " ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    plain = F.array_join(invoice.invoice_lines(F.col("x")), "\n")
+    assert rows.where(~invoice.invoice_text(F.col("x")).eqNullSafe(plain)).count() == 0
+    _, doc = lines.with_whole(rows, invoice.invoice_text(F.col("x")))
+    got = lines.with_whole(rows, invoice.invoice_text(F.col("x")))[0]
+    assert got.where(~doc.lines.eqNullSafe(invoice.invoice_lines(F.col("x"))) | ~doc.low.eqNullSafe(F.transform(doc.lines, N.norm))).count() == 0
+
+
+def test_invoices_ask_no_more_than_is_wanted(spark):
+    """Whether there is a vendor takes no choice of it, and amounts are read only in lines with a label, and after these."""
+    docs = spark.createDataFrame([(1, "ACME Ltd\nTotal\n7.50\nSubtotal: 7.00\nTax amount USD 0.50")], "doc_id int, text string")
+    found = invoice.extract(docs).select("confidence", "subtotal", "tax", "total")
+    assert tuple(found.first()) == (62.5, "7.00", "0.50", "7.50")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "technology" not in plan and "_read" not in plan
+    for labels in (V.TOTAL_LABELS, V.SUBTOTAL_LABELS, V.VENDOR_LABELS, V.INVOICE_LABELS):
+        parts = lines.common_parts(labels)
+        assert len(parts) < len(labels) and all(any(p in label for p in parts) for label in labels)
